@@ -92,7 +92,7 @@ class MappingSet:
         found: dict[tuple[int, str], list[dict[str, str]]] = {}
         sentinels: dict[str, dict[str, None]] = {}
         for raw in rows:
-            row = {strip_class_prefix(k): (v or "").strip() if k else "" for k, v in raw.items()}
+            row = {strip_class_prefix(k): v or "" for k, v in raw.items()}
             level = re.search(r"(\d+)$", row["subject_category"])
             if level is None:
                 raise ValueError(f"no level in subject_category {row['subject_category']!r}")

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from functools import reduce
-from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +18,7 @@ def null_sentinels(df: DataFrame, sentinels: Mapping[str, Sequence[str]]) -> Dat
     """Replace each column's sentinel texts by NULL. Exact match: no trimming, case-sensitive."""
     present = set(df.columns)
     cleaned = {
-        c: F.when(~F.col(quoted(c)).isin(list(values)), F.col(quoted(c)))
+        c: F.expr(cleaned_sql(c, values))
         for c, values in sentinels.items()
         if c in present and values
     }
@@ -49,41 +47,80 @@ def strip_class_prefix(column: Column) -> Column:
     return F.regexp_replace(column, "^.*:", "")
 
 
-def element_rule(element: Element, available: Iterable[str]) -> Column:
-    """The element's rule over cleaned columns; a column that is not available is never present."""
-    have = set(available)
+def sql_text(value: str) -> str:
+    """SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def present(name: str) -> Column:
-        return F.col(quoted(name)).isNotNull() if name in have else F.lit(False)
 
-    def holds(columns: Sequence[str], negated: bool) -> Column:
-        every = reduce(and_, [present(c) for c in columns])
-        return ~every if negated else every
+def present_sql(column: str, sentinels: Sequence[str] = ()) -> str:
+    """Condition: the column is neither NULL nor one of its sentinels. Never NULL itself."""
+    name = quoted(column)
+    if not sentinels:
+        return f"{name} IS NOT NULL"
+    return f"coalesce({name} NOT IN ({', '.join(map(sql_text, sentinels))}), false)"
 
-    return reduce(or_, [holds(a.columns, a.negated) for a in element.alternatives])
+
+def cleaned_sql(column: str, sentinels: Sequence[str] = ()) -> str:
+    """The column with its sentinels as NULL."""
+    if not sentinels:
+        return quoted(column)
+    return f"CASE WHEN {present_sql(column, sentinels)} THEN {quoted(column)} END"
+
+
+def element_rule(
+    element: Element, available: Iterable[str], sentinels: Mapping[str, Sequence[str]] | None = None
+) -> str:
+    """The element's rule as one SQL condition; a column that is not available is never present.
+
+    Sentinels are tested inside the condition, so the texts need not be cleaned before.
+    """
+    have, missing_texts = set(available), sentinels or {}
+
+    def holds(columns: Sequence[str], negated: bool) -> str:
+        if all(c in have for c in columns):
+            every = " AND ".join(present_sql(c, missing_texts.get(c, ())) for c in columns)
+        else:
+            every = "false"
+        return f"(NOT ({every}))" if negated else f"({every})"
+
+    return " OR ".join(holds(a.columns, a.negated) for a in element.alternatives)
 
 
 def compile_rules(mapping: MappingSet, available: Iterable[str]) -> dict[str, Column]:
     """Flag name to boolean expression, in mapping order. The flags are never NULL."""
     have = list(available)
-    return {e.flag: element_rule(e, have) for e in mapping.elements}
+    return {
+        e.flag: F.expr(element_rule(e, have, mapping.sentinels)) for e in mapping.elements
+    }
 
 
 def all_of_row(flags: Sequence[str]) -> Column:
     """True when every named flag of the row is true."""
-    return reduce(and_, [F.col(quoted(f)) for f in flags], F.lit(True))
+    return F.expr(" AND ".join(map(quoted, flags)) or "true")
+
+
+def score_level(mapping: MappingSet, available: Iterable[str] | None = None) -> Column:
+    """Cumulative level: the highest one for which all flags up to that level are true, else -1.
+
+    With ``available`` the rules themselves are spelled out instead of the flag columns. Selected
+    beside the flags, every rule is then a common subexpression, which Spark compiles into a small
+    method of its own; one projection of the whole mapping would otherwise outgrow the size that the
+    JVM still compiles. The level is a sum rather than a CASE because only unconditional expressions
+    are shared.
+    """
+    have = None if available is None else list(available)
 
+    def condition(element: Element) -> str:
+        if have is None:
+            return quoted(element.flag)
+        return f"({element_rule(element, have, mapping.sentinels)})"
 
-def score_level(mapping: MappingSet) -> Column:
-    """Cumulative level: the highest one for which all flags up to that level are true, else -1."""
-    levels = sorted({e.level for e in mapping.elements}, reverse=True)
-    chain = None
-    for level in levels:
-        reached = all_of_row([e.flag for e in mapping.elements if e.level <= level])
-        value = F.lit(level).cast("tinyint")
-        chain = F.when(reached, value) if chain is None else chain.when(reached, value)
-    lowest = F.lit(-1).cast("tinyint")
-    return lowest if chain is None else chain.otherwise(lowest)
+    steps, so_far, reached = [], [], -1
+    for level in sorted({e.level for e in mapping.elements}):
+        so_far += [condition(e) for e in mapping.elements if e.level == level]
+        steps.append(f"if({' AND '.join(so_far)}, {level - reached}, 0)")
+        reached = level
+    return F.expr(f"cast({' + '.join(['-1', *steps])} as tinyint)")
 
 
 def pack_flags(flags: Sequence[str]) -> Column:
@@ -93,9 +130,8 @@ def pack_flags(flags: Sequence[str]) -> Column:
     """
     if len(flags) > 63:
         raise ValueError("at most 63 flags fit into one bigint")
-    bits = [F.when(F.col(quoted(f)), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
-            for i, f in enumerate(flags)]
-    return reduce(lambda a, b: a + b, bits, F.lit(0).cast("bigint"))
+    bits = [f"if({quoted(f)}, {1 << i}L, 0L)" for i, f in enumerate(flags)]
+    return F.expr(" | ".join(bits) or "0L")
 
 
 def packed_flag(packed: Column, position: int) -> Column:

@@ -27,11 +27,12 @@ def join_media(occurrences: DataFrame, media: DataFrame) -> DataFrame:
     """Every record with one media identifier, or NULL.
 
     The extension is grouped to one row per record before the join, so the join cannot multiply
-    rows. The null-safe key gives the grouped side its own shuffle, which lets AQE split a heavy or
-    empty id of the record side. A media row without record id matches nothing.
+    rows. Both sides grow with the data, so the join is asked to be a sort-merge join: it needs no
+    side in memory. The null-safe key gives the grouped side its own shuffle, which lets AQE split a
+    heavy or empty id of the record side. A media row without record id matches nothing.
     """
     one = any_identifier(media).where(F.col(S.RECORD_ID).isNotNull())
-    one = one.withColumnRenamed(S.RECORD_ID, "_id")
+    one = one.withColumnRenamed(S.RECORD_ID, "_id").hint("merge")
     return occurrences.join(
         one, occurrences[S.RECORD_ID].eqNullSafe(F.col("_id")), "left"
     ).drop("_id")

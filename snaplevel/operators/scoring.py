@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snaplevel import schema as S
@@ -36,9 +36,15 @@ def clean_properties(df: DataFrame, mapping: MappingSet) -> DataFrame:
     return presence.null_sentinels(presence.media_flag_to_text(df), mapping.sentinels)
 
 
-def add_flags(df: DataFrame, mapping: MappingSet) -> DataFrame:
-    """One boolean column per element."""
-    return df.withColumns(presence.compile_rules(mapping, df.columns))
+def _typed(name: str, sql: str) -> Column:
+    cast = "cast" if CARRIED[name] == "string" else "try_cast"
+    return F.expr(f"{cast}({sql} AS {CARRIED[name]})").alias(name)
+
+
+def _in_output_order(carried: dict[str, Column], level: Column, flags: list[Column]) -> list[Column]:
+    last = (S.YEAR, S.COUNTRY, S.PHYLUM)
+    first = [c for name, c in carried.items() if name not in last]
+    return [*first, level, *flags, *[carried[name] for name in last]]
 
 
 def cast_output(df: DataFrame, flags: list[str], extra: list[str] | None = None) -> DataFrame:
@@ -47,20 +53,11 @@ def cast_output(df: DataFrame, flags: list[str], extra: list[str] | None = None)
     :func:`cast_casualties` counts those.
     """
     df = presence.add_missing_columns(df, CARRIED)
-
-    def typed(name: str):
-        column = F.col(name)
-        return (column if CARRIED[name] == "string" else column.try_cast(CARRIED[name])).alias(name)
-
+    typed = {c: _typed(c, S.quoted(c)) for c in CARRIED}
+    level = F.col(S.LEVEL).cast("tinyint").alias(S.LEVEL)
+    flag_columns = [F.col(S.quoted(f)) for f in flags]
     return df.select(
-        typed(S.RECORD_ID),
-        typed(S.DATASET),
-        F.col(S.LEVEL).cast("tinyint").alias(S.LEVEL),
-        *[F.col(S.quoted(f)) for f in flags],
-        typed(S.YEAR),
-        typed(S.COUNTRY),
-        typed(S.PHYLUM),
-        *[F.col(S.quoted(c)) for c in extra or []],
+        *_in_output_order(typed, level, flag_columns), *[F.col(S.quoted(c)) for c in extra or []]
     )
 
 
@@ -73,9 +70,17 @@ def score_records(
     """
     mapping = mapping or default_mapping()
     extra = [c for c in extra or [] if c not in CARRIED]
-    flagged = add_flags(clean_properties(scan_projected(df, mapping, extra), mapping), mapping)
-    levelled = flagged.withColumn(S.LEVEL, presence.score_level(mapping))
-    return cast_output(levelled, mapping.flags, extra)
+    rows = presence.media_flag_to_text(scan_projected(df, mapping, extra))
+    columns = rows.columns
+    # Only the carried columns need their cleaned text; the rules test the sentinels themselves.
+    carried = {
+        c: presence.cleaned_sql(c, mapping.sentinels.get(c, ())) if c in columns else "NULL"
+        for c in CARRIED
+    }
+    typed = {c: _typed(c, sql) for c, sql in carried.items()}
+    flags = [rule.alias(name) for name, rule in presence.compile_rules(mapping, columns).items()]
+    level = presence.score_level(mapping, columns).alias(S.LEVEL)
+    return rows.select(*_in_output_order(typed, level, flags), *[F.col(S.quoted(c)) for c in extra])
 
 
 def cast_casualties(df: DataFrame, mapping: MappingSet | None = None) -> DataFrame:

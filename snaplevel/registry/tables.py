@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snaplevel import schema as S
@@ -22,6 +22,10 @@ from snaplevel.operators.series import SnapshotSeries
 YEARS = (1996, 1998, 1999, 2000, 2001, 2002)
 LAST_YEAR = YEARS[-1]
 
+SOURCE_COLUMNS = (
+    "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority", "n_name"
+)
+
 # Record columns that do not depend on the snapshot.
 RECORD_COLUMNS = {
     "gbifID": "CAST(o_orderkey AS string)",
@@ -93,30 +97,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _expressions(columns: dict[str, str]) -> list[Column]:
-    return [F.expr(sql).alias(name) for name, sql in columns.items()]
+def _expressions(columns: dict[str, str]) -> list[str]:
+    return [f"{sql} AS {name}" for name, sql in columns.items()]
 
 
-def occurrences(spark: SparkSession, folder: str) -> DataFrame:
-    """One raw row per order, all text, with the columns that its snapshots need."""
+def _source_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """One narrow row per order, with the columns that the record columns are made of."""
     customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
     nations = table(spark, folder, "nation").select("n_nationkey", "n_name")
-    joined = (
+    return (
         table(spark, folder, "orders")
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+        .select(*SOURCE_COLUMNS)
     )
-    return joined.select("o_orderkey", "o_custkey", "o_orderdate", *_expressions(RECORD_COLUMNS))
 
 
 def raw_occurrences(spark: SparkSession, folder: str) -> DataFrame:
-    """Only the text columns, as a dump has them."""
-    return occurrences(spark, folder).select(*RECORD_COLUMNS)
+    """One raw row per order, all text, as a dump has them."""
+    return _source_rows(spark, folder).selectExpr(*_expressions(RECORD_COLUMNS))
 
 
 def media(spark: SparkSession, folder: str) -> DataFrame:
     """The one-to-many media extension."""
-    return table(spark, folder, "lineitem").select(*_expressions(MEDIA_COLUMNS))
+    return table(spark, folder, "lineitem").selectExpr(*_expressions(MEDIA_COLUMNS))
 
 
 def raw_series(
@@ -126,18 +130,24 @@ def raw_series(
     with_media: bool = True,
     withheld: str = WITHHELD,
 ) -> DataFrame:
-    """Raw rows of every snapshot with ``snapshot_year``. Media are joined once per record, before
-    the rows are repeated for their snapshots."""
-    records = occurrences(spark, folder)
+    """Raw rows of every snapshot with ``snapshot_year``.
+
+    Media are joined to the narrow rows, once per record; only then are the rows repeated for their
+    snapshots and widened.
+    """
+    records = _source_rows(spark, folder)
     if with_media:
-        records = join_media(records, media(spark, folder))
+        keyed = records.withColumn(S.RECORD_ID, F.col("o_orderkey").cast("string"))
+        records = join_media(keyed, media(spark, folder)).drop(S.RECORD_ID)
     all_years = F.array(*[F.lit(y) for y in sorted(years)])
     rows = records.withColumn(
         S.SNAPSHOT_YEAR, F.explode(F.filter(all_years, lambda y: y > F.year("o_orderdate")))
     ).where(f"NOT ({withheld.format(Y=S.SNAPSHOT_YEAR)})")
+    added = [c for c in rows.columns if c not in SOURCE_COLUMNS]
+    wide = rows.selectExpr(*SOURCE_COLUMNS, *added, *_expressions(RECORD_COLUMNS))
     yearly = {c: sql.format(Y=S.SNAPSHOT_YEAR) for c, sql in YEARLY_COLUMNS.items()}
-    kept = [c for c in rows.columns if c not in yearly and not c.startswith("o_")]
-    return rows.select(*kept, *_expressions(yearly))
+    kept = [c for c in RECORD_COLUMNS if c not in yearly]
+    return wide.selectExpr(*kept, *added, *_expressions(yearly))
 
 
 def scored_series(

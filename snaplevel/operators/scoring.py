@@ -26,8 +26,12 @@ def scan_projected(df: DataFrame, mapping: MappingSet, extra: list[str] | None =
     """
     spelled = {c.lower(): c for c in df.columns}
     wanted = dict.fromkeys([*CARRIED, *mapping.columns, *(extra or [])])
-    return df.select(
-        *[F.col(S.quoted(spelled[c.lower()])).alias(c) for c in wanted if c.lower() in spelled]
+    return df.selectExpr(
+        *[
+            f"{S.quoted(spelled[c.lower()])} AS {S.quoted(c)}"
+            for c in wanted
+            if c.lower() in spelled
+        ]
     )
 
 

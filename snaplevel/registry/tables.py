@@ -19,6 +19,18 @@ from snaplevel.operators.media import join_media
 from snaplevel.operators.scoring import score_records
 from snaplevel.operators.series import SnapshotSeries
 
+# Columns that the queries read, given so that no file footer is opened while a plan is built.
+TABLE_SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_returnflag string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string",
+    "pages": "page_id bigint, url string",
+}
+
 YEARS = (1996, 1998, 1999, 2000, 2001, 2002)
 LAST_YEAR = YEARS[-1]
 
@@ -94,7 +106,7 @@ CONTINENTS = ("AFRICA", "AMERICA", "ASIA", "EUROPE")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _expressions(columns: dict[str, str]) -> list[str]:

@@ -87,10 +87,18 @@ def element_rule(
 
 
 def compile_rules(mapping: MappingSet, available: Iterable[str]) -> dict[str, Column]:
-    """Flag name to boolean expression, in mapping order. The flags are never NULL."""
+    """Flag name to boolean expression, in mapping order. The flags are never NULL.
+
+    The two casts change no value. They keep a flag from being the very expression that the level
+    repeats: Catalyst derives a constraint for every way to replace rules by flags in the level, so
+    eighteen equal expressions would make 2^18 of them whenever a filter follows.
+    """
     have = list(available)
     return {
-        e.flag: F.expr(element_rule(e, have, mapping.sentinels)) for e in mapping.elements
+        e.flag: F.expr(
+            f"cast(cast(({element_rule(e, have, mapping.sentinels)}) AS tinyint) AS boolean)"
+        )
+        for e in mapping.elements
     }
 
 

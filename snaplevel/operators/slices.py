@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snaplevel import schema as S
@@ -55,22 +55,22 @@ def kingdom_completeness(
     flags = S.flag_columns(df)
     counts = element_counts(df, [S.SNAPSHOT_YEAR, S.PHYLUM])
     lookup = kingdoms.where(F.col("kingdom").isin(list(targets))).select(S.PHYLUM, "kingdom")
+    known = counts.join(lookup.withColumnRenamed("kingdom", "_kingdom"), S.PHYLUM, "left")
     if lookup_year is not None:
-        seen = counts.where(F.col(S.SNAPSHOT_YEAR) == lookup_year).select(S.PHYLUM)
-        lookup = lookup.join(seen, S.PHYLUM, "left_semi")
-    matched = counts.join(lookup, S.PHYLUM).drop(S.PHYLUM)
-    # One zero row per snapshot and target, so that empty kingdoms stay.
-    zeros = (
-        counts.select(S.SNAPSHOT_YEAR)
-        .distinct()
-        .select(
-            S.SNAPSHOT_YEAR,
-            F.lit(0).cast("bigint").alias(TOTAL),
-            *[F.lit(0).cast("bigint").alias(f) for f in flags],
-            F.explode(F.array(*[F.lit(k) for k in targets])).alias("kingdom"),
+        in_lookup = F.count_if(F.col(S.SNAPSHOT_YEAR) == lookup_year).over(
+            Window.partitionBy(S.PHYLUM)
         )
-    )
-    return _completeness(matched.unionByName(zeros), "kingdom", flags)
+        known = known.withColumn("_kingdom", F.when(in_lookup > 0, F.col("_kingdom")))
+    # Every grouped row goes to every target, with zeros where it does not belong: the few rows keep
+    # empty kingdoms without a second scan.
+    targeted = known.withColumn("kingdom", F.explode(F.array(*[F.lit(k) for k in targets])))
+    belongs = F.col("_kingdom").eqNullSafe(F.col("kingdom"))
+
+    def own(name: str) -> Column:
+        return F.when(belongs, F.col(S.quoted(name))).otherwise(0).alias(name)
+
+    rows = targeted.select("kingdom", S.SNAPSHOT_YEAR, own(TOTAL), *[own(f) for f in flags])
+    return _completeness(rows, "kingdom", flags)
 
 
 def with_false_count(completeness: DataFrame) -> DataFrame:

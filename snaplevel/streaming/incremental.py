@@ -47,7 +47,7 @@ def level_counts_stream(scored: DataFrame) -> DataFrame:
 
 
 def run_level_counts(counts: DataFrame, target: str, checkpoint: str) -> None:
-    """Process the available records and stop; ``target`` always holds the latest whole table.
+    """Process the available records and stop; ``target`` then holds the whole table.
 
     A repeated batch overwrites the same table with the same rows.
     """

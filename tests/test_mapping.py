@@ -70,6 +70,14 @@ def test_mapping_is_found_by_id(spark, tmp_path):
     assert len(lookups.read_mapping_by_id(spark, str(tmp_path), "set_1").elements) == 4
 
 
+def test_short_mapping_line_is_an_error(spark, tmp_path):
+    path = write_mapping(tmp_path / "m.tsv", FULL_HEADER, ROWS)
+    with open(path, "a") as file:
+        file.write("mids:Name\tmids:MIDS1\n")
+    with pytest.raises(ValueError, match="too few fields"):
+        lookups.read_mapping(spark, path)
+
+
 def test_group_row_outside_every_group_is_an_error():
     rows = [row("Place", 2, "dwc:lat", "owl:intersectionOf")]
     with pytest.raises(ValueError, match="in no group"):

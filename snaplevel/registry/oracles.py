@@ -102,20 +102,26 @@ continents AS (
 with_new AS (
   SELECT cur.*, py.snapshot_year AS previous_year,
     NOT EXISTS (SELECT 1 FROM scored_idx prev
-                WHERE prev.gbifID = cur.gbifID AND prev.idx = cur.idx - 1) AS is_new
+                WHERE prev.gbifID IS NOT DISTINCT FROM cur.gbifID AND prev.idx = cur.idx - 1)
+      AS is_new
   FROM scored_idx cur LEFT JOIN years py ON py.idx = cur.idx - 1),
 newcomers AS (SELECT * FROM with_new WHERE idx > 0 AND is_new),
+sql_newcomers AS (
+  SELECT * FROM scored_idx cur WHERE idx > 0 AND NOT EXISTS (
+    SELECT 1 FROM scored_idx prev WHERE prev.gbifID = cur.gbifID AND prev.idx = cur.idx - 1)),
 pairs AS (
   SELECT o.gbifID, o.datasetKey, o.idx, o.snapshot_year AS from_year, n.snapshot_year AS to_year,
     o.MIDS_level AS MIDS_level_old, n.MIDS_level AS MIDS_level_new
-  FROM scored_idx o JOIN scored_idx n ON o.gbifID = n.gbifID AND n.idx = o.idx + 1),
+  FROM scored_idx o JOIN scored_idx n
+    ON o.gbifID IS NOT DISTINCT FROM n.gbifID AND n.idx = o.idx + 1),
 counted AS (
   SELECT concat(from_year, '-', to_year) AS interval, MIDS_level_old, MIDS_level_new,
     count(*) AS n_records
   FROM pairs GROUP BY ALL),
 cohorts AS (
   SELECT c.snapshot_year AS cohort_year, s.snapshot_year, s.MIDS_level, count(*) AS n
-  FROM newcomers c JOIN scored_idx s ON c.gbifID = s.gbifID AND s.idx >= c.idx GROUP BY ALL)"""
+  FROM newcomers c JOIN scored_idx s
+    ON c.gbifID IS NOT DISTINCT FROM s.gbifID AND s.idx >= c.idx GROUP BY ALL)"""
 
 
 def _element_rows(source: str, by: str = "", where: str = "") -> str:
@@ -301,7 +307,7 @@ oracle("filter_eq", f"{_WEIGHTED} WHERE MIDS_level_old = 1 AND MIDS_level_new =
 oracle("filter_neq", f"{_WEIGHTED} WHERE MIDS_level_old <> MIDS_level_new GROUP BY ALL")
 oracle(
     "filter_lt",
-    """SELECT gbifID, datasetKey, from_year, to_year,
+    """SELECT gbifID, datasetKey, from_year, to_year, MIDS_level_old, MIDS_level_new,
       CAST(MIDS_level_new AS INTEGER) - CAST(MIDS_level_old AS INTEGER) AS change, count(*) AS n
     FROM pairs WHERE MIDS_level_new < MIDS_level_old GROUP BY ALL""",
 )
@@ -430,11 +436,10 @@ oracle(
 oracle("any_identifier", "SELECT gbifID, multimediaIdentifier FROM one_media", scored=False)
 oracle(
     "new_records",
-    """SELECT * FROM scored WHERE snapshot_year = 1999 AND gbifID NOT IN
-      (SELECT gbifID FROM scored WHERE snapshot_year = 1998)""",
+    "SELECT * EXCLUDE (idx) FROM sql_newcomers WHERE snapshot_year = 1999",
 )
 oracle(
-    "new_rows_of_series", "SELECT gbifID, snapshot_year, MIDS_level, datasetKey FROM newcomers"
+    "new_rows_of_series", "SELECT gbifID, snapshot_year, MIDS_level, datasetKey FROM sql_newcomers"
 )
 oracle(
     "cohort_ids",
@@ -446,7 +451,8 @@ oracle(
     FROM pairs GROUP BY ALL""",
 )
 _BASE = """SELECT s.snapshot_year, s.MIDS_level, count(*) AS n
-  FROM scored_idx b JOIN scored_idx s ON b.gbifID = s.gbifID WHERE b.idx = 0 GROUP BY ALL"""
+  FROM scored_idx b JOIN scored_idx s ON b.gbifID IS NOT DISTINCT FROM s.gbifID
+  WHERE b.idx = 0 GROUP BY ALL"""
 oracle("follow_base_cohort", _BASE)
 oracle("follow_cohorts", "SELECT * FROM cohorts")
 oracle(
@@ -514,8 +520,9 @@ oracle(
 )
 oracle(
     "repeated_ids",
-    """SELECT snapshot_year, count(*) AS total_rows, count(DISTINCT gbifID) AS distinct_ids,
-      count(*) - count(DISTINCT gbifID) AS surplus_rows FROM scored GROUP BY ALL""",
+    """SELECT snapshot_year, total_rows, distinct_ids, total_rows - distinct_ids AS surplus_rows
+    FROM (SELECT snapshot_year, count(*) AS total_rows,
+            count(DISTINCT coalesce(gbifID, -1)) AS distinct_ids FROM scored GROUP BY ALL)""",
 )
 oracle(
     "share_of_total",
@@ -551,7 +558,8 @@ def _top(old: int, new: int, from_year: int, to_year: int) -> str:
     name = f"records_{old}_to_{new}"
     return f"""SELECT datasetKey, n AS "{name}",
       {_pct("n", "")} AS "pct_of_all_{old}_to_{new}"
-    FROM (SELECT o.datasetKey, count(*) AS n FROM scored o JOIN scored w ON o.gbifID = w.gbifID
+    FROM (SELECT o.datasetKey, count(*) AS n FROM scored o
+          JOIN scored w ON o.gbifID IS NOT DISTINCT FROM w.gbifID
           WHERE o.snapshot_year = {from_year} AND w.snapshot_year = {to_year}
             AND o.MIDS_level = {old} AND w.MIDS_level = {new} GROUP BY o.datasetKey)
     ORDER BY n DESC, datasetKey NULLS FIRST LIMIT 10"""
@@ -593,7 +601,7 @@ oracle(
     "new_record_levels",
     f"""SELECT MIDS_level, n, {_pct("n", "PARTITION BY snapshot_year")} AS percent,
       snapshot_year AS year
-    FROM (SELECT snapshot_year, MIDS_level, count(*) AS n FROM newcomers GROUP BY ALL)""",
+    FROM (SELECT snapshot_year, MIDS_level, count(*) AS n FROM sql_newcomers GROUP BY ALL)""",
 )
 oracle(
     "element_trend_fraction",

@@ -400,7 +400,7 @@ def filter_neq(spark, folder):
 
 @query
 def filter_lt(spark, folder):
-    columns = [S.RECORD_ID, S.DATASET, "from_year", "to_year", "change", "n"]
+    columns = [S.RECORD_ID, S.DATASET, "from_year", "to_year", OLD, NEW, "change", "n"]
     return A.declines(_series(spark, folder)).select(*columns)
 
 

@@ -38,9 +38,16 @@ SOURCE_COLUMNS = (
     "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority", "n_name"
 )
 
+# Some orders share the id of the next order and some have none, as happens in real dumps.
+ORDER_ID = "CAST(o_orderkey AS string)"
+RECORD_ID_SQL = (
+    "CASE WHEN o_orderkey % 113 = 0 THEN NULL"
+    f" WHEN o_orderkey % 71 = 0 THEN CAST(o_orderkey + 1 AS string) ELSE {ORDER_ID} END"
+)
+
 # Record columns that do not depend on the snapshot.
 RECORD_COLUMNS = {
-    "gbifID": "CAST(o_orderkey AS string)",
+    "gbifID": RECORD_ID_SQL,
     "basisOfRecord": "CASE o_orderstatus WHEN 'O' THEN 'PRESERVED_SPECIMEN'"
     " WHEN 'F' THEN 'FOSSIL_SPECIMEN' ELSE 'HUMAN_OBSERVATION' END",
     "datasetKey": "CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_custkey % 3 = 0 THEN 'ds-0'"
@@ -141,6 +148,7 @@ def raw_series(
     years: Iterable[int] = YEARS,
     with_media: bool = True,
     withheld: str = WITHHELD,
+    record_id: str = RECORD_ID_SQL,
 ) -> DataFrame:
     """Raw rows of every snapshot with ``snapshot_year``.
 
@@ -149,14 +157,15 @@ def raw_series(
     """
     records = _source_rows(spark, folder)
     if with_media:
-        keyed = records.withColumn(S.RECORD_ID, F.col("o_orderkey").cast("string"))
+        keyed = records.withColumn(S.RECORD_ID, F.expr(record_id))
         records = join_media(keyed, media(spark, folder)).drop(S.RECORD_ID)
     all_years = F.array(*[F.lit(y) for y in sorted(years)])
     rows = records.withColumn(
         S.SNAPSHOT_YEAR, F.explode(F.filter(all_years, lambda y: y > F.year("o_orderdate")))
     ).where(f"NOT ({withheld.format(Y=S.SNAPSHOT_YEAR)})")
     added = [c for c in rows.columns if c not in SOURCE_COLUMNS]
-    wide = rows.selectExpr(*SOURCE_COLUMNS, *added, *_expressions(RECORD_COLUMNS))
+    columns = {**RECORD_COLUMNS, S.RECORD_ID: record_id}
+    wide = rows.selectExpr(*SOURCE_COLUMNS, *added, *_expressions(columns))
     yearly = {c: sql.format(Y=S.SNAPSHOT_YEAR) for c, sql in YEARLY_COLUMNS.items()}
     kept = [c for c in RECORD_COLUMNS if c not in yearly]
     return wide.selectExpr(*kept, *added, *_expressions(yearly))

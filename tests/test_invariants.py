@@ -21,10 +21,10 @@ FOLDER = os.path.join(TESTDATA, "sf0.01")
 
 @pytest.fixture(scope="module")
 def series(spark, tmp_path_factory):
-    """The scored series, written once and read back as the analyses do."""
+    """The scored series with unique ids, written once and read back as the analyses do."""
     path = str(tmp_path_factory.mktemp("scored") / "t")
-    found = tables.scored_series(spark, FOLDER)
-    found.rows.write.partitionBy(S.SNAPSHOT_YEAR).parquet(path)
+    raw = tables.raw_series(spark, FOLDER, record_id=tables.ORDER_ID)
+    score_records(raw, extra=[S.SNAPSHOT_YEAR]).write.partitionBy(S.SNAPSHOT_YEAR).parquet(path)
     return SnapshotSeries.of(spark.read.parquet(path))
 
 
@@ -58,6 +58,17 @@ def test_matched_plus_new_is_the_total(series):
         assert matched[i] + new[year] == totals[year]
 
 
+def test_repeated_ids_make_matched_plus_new_exceed_the_total(spark):
+    series = tables.scored_series(spark, FOLDER)
+    totals = {r[S.SNAPSHOT_YEAR]: r["n"] for r in A.row_counts(series).collect()}
+    matched = sums(A.transition_counts(series), S.SNAPSHOT_IDX, "n_records")
+    new = {r.year: r.total_new for r in A.new_record_elements(series).collect()}
+    surplus = {r[S.SNAPSHOT_YEAR]: r["surplus_rows"] for r in X.repeated_ids(series).collect()}
+    assert all(s > 0 for s in surplus.values())
+    for i, year in enumerate(series.years[1:]):
+        assert matched[i] + new[year] > totals[year]
+
+
 def test_decreases_equal_declines(series):
     down = A.direction_summary(series).where("direction = 'Decrease'").agg(F.sum("n_records"))
     severity = A.decline_severity(series).agg(F.sum("specimens_declined"))
@@ -91,7 +102,11 @@ def test_cohort_entry_equals_new_records(series):
 def test_measured_counts_of_the_fixture_recipe(spark):
     """Record counts under the other withholding rule that the fixtures were measured with."""
     raw = tables.raw_series(
-        spark, FOLDER, (1999, 2000, 2002), withheld="(o_orderkey * 31 + {Y}) % 53 = 0"
+        spark,
+        FOLDER,
+        (1999, 2000, 2002),
+        withheld="(o_orderkey * 31 + {Y}) % 53 = 0",
+        record_id=tables.ORDER_ID,
     )
     scored = score_records(raw, extra=[S.SNAPSHOT_YEAR])
     pair = SnapshotSeries.of(scored, (1999, 2000))

@@ -112,3 +112,26 @@ def test_packed_flags(spark):
     got = df.select("p", *[presence.packed_flag(F.col("p"), i) for i in range(18)]).collect()
     assert [r[0] for r in got] == [0, 5, 2**18 - 1]
     assert [list(r)[1:] for r in got] == [[(n >> i) & 1 for i in range(18)] for n in (0, 5, 2**18 - 1)]
+
+
+def test_column_names_with_hyphens(spark):
+    from snaplevel.mappings import Alternative, Element, MappingSet
+
+    columns = ("Gathering-LatitudeDecimal", "Gathering-LongitudeDecimal")
+    mapping = MappingSet(
+        (Element(0, "QuantitativeLocation", (Alternative(columns),)),), {columns[0]: ("",)}
+    )
+    df = frame(spark, {"gbifID": "1", columns[0]: "1", columns[1]: "2"},
+               {"gbifID": "2", columns[0]: "", columns[1]: "2"})
+    assert levels(df, mapping) == [0, -1]
+
+
+def test_a_filter_over_flags_and_level_plans_quickly(spark):
+    """Flags and level share their rules; the optimizer must not combine them exhaustively."""
+    import time
+
+    scored = scoring.score_records(frame(spark, FULL))
+    grouped = scored.groupBy(S.LEVEL, *map(S.quoted, default_mapping().flags)).count()
+    start = time.monotonic()
+    grouped.where("`count` > 0")._jdf.queryExecution().optimizedPlan()
+    assert time.monotonic() - start < 20

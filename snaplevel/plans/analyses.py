@@ -11,7 +11,7 @@ from snaplevel.functions.shares import fraction, group_total, percent, with_join
 from snaplevel.operators import series as X
 from snaplevel.operators.series import NEW, OLD, SnapshotSeries
 from snaplevel.operators.summary import (
-    NAME, PCT, TOTAL, TRUE, count_by_key, element_counts, largest_per_group, level_distribution,
+    NAME, PCT, TOTAL, TRUE, count_by_key, element_counts, largest_per_group,
     stack_elements_levels, unpivot_elements,
 )
 
@@ -104,12 +104,14 @@ def new_record_levels(series: SnapshotSeries) -> DataFrame:
 def new_record_elements(series: SnapshotSeries) -> DataFrame:
     """Element completeness (0-1) of the records each snapshot adds.
 
-    The flags travel through the shuffles as one packed number.
+    The flags travel through the shuffles as one packed number. New records are grouped by that number
+    before it is unpacked: there are few combinations of flags, so the per-element sums see few rows.
     """
     flags = S.flag_columns(series.rows)
     packed = presence.pack_flags(flags).alias("_flags")
     new = X.new_observations(series, packed, empty_ids_match=True)
-    wide = new.groupBy(S.SNAPSHOT_IDX).agg(
+    combinations = new.groupBy(S.SNAPSHOT_IDX, "_flags").agg(F.sum(X.N).alias(X.N))
+    wide = combinations.groupBy(S.SNAPSHOT_IDX).agg(
         F.sum(X.N).alias("total_new"),
         *[
             F.sum(presence.packed_flag(F.col("_flags"), i) * F.col(X.N)).alias(f)

@@ -18,7 +18,7 @@ from snaplevel.operators import series as X
 from snaplevel.operators.series import NEW, OLD
 from snaplevel.plans import analyses as A
 from snaplevel.registry import tables
-from snaplevel.registry.tables import LAST_YEAR, YEARS
+from snaplevel.registry.tables import LAST_YEAR
 from snaplevel.sources import lookups, sinks, snapshots, text
 from snaplevel.sources.workdir import work_folder
 from snaplevel.streaming import incremental

@@ -11,8 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from snaplevel.schema import quoted
+from snaplevel.sources import sinks
 
 LINE = "value"
 SEPARATOR = "\t"
@@ -20,15 +21,27 @@ SEPARATOR = "\t"
 
 def read_header(spark: SparkSession, path: str | list[str]) -> list[str]:
     """Column names from the first line."""
-    first = spark.read.text(path).first()
+    first = _text(spark, path).first()
     if first is None:
         raise ValueError(f"no lines in {path}")
     return first[LINE].split(SEPARATOR)
 
 
+def _text(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines that end in a line feed, or in carriage return and line feed.
+
+    A carriage return elsewhere belongs to its field.
+    """
+    line = F.col(LINE)
+    without_return = F.expr(f"left({LINE}, char_length({LINE}) - 1)")
+    return spark.read.text(path, lineSep="\n").select(
+        F.when(F.endswith(line, F.lit("\r")), without_return).otherwise(line).alias(LINE)
+    )
+
+
 def _lines(spark: SparkSession, path: str | list[str], columns: Sequence[str]) -> DataFrame:
     """Data lines with their fields; header lines (one per file) and blank lines left out."""
-    lines = spark.read.text(path).where(
+    lines = _text(spark, path).where(
         (F.col(LINE) != SEPARATOR.join(columns)) & (F.col(LINE) != "")
     )
     return lines.withColumn("_fields", F.split(F.col(LINE), SEPARATOR, -1))
@@ -101,22 +114,16 @@ def ingest_split(
     Every task writes its own file per value of ``by``. Nothing is shuffled, so a dominant value
     stays spread over the tasks.
     """
-    from snaplevel.sources import sinks
-
     columns = list(columns or read_header(spark, path))
     sinks.write_partitioned(read_delimited(spark, path, columns), target, by)
     sinks.write_csv(capture_rejects(spark, path, columns), rejects)
-    accepted = spark.read.parquet(target).agg(F.count(F.lit(1)).alias("accepted"))
+    written = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    accepted = spark.read.schema(written).parquet(target).agg(F.count(F.lit(1)).alias("accepted"))
     n_rejected = spark.read.schema("line string, n_fields int, n_expected int").csv(
-        rejects, header=True, quote='"', escape='"'
+        rejects, header=True, escape='"', lineSep="\n"
     ).agg(F.count(F.lit(1)).alias("rejected"))
     both = accepted.withColumn("rejected", n_rejected.scalar())
     total = F.col("accepted") + F.col("rejected")
     return both.withColumn(
         "rejected_ratio", F.try_divide(F.col("rejected").cast("double"), total.cast("double"))
     )
-
-
-def partition_value(column: str) -> Column:
-    """A partition column as text, for use after reading a partitioned folder back."""
-    return F.col(quoted(column)).cast("string")

@@ -52,6 +52,22 @@ def test_ingest_split(spark, dump, tmp_path):
     }
 
 
+def test_line_ends(spark, tmp_path):
+    path = tmp_path / "crlf.txt"
+    path.write_bytes(b"a\tb\r\n1\tx\ry\r\n2\r\n3\tz\r\n")
+    assert sorted(tuple(r) for r in text.read_delimited(spark, str(path)).collect()) == [
+        ("1", "x\ry"), ("3", "z")
+    ]
+    assert [r.line for r in text.capture_rejects(spark, str(path)).collect()] == ["2"]
+
+
+def test_ingest_of_a_dump_without_good_lines(spark, tmp_path):
+    (tmp_path / "bad.txt").write_text("a\tbasisOfRecord\n1\n2 \r x\n")
+    out = [str(tmp_path / "parquet"), str(tmp_path / "rejects")]
+    audit = text.ingest_split(spark, str(tmp_path / "bad.txt"), *out)
+    assert tuple(audit.first()) == (0, 2, 1.0)
+
+
 def test_media_joins(spark):
     occ = spark.createDataFrame([("1", "x"), ("2", "y"), ("3", "z"), (None, "w")], "gbifID string, v string")
     media = spark.createDataFrame(
@@ -82,7 +98,7 @@ def test_heavy_id_of_the_record_side_is_split(spark):
         for k, v in settings.items():
             spark.conf.set(k, v)
         occ = spark.range(0, 300_000, 1, 8).select(
-            F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).cast("string").alias("gbifID"),
+            F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("string").alias("gbifID"),
             F.sha2(F.col("id").cast("string"), 256).alias("payload"),
         )
         media = spark.range(0, 300_000, 1, 8).select(

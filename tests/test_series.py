@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -186,6 +187,23 @@ def test_one_heavy_id_in_two_large_snapshots_is_counted_not_paired(spark):
     assert X.matched_levels(s).agg(F.sum("n")).first()[0] == 300_000 * 300_000
 
 
+def test_stated_uniqueness_saves_a_shuffle_and_changes_no_result(spark):
+    rows, years = random_rows(1)  # with repeated ids all the same
+    plain = series(spark, rows, years, FLAGGED)
+    stated = replace(plain, ids_unique=True)
+    analyses = (
+        A.new_record_levels, A.new_record_elements, A.level_transitions, A.base_cohort_levels,
+        A.intake_cohort_levels, A.decline_severity, X.repeated_ids,
+        lambda s: A.top_level_drop(s, years[0], years[-1]),
+    )
+    for analysis in analyses:
+        assert sorted(map(str, analysis(stated).collect())) == sorted(
+            map(str, analysis(plain).collect())
+        )
+    plan = X.matched_levels(stated)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
 def test_series_analyses_need_two_shuffles_and_no_join(spark):
     rows, years = random_rows(0)
     s = series(spark, rows, years, FLAGGED)

@@ -5,17 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaplevel.llm import mixing
+from snaplevel.llm import bpe, mixing, token_counts
 from snaplevel.llm.common import read
 
+BYTE_BPE = "byte_bpe_50k.json"
+
+
+def vocabulary(name: str) -> str:
+    """The path of a public vocabulary file on this machine; executors have it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix_sources(read(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    path = vocabulary(BYTE_BPE)
+    decoded = bpe.decode(bpe.encode(read(spark, folder, "documents"), path), path)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, folder, "documents"), vocabulary(BYTE_BPE))
+
+
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
+    "op5_bpe_encoding": op5_bpe_encoding,
+    "op8_token_counts": op8_token_counts,
 }
 
 OP2_SQL = r"""

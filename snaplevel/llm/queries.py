@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaplevel.llm import bpe, mixing, token_counts
+from snaplevel.llm import bpe, fingerprints, mixing, token_counts
 from snaplevel.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -34,6 +34,10 @@ def op5_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(read(spark, folder, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, folder, "documents"), vocabulary(BYTE_BPE))
 
@@ -41,6 +45,7 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op5_bpe_encoding": op5_bpe_encoding,
+    "op6_fingerprints": op6_fingerprints,
     "op8_token_counts": op8_token_counts,
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaplevel.llm import bpe, fingerprints, mixing, token_counts
+from snaplevel.llm import bpe, fingerprints, line_dedup, mixing, token_counts
 from snaplevel.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -42,11 +42,17 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, folder, "documents"), vocabulary(BYTE_BPE))
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = line_dedup.deduplicate_lines(read(spark, folder, "documents"))
+    return docs.select("doc_id", "n_lines", "n_kept", "text")
+
+
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op5_bpe_encoding": op5_bpe_encoding,
     "op6_fingerprints": op6_fingerprints,
     "op8_token_counts": op8_token_counts,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 OP2_SQL = r"""
@@ -88,6 +94,47 @@ SELECT doc_id, size, source_size, target, (size * coalesce(copies, 0))::BIGINT A
 FROM queue LEFT JOIN taken USING (n)
 """
 
+#: The lines of the pairs compared share a half; whether they are one edit apart is asked character by character.
+OP9_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, pos, parts[pos] AS line FROM (
+    SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS pos
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))
+), firsts AS (
+  SELECT line, min((doc_id, pos)) AS first, length(line) AS n FROM lines
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line
+), long AS (SELECT * FROM firsts WHERE n >= 20
+), pairs AS (
+  SELECT a.line AS a, b.line AS b, a.first AS fa, b.first AS fb FROM long a JOIN long b
+  ON b.n = a.n AND substr(a.line, 1, a.n // 2) = substr(b.line, 1, a.n // 2) AND a.line < b.line
+  UNION SELECT a.line, b.line, a.first, b.first FROM long a JOIN long b
+  ON b.n = a.n AND substr(a.line, a.n // 2 + 2) = substr(b.line, a.n // 2 + 2) AND a.line < b.line
+  UNION SELECT a.line, b.line, a.first, b.first FROM long a JOIN long b
+  ON b.n = a.n + 1 AND substr(a.line, 1, a.n // 2) = substr(b.line, 1, a.n // 2)
+  UNION SELECT a.line, b.line, a.first, b.first FROM long a JOIN long b
+  ON b.n = a.n + 1 AND substr(a.line, a.n // 2 + 1) = substr(b.line, a.n // 2 + 2)
+), agreeing AS (
+  SELECT *, (SELECT coalesce(max(i), 0) FROM range(1, length(a) + 1) t(i) WHERE substr(a, 1, i) = substr(b, 1, i)) AS front
+  FROM pairs
+), near AS (
+  SELECT CASE WHEN fa < fb THEN b ELSE a END AS line FROM agreeing
+  WHERE substr(a, front + 1 + (length(a) = length(b))::INT) = substr(b, front + 2)
+), kept AS (
+  SELECT first.doc_id AS doc_id, first.pos AS pos FROM (
+    SELECT struct_pack(doc_id := first[1], pos := first[2]) AS first FROM firsts WHERE line NOT IN (SELECT line FROM near))
+  UNION ALL
+  SELECT doc_id, pos FROM lines WHERE NOT regexp_matches(line, '[^\x20\x09-\x0D]')
+), left_over AS (
+  SELECT doc_id, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY pos) AS text
+  FROM kept JOIN lines USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines,
+       coalesce(n_kept, 0)::BIGINT AS n_kept,
+       CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text
+FROM documents d LEFT JOIN left_over k USING (doc_id)
+"""
+
 ORACLES = {
+    "op9_line_dedup": OP9_SQL,
     "op2_mix_sources": OP2_SQL,
 }

@@ -40,7 +40,7 @@ class WordCounts(dict):
         except KeyError:
             if len(self) > REMEMBERED:
                 self.clear()
-            new = list(set(words).difference(self))
+            new = [w for w in set(words) if w not in self]
             self.update(zip(new, map(len, self.bpe.encode_words(new)), strict=True))
             return sum(map(self.__getitem__, words))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaplevel.llm import bpe, fingerprints, line_dedup, mixing, token_counts
+from snaplevel.llm import bpe, fingerprints, line_dedup, mixing, quality, token_counts
 from snaplevel.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -23,6 +23,13 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
+    weights = quality.train(docs, labels.filter(~quality.held_out(F.col("doc_id"))))
+    scored = quality.score(docs, weights, threshold=0.3)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
     path = vocabulary(BYTE_BPE)
     decoded = bpe.decode(bpe.encode(read(spark, folder, "documents"), path), path)
@@ -49,6 +56,7 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_bpe_encoding": op5_bpe_encoding,
     "op6_fingerprints": op6_fingerprints,
     "op8_token_counts": op8_token_counts,

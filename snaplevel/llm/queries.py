@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaplevel.llm import bpe, fingerprints, line_dedup, mixing, quality, token_counts
+from snaplevel.llm import bpe, fingerprints, line_dedup, mixing, ngram_join, quality, token_counts
 from snaplevel.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -23,6 +23,10 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, folder, "documents")).drop("key")
+
+
 def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
     weights = quality.train(docs, labels.filter(~quality.held_out(F.col("doc_id"))))
@@ -56,6 +60,7 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_ngram_join": op3_ngram_join,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_bpe_encoding": op5_bpe_encoding,
     "op6_fingerprints": op6_fingerprints,
@@ -102,6 +107,29 @@ SELECT doc_id, size, source_size, target, (size * coalesce(copies, 0))::BIGINT A
 FROM queue LEFT JOIN taken USING (n)
 """
 
+#: Pairs of different sets that share a shingle are counted; components by walking the links.
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(
+    [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)])) END AS s FROM words
+), classes AS (
+  SELECT min(doc_id) AS c, any_value(s) AS s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY md5(array_to_string(s, chr(10))), len(s)
+), members AS (SELECT c, n, unnest(s) AS m FROM classes
+), several AS (SELECT * FROM members WHERE m IN (SELECT m FROM members GROUP BY m HAVING count(*) > 1)
+), links AS (
+  SELECT a.c AS x, b.c AS y FROM several a JOIN several b ON a.m = b.m AND a.c <> b.c AND 4 * a.n >= 3 * b.n AND 4 * b.n >= 3 * a.n
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT c AS x, c AS y FROM classes UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), least AS (SELECT x AS c, min(y) AS component_id FROM reach GROUP BY x
+), named AS (SELECT md5(array_to_string(s, chr(10))) AS h, n, component_id FROM classes JOIN least USING (c))
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM sets LEFT JOIN named ON len(s) > 0 AND len(s) = n AND md5(array_to_string(s, chr(10))) = h
+"""
+
 #: The lines of the pairs compared share a half; whether they are one edit apart is asked character by character.
 OP9_SQL = r"""
 WITH lines AS (
@@ -143,6 +171,7 @@ FROM documents d LEFT JOIN left_over k USING (doc_id)
 """
 
 ORACLES = {
+    "op3_ngram_join": OP3_SQL,
     "op9_line_dedup": OP9_SQL,
     "op2_mix_sources": OP2_SQL,
 }

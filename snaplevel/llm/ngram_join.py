@@ -361,14 +361,14 @@ def dense_links(postings: DataFrame, classes: DataFrame) -> DataFrame:
     nodes = saved(_rooted(cluster, star, "part"), "cluster-parts")
     large = nodes.groupBy("cluster", "part").count().filter(F.col("count") >= TILE // 2).select("cluster", "part", F.lit(True).alias("large"))
     nodes = nodes.join(large, ["cluster", "part"], "left")
-    nodes = nodes.withColumn("part", F.when("large", F.col("part")).otherwise(F.lit(None)))
+    nodes = nodes.withColumn("part", F.when(F.col("large"), F.col("part")).otherwise(F.lit(None)))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(DENOMINATOR / NUMERATOR) + 1e-9).cast("int")
     nodes = nodes.select("owner", "cluster", "part", band.alias("band"))
-    tiles = nodes.groupBy("cluster", "part", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    same = nodes["cluster"].eqNullSafe(tiles["cluster"]) & nodes["part"].eqNullSafe(tiles["part"]) & (nodes["band"] == tiles["band"])
+    nodes = nodes.withColumn("of", F.xxhash64("cluster", "part", "band"))
+    tiles = nodes.groupBy("of").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     number = F.pmod(F.xxhash64("owner", F.lit(1)), F.col("tiles"))
-    dealt = nodes.join(tiles, same).select("owner", nodes["cluster"], nodes["part"], nodes["band"], number.alias("number"))
-    dealt = dealt.withColumn("tile", F.xxhash64("cluster", "part", "band", "number"))
+    dealt = nodes.join(tiles, "of").withColumn("tile", F.xxhash64("of", "cluster", "part", "band", number))
+    dealt = dealt.select("owner", "cluster", "part", "band", "tile")
     key = ["tile", "cluster", "part", "band"]
     packed = dealt.join(classes, "owner").groupBy(*key).agg(F.collect_list(F.struct("owner", "n", "members")).alias("classes"))
     packed = saved(packed, "tiles")

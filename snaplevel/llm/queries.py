@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaplevel.llm import bpe, fingerprints, line_dedup, mixing, ngram_join, quality, token_counts
+from snaplevel.llm import bpe, embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, quality, token_counts
 from snaplevel.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -58,6 +58,10 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_kept", "text")
 
 
+def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, folder, "embeddings"), threshold=0.98)
+
+
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_ngram_join": op3_ngram_join,
@@ -66,6 +70,7 @@ QUERIES = {
     "op6_fingerprints": op6_fingerprints,
     "op8_token_counts": op8_token_counts,
     "op9_line_dedup": op9_line_dedup,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 OP2_SQL = r"""
@@ -170,8 +175,26 @@ SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_li
 FROM documents d LEFT JOIN left_over k USING (doc_id)
 """
 
+OP10_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98
+), reach AS (
+  SELECT DISTINCT x, x AS y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), least AS (SELECT x, min(y) AS y FROM reach GROUP BY x
+), counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(y, vec_id) AS component_id,
+       coalesce(y, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN least ON vec_id = least.x LEFT JOIN counts ON vec_id = counts.x
+"""
+
 ORACLES = {
     "op3_ngram_join": OP3_SQL,
     "op9_line_dedup": OP9_SQL,
+    "op10_embedding_dedup": OP10_SQL,
     "op2_mix_sources": OP2_SQL,
 }

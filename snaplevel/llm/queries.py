@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaplevel.llm import bpe, embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, quality, token_counts
+from snaplevel.llm import bpe, embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, quality, token_counts, warc
 from snaplevel.llm.common import read
+from snaplevel.sources.workdir import work_folder
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -18,6 +19,33 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages to WARC archives and back; a page's record id is its number, "null" without one."""
+    path = work_folder(spark, "warc")
+    name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("null")))
+    pages = read(spark, folder, "pages").select(
+        F.col("page_id").cast("long").alias("page_id"),
+        F.col("url").alias("target_uri"),
+        F.col("html").cast("binary").alias("payload"),
+        F.lit("text/html; charset=utf-8").alias("content_type"),
+    )
+    records = warc.with_revisits(pages, F.col("page_id"))
+    records = records.withColumn("record_id", name(F.col("page_id")))
+    records = records.withColumn("refers_to", F.when(F.col("refers_key").isNotNull(), name(F.col("refers_key"))))
+    warc.write_warc(records, path)
+
+    number = lambda c: F.expr(f"try_cast(substr({c}, 10) AS bigint)")
+    back = warc.read_warc(spark, path).filter(F.col("record_type").isin("response", "revisit"))
+    response = F.col("record_type") == "response"
+    return back.select(
+        number("record_id").alias("page_id"),
+        F.when(response, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
+        F.when(response, F.sha1("payload")).otherwise(F.col("payload_sha1")).alias("payload_digest"),
+        "record_type",
+        number("refers_to").alias("refers_to"),
+    )
+
+
 def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix_sources(read(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -63,6 +91,7 @@ def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_mix_sources": op2_mix_sources,
     "op3_ngram_join": op3_ngram_join,
     "op4_quality_classifier": op4_quality_classifier,
@@ -73,6 +102,15 @@ QUERIES = {
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
+OP1_SQL = """
+WITH bodies AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n FROM pages
+), kept AS (SELECT body, max(page_id) AS page_id FROM bodies WHERE n >= 1000 GROUP BY body)
+SELECT b.page_id, n::BIGINT AS payload_bytes, sha1(b.body) AS payload_digest,
+       CASE WHEN k.page_id > b.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN k.page_id > b.page_id THEN k.page_id END AS refers_to
+FROM bodies b LEFT JOIN kept k ON b.body = k.body
+"""
+
 OP2_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(text, '~') AS body,
@@ -193,6 +231,7 @@ FROM embeddings LEFT JOIN least ON vec_id = least.x LEFT JOIN counts ON vec_id =
 """
 
 ORACLES = {
+    "op1_warc": OP1_SQL,
     "op3_ngram_join": OP3_SQL,
     "op9_line_dedup": OP9_SQL,
     "op10_embedding_dedup": OP10_SQL,

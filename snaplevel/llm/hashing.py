@@ -94,6 +94,8 @@ def word_groups(
     Words are runs of anything but ASCII white space; the shape of a word is its bytes' kinds, runs as one.
     Null counts as empty. A group has about AT_ONCE bytes or is a single text.
     """
+    if not len(texts):
+        return
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     buffer = texts.buffers()[2]
     data = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)

@@ -112,6 +112,26 @@ def train(
     return (share @ np.stack([np.frombuffer(r["weights"], np.float32) for r in found]) / share.sum()).astype(np.float32)
 
 
+def scores_of(texts: pa.Array, w: np.ndarray) -> np.ndarray:
+    total = np.full(len(texts), w[-1])
+    for k, grams in features(texts):
+        if len(grams):
+            total[k] += SCALE * w[grams.astype(np.int64)].mean()
+    return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+
+def accepted(docs: DataFrame, weights: np.ndarray, *, text_column: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The documents that score at least the threshold, with all their columns; see `score`."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value.astype(np.float64)
+        for batch in batches:
+            yield batch.filter(pa.array(scores_of(batch[text_column], w) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(
     docs: DataFrame,
     weights: np.ndarray,
@@ -131,12 +151,7 @@ def score(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value.astype(np.float64)
         for batch in batches:
-            total = np.full(batch.num_rows, w[-1])
-            for k, grams in features(batch["text"]):
-                if len(grams):
-                    total[k] += SCALE * w[grams.astype(np.int64)].mean()
-            scores = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores_of(batch["text"], w))], ["doc_id", "score"])
 
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), F.coalesce(docs[text_column], F.lit("")).alias("text"))
     scored = rows.mapInArrow(run, "doc_id long, score double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaplevel.llm import bpe, embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, quality, token_counts, warc
+from snaplevel.llm import bpe, embedding_dedup, fingerprints, license_scan, line_dedup, mixing, ngram_join, quality, token_counts, warc
 from snaplevel.llm.common import read
 from snaplevel.sources.workdir import work_folder
 
@@ -77,6 +77,10 @@ def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_edits(read(spark, folder, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(read(spark, folder, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, folder, "documents"), vocabulary(BYTE_BPE))
 
@@ -97,6 +101,7 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_bpe_encoding": op5_bpe_encoding,
     "op6_fingerprints": op6_fingerprints,
+    "op7_license_scan": op7_license_scan,
     "op8_token_counts": op8_token_counts,
     "op9_line_dedup": op9_line_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
@@ -173,6 +178,28 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS c
 FROM sets LEFT JOIN named ON len(s) > 0 AND len(s) = n AND md5(array_to_string(s, chr(10))) = h
 """
 
+#: Every window of every text against every notice of its length, by their shingles as text.
+_NOTICES = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in notice)) for notice in license_scan.NOTICES)
+OP7_SQL = rf"""
+WITH notices AS (
+  SELECT license, regexp_extract_all(lower(notice), '[\p{{L}}\p{{N}}]+') AS w FROM (VALUES {_NOTICES}) t(license, notice)
+), wanted AS (
+  SELECT license, len(w) AS n, list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) AS s FROM notices
+), words AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, n, at_, w[at_ + 1:at_ + 2 * n] AS w FROM (
+    SELECT doc_id, n, w, unnest(range(0, len(w), n)) AS at_ FROM words, (SELECT DISTINCT n FROM wanted))
+), held AS (
+  SELECT doc_id, n, at_, [array_to_string(w[i:i + 4], ' ') for i in range(1, greatest(len(w) - 3, 2))] AS s FROM windows
+), found AS (
+  SELECT doc_id, license, at_, len(list_intersect(held.s, wanted.s)) / len(wanted.s)::DOUBLE AS containment
+  FROM held JOIN wanted USING (n) WHERE list_has_any(held.s, wanted.s)
+)
+SELECT doc_id, license, max(containment) AS containment, min(at_)::INTEGER AS at FROM found WHERE containment >= 0.75
+GROUP BY doc_id, license
+"""
+
 #: The lines of the pairs compared share a half; whether they are one edit apart is asked character by character.
 OP9_SQL = r"""
 WITH lines AS (
@@ -233,6 +260,7 @@ FROM embeddings LEFT JOIN least ON vec_id = least.x LEFT JOIN counts ON vec_id =
 ORACLES = {
     "op1_warc": OP1_SQL,
     "op3_ngram_join": OP3_SQL,
+    "op7_license_scan": OP7_SQL,
     "op9_line_dedup": OP9_SQL,
     "op10_embedding_dedup": OP10_SQL,
     "op2_mix_sources": OP2_SQL,

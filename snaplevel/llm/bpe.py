@@ -1,13 +1,13 @@
 """Byte-level BPE by a table of distinct words.
 
-Documents are split into words in Spark tasks. The words that occur are counted, each distinct one is encoded
-once, and the ids come back to the documents by the position of each word. Ids are decoded by a join with the
-table of id and piece.
+Documents are split into words in Spark tasks. The distinct words are counted over all documents, each frequent
+one is encoded once, and the ids come back to the documents by the position of each word. Ids are decoded by a
+join with the table of id and piece.
 
 The way back is a hash join with the most frequent words: as many as fit into `head` entries, a bound that
-doesn't grow with the data. A word beyond them is rare; sending every position of every rare word, and with
-them the documents that wait for it, through a shuffle would move more than the whole text, so the task
-that meets such a word encodes it on the spot, once per batch of documents.
+doesn't grow with the data. A word beyond them is rare, most of them occur once; sending every position of
+every rare word, and with them the documents that wait for it, through a shuffle would move more than the whole
+text, so the task that meets such a word encodes it on the spot, once per batch of documents.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ from snaplevel.llm import byte_bpe
 from snaplevel.llm.common import saved
 
 #: Entries of the joined table of words, distinct words counted at a time in one task.
-HEAD, COUNTED = 262_144, 400_000
+HEAD, COUNTED = 524_288, 400_000
 
 
 def _count_words(path: str):
@@ -54,18 +56,15 @@ def _encode_words(path: str):
         bpe = byte_bpe.load(path)
         for batch in batches:
             ids = bpe.encode_words(batch["word"].to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch["word"], batch["n"], pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"]
-            )
+            yield pa.RecordBatch.from_arrays([batch["word"], pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
     return encode
 
 
-def word_table(docs: DataFrame, vocabulary: str, text_column: str = "text") -> DataFrame:
-    """Every distinct word of the texts with its number of occurrences and its ids."""
+def distinct_words(docs: DataFrame, vocabulary: str, text_column: str = "text") -> DataFrame:
+    """Every distinct word of the texts with its number of occurrences."""
     texts = docs.filter(docs[text_column].isNotNull()).select(docs[text_column].alias("text"))
-    counts = texts.mapInArrow(_count_words(vocabulary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counts.mapInArrow(_encode_words(vocabulary), "word string, n long, ids array<int>")
+    return texts.mapInArrow(_count_words(vocabulary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def head_of(words: DataFrame, head: int) -> DataFrame:
@@ -84,26 +83,46 @@ def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     return (batch.slice(k, rows) for k in range(0, batch.num_rows, rows))
 
 
+def _gathered(flat: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of `flat` (piece k ends at ends[k]) of the numbers in `which`, one after another, and their lengths."""
+    starts = np.concatenate([[0], ends[:-1]])
+    lengths = (ends - starts)[which]
+    upto = np.cumsum(lengths)
+    at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(starts[which] - (upto - lengths), lengths)
+    return flat[at], lengths
+
+
+def _upto(lengths: np.ndarray, counts: list[int]) -> pa.Array:
+    """Offsets of lists of so many pieces each."""
+    return pa.array(np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32))
+
+
 def _encode_documents(path: str, head):
     def encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe.load(path)
-        known = dict(zip(head.value["word"].to_pylist(), map(tuple, head.value["ids"].to_pylist()), strict=True))
+        table = head.value.combine_chunks()
+        known = {w: k for k, w in enumerate(table["word"].to_pylist())}
+        ids = table["ids"].combine_chunks()
+        flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy()[1:].astype(np.int64)
         for batch in batches:
-            rare: dict[str, list[int]] = {}
+            rare: dict[str, int] = {}
+            more_flat, more_ends = flat, ends
             for part in _slices(batch):
-                flat: list[int] = []
-                ends = [0]
-                for text in part["text"]:
-                    words = bpe.split(text.as_py() or "")
-                    ids = list(map(known.get, words))
-                    if None in ids:
-                        missing = [w for w, found in zip(words, ids, strict=True) if found is None]
-                        new = list(set(missing).difference(rare))
-                        rare.update(zip(new, bpe.encode_words(new), strict=True))
-                        ids = [rare[w] if found is None else found for w, found in zip(words, ids, strict=True)]
-                    flat.extend(chain.from_iterable(ids))
-                    ends.append(len(flat))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                split = [bpe.split(text.as_py() or "") for text in part["text"]]
+                words = list(chain.from_iterable(split))
+                which = list(map(known.get, words))
+                if None in which:
+                    missing = [k for k, found in enumerate(which) if found is None]
+                    new = list({words[k] for k in missing}.difference(rare))
+                    rare.update((w, len(more_ends) + k) for k, w in enumerate(new))
+                    added = bpe.encode_words(new)
+                    upto = np.cumsum(np.fromiter(map(len, added), np.int64, len(added)))
+                    more_ends = np.concatenate([more_ends, len(more_flat) + upto])
+                    more_flat = np.concatenate([more_flat, np.fromiter(chain.from_iterable(added), np.int32)])
+                    for k in missing:
+                        which[k] = rare[words[k]]
+                found, lengths = _gathered(more_flat, more_ends, np.array(which, np.int64))
+                lists = pa.ListArray.from_arrays(_upto(lengths, list(map(len, split))), pa.array(found, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], lists], ["doc_id", "ids"])
 
     return encode_rows
@@ -123,24 +142,45 @@ def encode(
     ids (an empty array). Rows are encoded one by one: repeated ids give repeated rows, a null id stays
     null. Other columns are ignored; an empty table gives no rows.
     """
-    words = saved(word_table(docs, vocabulary, text_column), "bpe-words")
-    frequent = head_of(words, head).select("word", "ids").toArrow()  # at most `head` rows
+    words = saved(distinct_words(docs, vocabulary, text_column), "bpe-words")
+    frequent = head_of(words, head).mapInArrow(_encode_words(vocabulary), "word string, ids array<int>")
+    frequent = frequent.toArrow()  # at most `head` rows
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
     return rows.mapInArrow(_encode_documents(vocabulary, shared), "doc_id long, ids array<int>")
 
 
+def _texts(ids: pa.ListArray, pieces: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The texts of lists of ids; bytes that are no UTF-8 become U+FFFD."""
+    data, lengths = _gathered(pieces, ends, ids.flatten().to_numpy())
+    offsets = _upto(lengths, np.diff(ids.offsets.to_numpy()).tolist())
+    at = offsets.to_numpy()
+    whole = data.tobytes()
+    begins = at[:-1][at[:-1] < len(data)]
+    try:
+        whole.decode("utf-8")
+        good = not ((data[begins] >= 0x80) & (data[begins] < 0xC0)).any()
+    except UnicodeDecodeError:
+        good = False
+    if good:
+        return pa.StringArray.from_buffers(len(ids), offsets.buffers()[1], pa.py_buffer(whole))
+    return pa.array([whole[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())
+
+
 def _decode_rows(path: str):
     def decode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = byte_bpe.load(path).pieces()
+        of_id = byte_bpe.load(path).pieces()
+        table = [of_id.get(k, b"") for k in range(max(of_id) + 1)]
+        pieces, ends = np.frombuffer(b"".join(table), np.uint8), np.cumsum([len(p) for p in table])
         for batch in batches:
             for part in _slices(batch):
-                texts = [
-                    None if ids is None else b"".join(map(piece.__getitem__, ids)).decode("utf-8", "replace")
-                    for ids in part["ids"].to_pylist()
-                ]
-                columns = [part["doc_id"], part["ids"], pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"])
+                ids = part["ids"]
+                if ids.null_count:
+                    texts = _texts(pa.array([x or [] for x in ids.to_pylist()], ids.type), pieces, ends)
+                    texts = pc.if_else(pc.is_valid(ids), texts, None)
+                else:
+                    texts = _texts(ids, pieces, ends)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], ids, texts], ["doc_id", "ids", "text"])
 
     return decode_rows
 

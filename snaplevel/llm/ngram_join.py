@@ -419,7 +419,7 @@ def near_duplicates(
     bits = min(15, math.ceil(math.log2(max(RANGES, (members or 0) / AT_ONCE))))
 
     index = rows.select("text").mapInArrow(_index(words, bits, shared_hot), _INDEX)
-    shared = index.repartition("part").sortWithinPartitions("part").mapInArrow(_count, _SHARED)
+    shared = index.repartition(2 << bits, "part").sortWithinPartitions("part").mapInArrow(_count, _SHARED)
     classes = candidates(shared).withColumn("group", F.xxhash64("prefix", "n"))
     classes = saved(classes, "ngram-classes")
     postings = classes.select("owner", "n", "alone", "group", F.posexplode("prefix").alias("nth", "member"))

@@ -480,12 +480,13 @@ def with_revisits(records: DataFrame, key: Column, min_bytes: int = 1000) -> Dat
     others revisit it; all others are responses. A null key is less than any; records that share the
     largest key, or have no key at all, are all responses. Copies are aggregated before they are joined.
     """
-    payload = F.coalesce(F.col("payload"), F.lit(b""))
-    keyed = records.withColumn("payload", payload).withColumn("refers_key", key).withColumn("same", F.sha2("payload", 256))
-    groups = keyed.filter(F.octet_length("payload") >= min_bytes).groupBy("same")
-    groups = groups.agg(F.max("refers_key").alias("kept"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    columns = [c for c in records.columns if c not in ("record_type", "refers_key")]
+    rest = F.struct(*(F.coalesce(records[c], F.lit(b"")).alias(c) if c == "payload" else records[c] for c in columns))
+    keyed = records.select(rest.alias("rest"), key.alias("mine"))
+    keyed = keyed.withColumn("same", F.sha2("rest.payload", 256))
+    groups = keyed.filter(F.octet_length("rest.payload") >= min_bytes).groupBy("same")
+    groups = groups.agg(F.max("mine").alias("kept"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
     joined = keyed.join(groups, "same", "left")
-    revisits = F.col("kept").isNotNull() & (F.col("refers_key").isNull() | (F.col("refers_key") < F.col("kept")))
+    revisits = F.col("kept").isNotNull() & (F.col("mine").isNull() | (F.col("mine") < F.col("kept")))
     kind = F.when(revisits, "revisit").otherwise("response")
-    joined = joined.withColumn("record_type", kind).withColumn("refers_key", F.when(revisits, F.col("kept")))
-    return joined.drop("same", "kept")
+    return joined.select("rest.*", kind.alias("record_type"), F.when(revisits, F.col("kept")).alias("refers_key"))

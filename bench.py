@@ -1,14 +1,28 @@
-"""Time the headline queries on $BENCH_SF_DIR with local[$BENCH_CPUS]; print one JSON line."""
+"""Time the headline queries on $BENCH_SF_DIR with local[$BENCH_CPUS]; print one JSON line.
+
+`queries` are end to end: each derives its snapshot series from the given tables, scores it and analyses
+it. `operators` start from tables that are written once: scoring from raw rows, with the rate in rows per
+second, the analyses from scored rows, and one of them from a table bucketed by record id.
+"""
 
 from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+from snaplevel.operators.scoring import score_records
+from snaplevel.operators.series import SnapshotSeries
+from snaplevel.plans import analyses as A
+from snaplevel.registry import tables
 from snaplevel.registry.queries import QUERIES
+from snaplevel.schema import SNAPSHOT_YEAR
+from snaplevel.sources import sinks, snapshots
+from snaplevel.sources.workdir import work_folder
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -42,6 +56,7 @@ def session() -> SparkSession:
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="bench-warehouse-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -50,20 +65,52 @@ def session() -> SparkSession:
     return spark
 
 
-def timed(spark: SparkSession, name: str) -> float:
+ANALYSES = {
+    "element_trend_fraction": A.element_trend_fraction,
+    "new_record_elements": A.new_record_elements,
+    "level_transitions": A.level_transitions,
+    "decline_severity": A.decline_severity,
+    "base_cohort_levels": A.base_cohort_levels,
+    "intake_cohort_levels": A.intake_cohort_levels,
+}
+
+
+def timed(make: Callable[[], DataFrame]) -> float:
     """Best of a few runs, plan building included, every result row produced and dropped."""
     best = float("inf")
     for _ in range(RUNS):
         start = time.perf_counter()
-        QUERIES[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
+        make().write.format("noop").mode("overwrite").save()
         best = min(best, time.perf_counter() - start)
     return best
 
 
+def operators(spark: SparkSession) -> dict[str, float]:
+    path, scored = work_folder(spark, "bench-raw"), work_folder(spark, "bench-scored")
+    tables.raw_series(spark, FOLDER).write.parquet(path)
+    raw = spark.read.parquet(path)
+    n_rows = raw.count()
+    seconds = timed(lambda: score_records(raw, extra=[SNAPSHOT_YEAR]))
+    found = {"score_raw_rows": seconds, "score_raw_rows_per_second": n_rows / seconds, "raw_rows": n_rows}
+    found["raw_columns"] = len(raw.columns)
+    sinks.write_scored(score_records(raw, extra=[SNAPSHOT_YEAR]), scored)
+    series = snapshots.read_partitioned_series(spark, scored)
+    for name, analysis in ANALYSES.items():
+        found[f"{name}_of_scored"] = timed(lambda analysis=analysis: analysis(series))
+    table = "bench_bucketed"
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    sinks.save_bucketed(series.rows, table, int(CPUS))
+    bucketed = SnapshotSeries.of(spark.table(table), series.years)
+    found["level_transitions_of_bucketed"] = timed(lambda: A.level_transitions(bucketed))
+    spark.sql(f"DROP TABLE {table}")
+    return {name: round(value, 3) for name, value in found.items()}
+
+
 def main() -> None:
     spark = session()
     spark.read.parquet(f"{FOLDER}/region.parquet").count()
-    seconds = {name: round(timed(spark, name), 3) for name in HEADLINE}
+    seconds = {name: round(timed(lambda name=name: QUERIES[name](spark, FOLDER)), 3) for name in HEADLINE}
+    of_tables = operators(spark)
     spark.stop()
     scale = os.path.basename(FOLDER.rstrip("/")).removeprefix("sf")
     print(
@@ -73,6 +120,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "operators": of_tables,
                 "sf": float(scale),
             }
         )

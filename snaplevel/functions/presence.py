@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snaplevel.mappings.model import Element, MappingSet
-from snaplevel.schema import quoted
+from snaplevel.schema import LEVELS, quoted
 
 MEDIA_FLAG = "multimedia"
 
@@ -110,6 +110,8 @@ def all_of_row(flags: Sequence[str]) -> Column:
 def score_level(mapping: MappingSet, available: Iterable[str] | None = None) -> Column:
     """Cumulative level: the highest one for which all flags up to that level are true, else -1.
 
+    A level without elements asks for nothing and is reached with the one below it.
+
     With ``available`` the rules themselves are spelled out instead of the flag columns. Selected
     beside the flags, every rule is then a common subexpression, which Spark compiles into a small
     method of its own; one projection of the whole mapping would otherwise outgrow the size that the
@@ -123,25 +125,30 @@ def score_level(mapping: MappingSet, available: Iterable[str] | None = None) ->
             return quoted(element.flag)
         return f"({element_rule(element, have, mapping.sentinels)})"
 
-    steps, so_far, reached = [], [], -1
-    for level in sorted({e.level for e in mapping.elements}):
+    steps, so_far = [], []
+    for level in LEVELS[1:]:
         so_far += [condition(e) for e in mapping.elements if e.level == level]
-        steps.append(f"if({' AND '.join(so_far)}, {level - reached}, 0)")
-        reached = level
+        steps.append(f"if({' AND '.join(so_far) or 'true'}, 1, 0)")
     return F.expr(f"cast({' + '.join(['-1', *steps])} as tinyint)")
 
 
+FLAGS_PER_NUMBER = 63
+
+
 def pack_flags(flags: Sequence[str]) -> Column:
-    """All flags of a row in one bigint (bit i is flag i), so that a shuffle moves 8 bytes for them.
+    """All flags of a row as numbers, 63 flags each (bit i of number k is flag 63 k + i).
 
-    A row format with fixed 8-byte slots would otherwise spend 8 bytes on every boolean.
+    A row format with fixed 8-byte slots would otherwise spend 8 bytes on every boolean of a shuffle.
     """
-    if len(flags) > 63:
-        raise ValueError("at most 63 flags fit into one bigint")
-    bits = [f"if({quoted(f)}, {1 << i}L, 0L)" for i, f in enumerate(flags)]
-    return F.expr(" | ".join(bits) or "0L")
+    numbers = []
+    for start in range(0, max(1, len(flags)), FLAGS_PER_NUMBER):
+        some = flags[start : start + FLAGS_PER_NUMBER]
+        bits = [f"if({quoted(f)}, {1 << i}L, 0L)" for i, f in enumerate(some)]
+        numbers.append(F.expr(" | ".join(bits) or "0L"))
+    return F.array(*numbers)
 
 
 def packed_flag(packed: Column, position: int) -> Column:
-    """1 when the flag at ``position`` is set in a packed column, else 0."""
-    return F.getbit(packed, F.lit(position)).cast("bigint")
+    """1 when the flag at ``position`` is set in packed flags, else 0."""
+    number, bit = divmod(position, FLAGS_PER_NUMBER)
+    return F.getbit(F.get(packed, F.lit(number)), F.lit(bit)).cast("bigint")

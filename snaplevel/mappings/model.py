@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
-from snaplevel.schema import ELEMENT_PREFIX
+from snaplevel.schema import ELEMENT_PREFIX, LEVELS
 
 # Predicates of the mapping format.
 SINGLE_PREDICATES = ("skos:narrowMatch", "skos:exactMatch")
@@ -46,6 +46,11 @@ class MappingSet:
     elements: tuple[Element, ...]
     sentinels: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        odd = [e.flag for e in self.elements if e.level not in LEVELS[1:]]
+        if odd:
+            raise ValueError(f"levels outside {LEVELS[1]} to {LEVELS[-1]}: {', '.join(odd)}")
+
     @property
     def flags(self) -> list[str]:
         return [e.flag for e in self.elements]

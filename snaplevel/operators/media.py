@@ -44,13 +44,13 @@ def join_media_raw(
     """Every record with each of its media identifiers: the plain one-to-many left join.
 
     Written as an inner join plus the records without media: AQE can split a heavy id on either side
-    of an inner join, but not on the many side of a left join. Both parts read the same shuffle of
-    the records.
+    of an inner join, but not on the many side of a left join. Both joins use the same null-safe key
+    on the same columns of the records, so that they read one shuffle of them. Media rows without id
+    match nothing and are left out first.
     """
-    many = media.select(F.col(S.RECORD_ID).alias("_id"), F.col(IDENTIFIER).alias(name))
-    matched = occurrences.join(many, occurrences[S.RECORD_ID] == F.col("_id")).drop("_id")
-    ids = media.select(F.col(S.RECORD_ID).alias("_id")).where("_id is not null").distinct()
-    unmatched = occurrences.join(
-        ids, occurrences[S.RECORD_ID].eqNullSafe(F.col("_id")), "left_anti"
-    )
+    known = media.where(F.col(S.RECORD_ID).isNotNull())
+    many = known.select(F.col(S.RECORD_ID).alias("_id"), F.col(IDENTIFIER).alias(name))
+    same = occurrences[S.RECORD_ID].eqNullSafe(F.col("_id"))
+    matched = occurrences.join(many, same).drop("_id")
+    unmatched = occurrences.join(many.select("_id").distinct(), same, "left_anti")
     return matched.unionByName(unmatched, allowMissingColumns=True)

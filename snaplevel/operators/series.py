@@ -25,9 +25,9 @@ OLD, NEW = "MIDS_level_old", "MIDS_level_new"
 class SnapshotSeries:
     """Scored rows of several snapshots, with ``snapshot_year``, and the years in order.
 
-    ``ids_unique`` states that no id repeats much within a snapshot. Record functions then skip
-    counting repeated rows first and shuffle once instead of twice. Results are the same either way;
-    a heavy id would meet in one task.
+    ``ids_unique`` states that no id repeats much within a snapshot. Record functions then shuffle
+    once, by id, instead of twice, by id and attributes first. The rows are the same either way; a
+    heavy id would meet in one task, so it is off unless stated.
     """
 
     rows: DataFrame
@@ -75,12 +75,10 @@ def _along_record():
 
 def observations(series: SnapshotSeries, *attributes: str | Column) -> DataFrame:
     """``n`` rows per record id, snapshot and attributes. Empty ids form one group of their own."""
+    rows = series.indexed().select(S.RECORD_ID, S.SNAPSHOT_IDX, *attributes)
     if series.ids_unique:
-        one = F.lit(1).cast("bigint").alias(N)
-        return series.indexed().select(S.RECORD_ID, S.SNAPSHOT_IDX, *attributes, one)
-    return series.indexed().groupBy(S.RECORD_ID, S.SNAPSHOT_IDX, *attributes).agg(
-        F.count(F.lit(1)).alias(N)
-    )
+        rows = rows.repartition(S.RECORD_ID)
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias(N))
 
 
 def is_new(empty_ids_match: bool) -> Column:
@@ -137,7 +135,8 @@ def matched_levels(series: SnapshotSeries, *attributes: str) -> DataFrame:
 
     ``attributes`` are taken from the earlier snapshot. ``snapshot_idx`` is that of the earlier
     snapshot. ``n`` is the number of row pairs that an inner join on the id would give: repeated ids
-    multiply, but as counts, at most one row per level here.
+    multiply, but as counts, at most one row per level here. A level that no mapping can give stops
+    the query instead of being lost.
     """
     next_snapshot = _along_record().rangeBetween(1, 1)
     obs = observations(series, S.LEVEL, *[a for a in attributes if a != S.LEVEL])
@@ -148,6 +147,9 @@ def matched_levels(series: SnapshotSeries, *attributes: str) -> DataFrame:
         )
         for level in S.LEVELS
     ]
+    odd = F.concat(F.lit("no completeness level: "), F.col(S.LEVEL).cast("string"))
+    known = F.col(S.LEVEL).isNull() | F.col(S.LEVEL).isin(list(S.LEVELS))
+    obs = obs.withColumn(S.LEVEL, F.when(known, F.col(S.LEVEL)).otherwise(F.raise_error(odd)))
     return (
         obs.withColumn("_next", F.array(*following))
         .withColumn("_pair", F.explode(F.filter("_next", lambda s: s["m"].isNotNull())))

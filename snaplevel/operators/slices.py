@@ -41,6 +41,11 @@ def _completeness(grouped: DataFrame, group: str, flags: list[str]) -> DataFrame
     )
 
 
+def _lookup(table: DataFrame, key: str, value: str) -> DataFrame:
+    """One value per key, the smallest, so that a repeated key of a lookup multiplies no rows."""
+    return table.groupBy(key).agg(F.min(value).alias(value))
+
+
 def kingdom_completeness(
     df: DataFrame,
     kingdoms: DataFrame,
@@ -54,7 +59,7 @@ def kingdom_completeness(
     """
     flags = S.flag_columns(df)
     counts = element_counts(df, [S.SNAPSHOT_YEAR, S.PHYLUM])
-    lookup = kingdoms.where(F.col("kingdom").isin(list(targets))).select(S.PHYLUM, "kingdom")
+    lookup = _lookup(kingdoms, S.PHYLUM, "kingdom").where(F.col("kingdom").isin(list(targets)))
     known = counts.join(lookup.withColumnRenamed("kingdom", "_kingdom"), S.PHYLUM, "left")
     if lookup_year is not None:
         in_lookup = F.count_if(F.col(S.SNAPSHOT_YEAR) == lookup_year).over(
@@ -114,10 +119,18 @@ def summary_for_kingdom(
     return stack_elements_levels(of_kingdom(df, kingdoms, kingdom), by)
 
 
+def summary_for_kingdoms(
+    df: DataFrame, kingdoms: DataFrame, names: Sequence[str], by: Sequence[str] = ()
+) -> DataFrame:
+    """Summary tables of several kingdoms, tagged with ``kingdom``, in one scan."""
+    lookup = _lookup(kingdoms, S.PHYLUM, "kingdom").where(F.col("kingdom").isin(list(names)))
+    return stack_elements_levels(df.join(lookup, S.PHYLUM), ["kingdom", *by])
+
+
 def phylum_counts(df: DataFrame, kingdoms: DataFrame) -> DataFrame:
     """Rows per phylum, NULL included, with the phylum's kingdom where it has one."""
     counts = count_by_key(df, S.PHYLUM)
-    return counts.join(kingdoms.select(S.PHYLUM, "kingdom"), S.PHYLUM, "left").select(
+    return counts.join(_lookup(kingdoms, S.PHYLUM, "kingdom"), S.PHYLUM, "left").select(
         S.PHYLUM, "n", "kingdom"
     )
 

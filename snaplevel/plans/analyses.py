@@ -50,7 +50,7 @@ def levels_over_time(summaries: DataFrame) -> DataFrame:
 
     The window without partition numbers a handful of rows: one per snapshot and level.
     """
-    rows = summaries.where(F.col(NAME).isin([str(v) for v in S.LEVELS]))
+    rows = summaries.where(F.col(NAME).rlike("^-?[0-9]+$"))
     year, level = labels.separate_key(labels.year_level_key(F.col("year"), F.col(NAME)))
     order = Window.orderBy("year", labels.ordinal(F.col("level"), labels.LEVEL_LABELS))
     return rows.select(year.alias("year"), level.alias("level"), TRUE, PCT).withColumn(

@@ -7,8 +7,8 @@ one condition per element where the library compiles a mapping.
 from __future__ import annotations
 
 from snaplevel.registry.tables import (
-    CONTINENTS, KINGDOM_OF, LAST_YEAR, MEDIA_COLUMNS, RECORD_COLUMNS, WITHHELD, YEARLY_COLUMNS,
-    YEARS,
+    CONTINENTS, DUMP_FILES, KINGDOM_OF, LAST_YEAR, MEDIA_COLUMNS, RECORD_COLUMNS, WITHHELD,
+    YEARLY_COLUMNS, YEARS, turned,
 )
 
 ORACLES: dict[str, str] = {}
@@ -173,12 +173,17 @@ oracle(
     f"SELECT {', '.join(_ACCEPTED)} FROM records WHERE NOT {_SHORT}",
     scored=False,
 )
+def _short_line(columns: list[str]) -> str:
+    fields = ", ".join(f"coalesce({_DUMP_FIELDS[c]}, '')" for c in columns[:-1])
+    return f"concat_ws(chr(9), {fields})"
+
+
 oracle(
     "capture_rejects",
-    "SELECT concat_ws(chr(9), "
-    + ", ".join(f"coalesce({sql}, '')" for sql in list(_DUMP_FIELDS.values())[:-1])
-    + f") AS line, CAST({_N - 1} AS INTEGER) AS n_fields, CAST({_N} AS INTEGER) AS n_expected"
-    f" FROM records WHERE {_SHORT}",
+    f"""SELECT CASE WHEN o_orderkey % {DUMP_FILES} = 0 THEN {_short_line(turned(list(RECORD_COLUMNS)))}
+      ELSE {_short_line(list(RECORD_COLUMNS))} END AS line,
+      CAST({_N - 1} AS INTEGER) AS n_fields, CAST({_N} AS INTEGER) AS n_expected
+    FROM records WHERE {_SHORT}""",
     scored=False,
 )
 for _name in ("reject_audit", "ingest_split"):
@@ -216,11 +221,10 @@ oracle(
     "SELECT DISTINCT snapshot_year, concat('dump=', snapshot_year, '-01-01') AS name FROM scored",
 )
 for _name in ("score_batches", "stream_score"):
-    oracle(_name, f"SELECT * FROM scored WHERE snapshot_year = {LAST_YEAR}")
+    oracle(_name, "SELECT * FROM scored")
 oracle(
     "stream_level_counts",
-    f"""SELECT snapshot_year, MIDS_level, count(*) AS n FROM scored
-    WHERE snapshot_year = {LAST_YEAR} GROUP BY ALL""",
+    "SELECT snapshot_year, MIDS_level, count(*) AS n FROM scored GROUP BY ALL",
 )
 oracle(
     "select_snapshot",
@@ -298,8 +302,7 @@ oracle(
 )
 oracle(
     "select_rename",
-    f"""SELECT gbifID, datasetKey, MIDS_level AS MIDS_from FROM scored
-    WHERE snapshot_year = {LAST_YEAR}""",
+    "SELECT gbifID, datasetKey, MIDS_level AS MIDS_from, snapshot_year FROM scored",
 )
 _WEIGHTED = """SELECT gbifID, CAST(idx AS INTEGER) AS snapshot_idx, MIDS_level_old, MIDS_level_new,
   count(*) AS n FROM pairs"""
@@ -383,13 +386,15 @@ oracle(
 
 
 def _percent_label(x: str) -> str:
-    low, high = f"floor({x} * 10)", f"ceil({x} * 10)"
-    tenths = (
-        f"CASE WHEN {x} - {low} / 10.0 < {high} / 10.0 - {x} THEN {low}"
-        f" WHEN {x} - {low} / 10.0 > {high} / 10.0 - {x} THEN {high}"
-        f" WHEN {low} % 2 = 0 THEN {low} ELSE {high} END"
-    )
-    return f"regexp_replace(CAST(({tenths}) / 10.0::DOUBLE AS VARCHAR), '\\.0$', '') || '%'"
+    """The decimal with one digit that is nearest, ties to the even digit; a zero digit is not shown.
+
+    Of the three decimals around the value the nearest one is taken, by distance and then by parity.
+    """
+    around = f"[floor({x} * 10) - 1, floor({x} * 10), floor({x} * 10) + 1]"
+    keys = f"list_transform({around}, lambda t: [abs({x} - t / 10.0::DOUBLE), abs(t % 2), t])"
+    tenths = f"CAST(list_sort({keys})[1][3] AS BIGINT)"
+    whole, digit = f"{tenths} // 10", f"{tenths} % 10"
+    return f"CASE WHEN {digit} = 0 THEN format('{{}}%', {whole}) ELSE format('{{}}.{{}}%', {whole}, {digit}) END"
 
 
 oracle(
@@ -403,8 +408,12 @@ ORACLES["parse_snapshot_year"] = (
     "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n FROM orders GROUP BY ALL"
 )
 _NAME = "p_name || ' ' || p_brand || ' ' || p_type"
-ORACLES["wrap_label"] = f"""SELECT p_partkey,
-  rtrim(regexp_replace({_NAME}, '(.{{10}})', '\\1-' || chr(10), 'g'), chr(10)) AS label FROM part"""
+# Pieces of ten characters by their positions; all but a last, shorter one end in a hyphen.
+ORACLES["wrap_label"] = f"""SELECT p_partkey, array_to_string([
+    CASE WHEN length(substr(name, 10 * i + 1, 10)) = 10 THEN concat(substr(name, 10 * i + 1, 10), '-')
+    ELSE substr(name, 10 * i + 1, 10) END
+    for i in range(0, (length(name) + 9) // 10)], chr(10)) AS label
+  FROM (SELECT p_partkey, {_NAME} AS name FROM part)"""
 oracle(
     "level_order",
     f"""SELECT snapshot_year, size_class, count(*) AS n,

@@ -52,59 +52,62 @@ def _last(spark: SparkSession, folder: str) -> DataFrame:
 # --- scans, sources, sinks --------------------------------------------------------------------
 
 
-def dump_lines(raw: DataFrame) -> DataFrame:
-    """Raw records as tab-separated lines, some of them malformed.
+def dump_line(columns: list[str]) -> Column:
+    """A raw record as a tab-separated line; some are malformed.
 
     By kind and phylum: lines that lack their last field, lines with a surplus field, and lines with
     a lone quote character.
     """
-    fields = [F.coalesce(F.col(c), F.lit("")) for c in raw.columns]
     quoted = [
         F.when(
             (F.col("phylum") == "2-HIGH") & F.col("locality").isNotNull(),
             F.concat(F.lit('"'), F.col("locality")),
-        ).otherwise(f)
+        ).otherwise(F.coalesce(F.col(c), F.lit("")))
         if c == "locality"
-        else f
-        for c, f in zip(raw.columns, fields, strict=True)
+        else F.coalesce(F.col(c), F.lit(""))
+        for c in columns
     ]
     low = F.col("phylum") == "5-LOW"
-    line = (
+    return (
         F.when(low & (F.col("basisOfRecord") == "HUMAN_OBSERVATION"),
                F.concat_ws("\t", *quoted[:-1]))
         .when(low & (F.col("basisOfRecord") == "FOSSIL_SPECIMEN"),
               F.concat_ws("\t", *quoted, F.lit("surplus")))
         .otherwise(F.concat_ws("\t", *quoted))
     )
-    return raw.select(line.alias("value"))
 
 
-def _write_dump(spark: SparkSession, folder: str) -> tuple[str, list[str]]:
-    """The records as a text dump with a header line; its path and column names."""
+def _write_dump(spark: SparkSession, folder: str) -> str:
+    """The records as a text dump of several files with a header line each, one in another order."""
     raw = tables.raw_occurrences(spark, folder)
     path = work_folder(spark, "dump")
-    dump_lines(raw).write.text(path)
-    header = spark.range(1).select(F.lit("\t".join(raw.columns)).alias("value"))
-    header.write.mode("append").text(path)
-    return path, raw.columns
+    turned = tables.turned(raw.columns)
+    file = F.pmod(F.col("catalogNumber").cast("bigint"), F.lit(tables.DUMP_FILES))
+    lines = raw.select(
+        file.alias("file"),
+        F.when(file == 0, dump_line(turned)).otherwise(dump_line(raw.columns)).alias("value"),
+    )
+    names = F.when(F.col("id") == 0, "\t".join(turned)).otherwise("\t".join(raw.columns))
+    headers = spark.range(tables.DUMP_FILES).select(F.col("id").alias("file"), names.alias("value"))
+    both = headers.withColumn("_n", F.lit(0)).unionByName(lines.withColumn("_n", F.lit(1)))
+    sorted_files = both.repartition("file").sortWithinPartitions("file", "_n")
+    sorted_files.select("file", "value").write.partitionBy("file").text(path)
+    return path
 
 
 @query
 def read_dwca_text(spark, folder):
-    path, columns = _write_dump(spark, folder)
-    return text.read_delimited(spark, path, columns)
+    return text.read_delimited(spark, _write_dump(spark, folder))
 
 
 @query
 def capture_rejects(spark, folder):
-    path, columns = _write_dump(spark, folder)
-    return text.capture_rejects(spark, path, columns)
+    return text.capture_rejects(spark, _write_dump(spark, folder))
 
 
 @query
 def reject_audit(spark, folder):
-    path, columns = _write_dump(spark, folder)
-    return text.reject_audit(spark, path, columns)
+    return text.reject_audit(spark, _write_dump(spark, folder))
 
 
 @query
@@ -119,9 +122,9 @@ def read_multimedia_text(spark, folder):
 
 @query
 def ingest_split(spark, folder):
-    path, columns = _write_dump(spark, folder)
+    path = _write_dump(spark, folder)
     return text.ingest_split(
-        spark, path, work_folder(spark, "accepted"), work_folder(spark, "rejects"), columns
+        spark, path, work_folder(spark, "accepted"), work_folder(spark, "rejects")
     )
 
 
@@ -156,8 +159,8 @@ def scan_projected(spark, folder):
 
 
 def _write_raw(spark: SparkSession, folder: str, files: int) -> tuple[str, T.StructType]:
-    """Raw rows of the last snapshot as a folder of files for a stream to pick up."""
-    raw = tables.raw_series(spark, folder, [LAST_YEAR])
+    """Raw rows of all snapshots as a folder of files for a stream to pick up."""
+    raw = tables.raw_series(spark, folder)
     target = work_folder(spark, "incoming")
     raw.repartition(files).write.parquet(target)
     return target, raw.schema
@@ -193,7 +196,7 @@ def stream_level_counts(spark, folder):
     incremental.run_level_counts(
         incremental.level_counts_stream(scored), target, work_folder(spark, "progress")
     )
-    return spark.read.parquet(target)
+    return incremental.read_level_counts(spark, target)
 
 
 def _write_dated(spark: SparkSession, folder: str) -> str:
@@ -382,7 +385,8 @@ def cast_casualties(spark, folder):
 
 @query
 def select_rename(spark, folder):
-    rows = _last(spark, folder).select(S.RECORD_ID, S.DATASET, S.LEVEL, S.PHYLUM)
+    columns = [S.RECORD_ID, S.DATASET, S.LEVEL, S.PHYLUM, S.SNAPSHOT_YEAR]
+    rows = _rows(spark, folder).select(*columns)
     return rows.withColumnRenamed(S.LEVEL, "MIDS_from").drop(S.PHYLUM)
 
 
@@ -618,9 +622,8 @@ def join_size_class(spark, folder):
 
 @query
 def join_totals(spark, folder):
-    series = _series(spark, folder)
-    counts = A.element_trend_counts(series)
-    return counts.join(summary.snapshot_totals(series.rows), S.SNAPSHOT_YEAR, "left")
+    trend = A.element_trend_fraction(_series(spark, folder))
+    return trend.select(S.SNAPSHOT_YEAR, "element", summary.TRUE, "total_records")
 
 
 @query
@@ -743,11 +746,7 @@ def top_declining(spark, folder):
 @query
 def union_groups(spark, folder):
     rows, kingdoms = _last(spark, folder), tables.kingdoms(spark)
-    plants, fungi = (
-        slices.summary_for_kingdom(rows, kingdoms, k).withColumn("kingdom", F.lit(k))
-        for k in ("Plantae", "Fungi")
-    )
-    return plants.unionByName(fungi)
+    return slices.summary_for_kingdoms(rows, kingdoms, ["Plantae", "Fungi"])
 
 
 @query

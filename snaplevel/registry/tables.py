@@ -112,6 +112,15 @@ KINGDOM_OF = (
 CONTINENTS = ("AFRICA", "AMERICA", "ASIA", "EUROPE")
 
 
+# Text files of a dump.
+DUMP_FILES = 6
+
+
+def turned(columns: list[str]) -> list[str]:
+    """The columns in the order of the dump's first file: the first one moved before the last."""
+    return [*columns[1:-1], columns[0], columns[-1]]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 

@@ -18,12 +18,11 @@ SUMMARY_SCHEMA = (
 
 
 def read_mapping(spark: SparkSession, path: str) -> MappingSet:
-    """A mapping file as rules. It is collected: one line per element and column."""
-    columns = text.read_header(spark, path)
-    short = text.capture_rejects(spark, path, columns).first()
+    """A mapping file as rules. It is collected: one line per element and column; blank lines are skipped."""
+    short = text.capture_rejects(spark, path).where("trim(line) != ''").first()
     if short is not None:
         raise ValueError(f"{path}: too few fields in mapping line {short['line']!r}")
-    rows = text.read_delimited(spark, path, columns)
+    rows = text.read_delimited(spark, path)
     return MappingSet.from_rows(r.asDict() for r in rows.collect())
 
 

@@ -3,13 +3,19 @@
 Quoting is off because the dumps do not quote: a stray quote character would otherwise swallow the
 following lines. A line with too few fields is rejected; surplus fields are cut off. Lines are split
 independently, so large files split into many tasks.
+
+A dump is a file, a folder or a list of files. Without ``columns`` every file begins with a header
+line; files may order the same columns differently. With ``columns`` no file has one. Every other line
+is counted, accepted or rejected: a blank line is a row of one empty field, and a data line that reads
+like the header is a data line.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,14 +23,32 @@ from snaplevel.sources import sinks
 
 LINE = "value"
 SEPARATOR = "\t"
+# Partition column of an ingested dump, and the column of a rejected line's number of fields.
+ACCEPTED, N_FIELDS = "accepted", "_n_fields"
 
 
-def read_header(spark: SparkSession, path: str | list[str]) -> list[str]:
-    """Column names from the first line."""
-    first = _text(spark, path).first()
-    if first is None:
+def files_by_header(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by their header line; files without any line are left out.
+
+    Only file names are listed and first lines read. Files whose columns differ by more than their
+    order are refused.
+    """
+    names = spark.read.format("binaryFile").load(path).select("path").where("length > 0").collect()
+    found: dict[tuple[str, ...], list[str]] = {}
+    for name in sorted(row["path"] for row in names):
+        first = _text(spark, name).first()
+        found.setdefault(tuple(first[LINE].split(SEPARATOR)), []).append(name)
+    if not found:
         raise ValueError(f"no lines in {path}")
-    return first[LINE].split(SEPARATOR)
+    if len({tuple(sorted(header)) for header in found}) > 1:
+        some = [f"{files[0]}: {', '.join(header)}" for header, files in found.items()]
+        raise ValueError("files of one dump have different columns: " + "; ".join(some))
+    return found
+
+
+def read_header(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """Column names of a dump, in the order of its first file."""
+    return list(next(iter(files_by_header(spark, path))))
 
 
 def _text(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -39,11 +63,27 @@ def _text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def _lines(spark: SparkSession, path: str | list[str], columns: Sequence[str]) -> DataFrame:
-    """Data lines with their fields; header lines (one per file) and blank lines left out."""
-    lines = _text(spark, path).where(
-        (F.col(LINE) != SEPARATOR.join(columns)) & (F.col(LINE) != "")
-    )
+def _parts(
+    spark: SparkSession, path: str | list[str], columns: Sequence[str] | None
+) -> list[tuple[DataFrame, tuple[str, ...], int]]:
+    """Lines of files with equal headers, their columns, and how many of the lines are headers."""
+    if columns is not None:
+        return [(_text(spark, path), tuple(columns), 0)]
+    by_header = files_by_header(spark, path)
+    return [(_text(spark, files), header, len(files)) for header, files in by_header.items()]
+
+
+def _data_lines(lines: DataFrame, columns: Sequence[str], n_headers: int) -> DataFrame:
+    """All lines but the headers.
+
+    Lines that read like the header are equal, so it does not matter which of them are the headers:
+    as many as there are files are taken off their count, and the rest come back as data.
+    """
+    if n_headers:
+        is_header = F.col(LINE) == SEPARATOR.join(columns)
+        alike = lines.where(is_header).groupBy(LINE).agg(F.count(F.lit(1)).alias("_n"))
+        again = F.expr(f"explode(array_repeat({LINE}, cast(_n - {n_headers} AS int)))")
+        lines = lines.where(~is_header).unionByName(alike.select(again.alias(LINE)))
     return lines.withColumn("_fields", F.split(F.col(LINE), SEPARATOR, -1))
 
 
@@ -51,47 +91,63 @@ def _complete(columns: Sequence[str]) -> Column:
     return F.size("_fields") >= len(columns)
 
 
+def _values(columns: Sequence[str]) -> dict[str, Column]:
+    return {c: F.nullif(F.get("_fields", F.lit(i)), F.lit("")) for i, c in enumerate(columns)}
+
+
 def read_delimited(
     spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """Accepted rows, every column a string, empty text as NULL.
-
-    ``columns`` gives the names when they are known; otherwise they come from the header line.
-    """
-    columns = list(columns or read_header(spark, path))
-    rows = _lines(spark, path, columns).where(_complete(columns))
-    return rows.select(
-        *[F.nullif(F.col("_fields")[i], F.lit("")).alias(c) for i, c in enumerate(columns)]
-    )
+    """Accepted rows, every column a string, empty text as NULL."""
+    parts = []
+    for lines, names, n_headers in _parts(spark, path, columns):
+        rows = _data_lines(lines, names, n_headers).where(_complete(names))
+        parts.append(rows.select(*[v.alias(c) for c, v in _values(names).items()]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def capture_rejects(
     spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Rejected lines with the number of fields they have and should have."""
-    columns = list(columns or read_header(spark, path))
-    rows = _lines(spark, path, columns).where(~_complete(columns))
-    return rows.select(
-        F.col(LINE).alias("line"),
-        F.size("_fields").alias("n_fields"),
-        F.lit(len(columns)).alias("n_expected"),
+    parts = [
+        _data_lines(lines, names, n_headers)
+        .where(~_complete(names))
+        .select(
+            F.col(LINE).alias("line"),
+            F.size("_fields").alias("n_fields"),
+            F.lit(len(names)).alias("n_expected"),
+        )
+        for lines, names, n_headers in _parts(spark, path, columns)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _ratio(counts: DataFrame) -> DataFrame:
+    total = F.col("accepted") + F.col("rejected")
+    return counts.withColumn(
+        "rejected_ratio",
+        F.try_divide(F.col("rejected").cast("double"), total.cast("double")),
     )
 
 
 def reject_audit(
     spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """One row: accepted and rejected lines and the rejected share, in one scan."""
-    columns = list(columns or read_header(spark, path))
-    ok = _complete(columns)
-    counts = _lines(spark, path, columns).agg(
-        F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected")
-    )
-    total = F.col("accepted") + F.col("rejected")
-    return counts.withColumn(
-        "rejected_ratio",
-        F.try_divide(F.col("rejected").cast("double"), total.cast("double")),
-    )
+    """One row: accepted and rejected lines and the rejected share, in one scan.
+
+    Header lines have all fields; as many as there are files are taken off the accepted lines.
+    """
+    parts = []
+    for lines, names, n_headers in _parts(spark, path, columns):
+        ok = F.size(F.split(F.col(LINE), SEPARATOR, -1)) >= len(names)
+        parts.append(
+            lines.agg(
+                (F.count_if(ok) - n_headers).alias("accepted"), F.count_if(~ok).alias("rejected")
+            )
+        )
+    both = reduce(DataFrame.unionByName, parts)
+    return _ratio(both.agg(*[F.sum(c).alias(c) for c in ("accepted", "rejected")]))
 
 
 def read_multimedia(
@@ -109,21 +165,85 @@ def ingest_split(
     columns: Sequence[str] | None = None,
     by: str = "basisOfRecord",
 ) -> DataFrame:
-    """Write accepted rows partitioned by ``by`` and rejected lines as CSV; return the audit.
+    """Write a dump to Parquet, its rejected lines also as CSV; return the audit.
 
-    Every task writes its own file per value of ``by``. Nothing is shuffled, so a dominant value
-    stays spread over the tasks.
+    One scan writes everything: accepted rows under ``accepted=true``, partitioned by ``by``, and
+    rejected lines under ``accepted=false``, from which the CSV is written; the counts are observed on
+    the way. Every task writes its own files. Nothing is shuffled, so a dominant value stays spread
+    over the tasks. :func:`read_ingested` reads the accepted rows.
     """
-    columns = list(columns or read_header(spark, path))
-    sinks.write_partitioned(read_delimited(spark, path, columns), target, by)
-    sinks.write_csv(capture_rejects(spark, path, columns), rejects)
-    written = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    accepted = spark.read.schema(written).parquet(target).agg(F.count(F.lit(1)).alias("accepted"))
-    n_rejected = spark.read.schema("line string, n_fields int, n_expected int").csv(
-        rejects, header=True, escape='"', lineSep="\n"
-    ).agg(F.count(F.lit(1)).alias("rejected"))
-    both = accepted.withColumn("rejected", n_rejected.scalar())
-    total = F.col("accepted") + F.col("rejected")
-    return both.withColumn(
-        "rejected_ratio", F.try_divide(F.col("rejected").cast("double"), total.cast("double"))
+    counts = {"accepted": 0, "rejected": 0}
+    names: tuple[str, ...] = ()
+    for position, (lines, header, n_headers) in enumerate(_parts(spark, path, columns)):
+        names = names or header
+        n_alike = _write_lines(lines, header, n_headers, target, by, counts, first=position == 0)
+        if n_alike:
+            text = spark.range(n_alike).select(F.lit(SEPARATOR.join(header)).alias(LINE))
+            _write_lines(text, header, 0, target, by, counts, first=False)
+    split = spark.read.schema(_ingested_schema(names)).parquet(target).where(~F.col(ACCEPTED))
+    sinks.write_csv(
+        split.select(
+            F.col(LINE).alias("line"),
+            F.col(N_FIELDS).alias("n_fields"),
+            F.lit(len(names)).alias("n_expected"),
+        ),
+        rejects,
+    )
+    audit = spark.range(1).select(
+        *[F.lit(n).cast("bigint").alias(name) for name, n in counts.items()]
     )
+    return _ratio(audit)
+
+
+def _write_lines(
+    lines: DataFrame,
+    names: Sequence[str],
+    n_headers: int,
+    target: str,
+    by: str,
+    counts: dict[str, int],
+    first: bool,
+) -> int:
+    """Write lines but the headers and count them; the lines that only read like a header are left."""
+    is_header = (F.col(LINE) == SEPARATOR.join(names)) if n_headers else F.lit(False)
+    ok = _complete(names)
+    seen = Observation()
+    rows = (
+        lines.withColumn("_fields", F.split(F.col(LINE), SEPARATOR, -1))
+        .observe(
+            seen,
+            F.count_if(ok & ~is_header).alias("accepted"),
+            F.count_if(~ok).alias("rejected"),
+            F.count_if(is_header).alias("headers"),
+        )
+        .where(~is_header)
+        .select(
+            *[F.when(ok, v).alias(c) for c, v in _values(names).items()],
+            F.when(~ok, F.col(LINE)).alias(LINE),
+            F.when(~ok, F.size("_fields")).alias(N_FIELDS),
+            ok.alias(ACCEPTED),
+        )
+    )
+    mode = "error" if first else "append"
+    sinks.write_partitioned(rows, target, ACCEPTED, by, mode=mode)
+    found = seen.get
+    for name in counts:
+        counts[name] += found[name]
+    return found["headers"] - n_headers
+
+
+def _ingested_schema(names: Sequence[str]) -> T.StructType:
+    return T.StructType(
+        [
+            *[T.StructField(c, T.StringType()) for c in names],
+            T.StructField(LINE, T.StringType()),
+            T.StructField(N_FIELDS, T.IntegerType()),
+            T.StructField(ACCEPTED, T.BooleanType()),
+        ]
+    )
+
+
+def read_ingested(spark: SparkSession, target: str, columns: Sequence[str]) -> DataFrame:
+    """The accepted rows that :func:`ingest_split` wrote."""
+    rows = spark.read.schema(_ingested_schema(columns)).parquet(target)
+    return rows.where(F.col(ACCEPTED)).select(*columns)

@@ -2,6 +2,7 @@
 
 from snaplevel.streaming.incremental import (
     level_counts_stream,
+    read_level_counts,
     read_stream,
     run_level_counts,
     run_scoring,
@@ -10,6 +11,7 @@ from snaplevel.streaming.incremental import (
 
 __all__ = [
     "level_counts_stream",
+    "read_level_counts",
     "read_stream",
     "run_level_counts",
     "run_scoring",

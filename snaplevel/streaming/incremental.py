@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snaplevel import schema as S
@@ -46,20 +47,36 @@ def level_counts_stream(scored: DataFrame) -> DataFrame:
     return count_by_key(scored, S.SNAPSHOT_YEAR, S.LEVEL)
 
 
+BATCH = "batch"
+
+
 def run_level_counts(counts: DataFrame, target: str, checkpoint: str) -> None:
-    """Process the available records and stop; ``target`` then holds the whole table.
+    """Process the available records and stop; every micro-batch writes the whole table anew.
 
-    A repeated batch overwrites the same table with the same rows.
+    Each has a folder of its own under ``target``, so there is a complete table at any moment, and a
+    repeated batch writes the same rows over its own folder. The table, one row per snapshot and level,
+    is one file, which is there as a whole or not at all. :func:`read_level_counts` reads the last.
     """
 
-    def replace(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{target}/{BATCH}={batch_id}")
 
     query = (
         counts.writeStream.outputMode("complete")
-        .foreachBatch(replace)
+        .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
+
+
+def read_level_counts(spark: SparkSession, target: str) -> DataFrame:
+    """The table of the last complete micro-batch. Only file names are listed to find it."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+    files = files.option("recursiveFileLookup", "true").load(target)
+    number = F.regexp_extract("path", f"/{BATCH}=([0-9]+)/[^/]*$", 1).try_cast("bigint")
+    last = files.select(number.alias("n")).agg(F.max("n")).first()[0]
+    if last is None:
+        raise ValueError(f"no complete table in {target}")
+    return spark.read.parquet(f"{target}/{BATCH}={last}")

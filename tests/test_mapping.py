@@ -139,8 +139,6 @@ def test_compiled_rules_agree_with_plain_evaluation(spark, seed):
         }
         level = -1
         for n in range(4):
-            if not any(e.level == n for e in mapping.elements):
-                continue
             if not all(truth[e.flag] for e in mapping.elements if e.level <= n):
                 break
             level = n
@@ -171,3 +169,19 @@ def test_strip_class_prefix_on_data(spark):
     df = spark.createDataFrame([("[dwc:Occurrence]dwc:year",), ("plain",)], "c string")
     out = df.select(presence.strip_class_prefix(F.col("c"))).collect()
     assert [r[0] for r in out] == ["year", "plain"]
+
+
+def test_levels_without_elements_are_reached_with_the_one_below(spark):
+    one = MappingSet((Element(0, "Id", (Alternative(("a",)),)),))
+    gap = MappingSet((Element(0, "Id", (Alternative(("a",)),)), Element(2, "Place", (Alternative(("b",)),))))
+    df = spark.createDataFrame([("1", "x", "y"), ("2", "x", None), ("3", None, "y")], "gbifID string, a string, b string")
+    level = lambda m: [r[0] for r in scoring.score_records(df, m).orderBy("gbifID").select(S.LEVEL).collect()]
+    assert level(one) == [3, 3, -1]
+    assert level(gap) == [3, 1, -1]
+
+
+def test_levels_outside_the_scale_are_refused():
+    with pytest.raises(ValueError, match="MIDS4More"):
+        MappingSet((Element(4, "More", (Alternative(("a",)),)),))
+    with pytest.raises(ValueError, match="outside 0 to 3"):
+        MappingSet.from_rows([row("More", 12, "dwc:a")])

@@ -10,9 +10,10 @@ from conftest import TESTDATA
 from compare import differences, duck
 
 import __spark_entry__ as entry_module
+from snaplevel.registry.oracles import ORACLES
+from snaplevel.registry.queries import QUERIES
 
 FOLDER = os.path.join(TESTDATA, "sf" + os.environ.get("TEST_SF", "0.001"))
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -22,6 +23,19 @@ def con():
 
 def test_every_query_has_a_counterpart():
     assert set(QUERIES) == set(ORACLES)
+    assert QUERIES.items() <= entry_module.queries().items()
+    assert ORACLES.items() <= entry_module.oracle_sql().items()
+
+
+def scans(df, table):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return sum(1 for line in plan.splitlines() if "FileScan" in line and f"{table}.parquet" in line)
+
+
+@pytest.mark.parametrize("name", ["join_totals", "union_groups", "element_trend_fraction"])
+def test_records_are_scanned_once(spark, name):
+    assert scans(QUERIES[name](spark, FOLDER), "orders") == 1
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

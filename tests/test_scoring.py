@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,13 +106,15 @@ def test_scoring_needs_no_shuffle(spark):
     assert "Exchange" not in plan and "PythonUDF" not in plan
 
 
-def test_packed_flags(spark):
-    flags = [f"f{i}" for i in range(18)]
-    rows = [[(n >> i) & 1 == 1 for i in range(18)] for n in (0, 5, 2**18 - 1)]
+@pytest.mark.parametrize("n", [18, 63, 64, 130])
+def test_packed_flags(spark, n):
+    flags = [f"f{i}" for i in range(n)]
+    numbers = (0, 5, 2**n - 1, 2 ** (n - 1), int("10" * (n // 2), 2))
+    rows = [[(k >> i) & 1 == 1 for i in range(n)] for k in numbers]
     df = spark.createDataFrame(rows, flags).withColumn("p", presence.pack_flags(flags))
-    got = df.select("p", *[presence.packed_flag(F.col("p"), i) for i in range(18)]).collect()
-    assert [r[0] for r in got] == [0, 5, 2**18 - 1]
-    assert [list(r)[1:] for r in got] == [[(n >> i) & 1 for i in range(18)] for n in (0, 5, 2**18 - 1)]
+    got = df.select("p", *[presence.packed_flag(F.col("p"), i) for i in range(n)]).collect()
+    assert all(len(r[0]) == -(-n // 63) for r in got)
+    assert [list(r)[1:] for r in got] == [[(k >> i) & 1 for i in range(n)] for k in numbers]
 
 
 def test_column_names_with_hyphens(spark):
@@ -123,7 +126,7 @@ def test_column_names_with_hyphens(spark):
     )
     df = frame(spark, {"gbifID": "1", columns[0]: "1", columns[1]: "2"},
                {"gbifID": "2", columns[0]: "", columns[1]: "2"})
-    assert levels(df, mapping) == [0, -1]
+    assert levels(df, mapping) == [3, -1]  # levels without elements are reached with the one below
 
 
 def test_a_filter_over_flags_and_level_plans_quickly(spark):

@@ -200,6 +200,17 @@ def test_stated_uniqueness_saves_a_shuffle_and_changes_no_result(spark):
         assert sorted(map(str, analysis(stated).collect())) == sorted(
             map(str, analysis(plain).collect())
         )
+    records = (
+        X.matched_levels, X.base_cohort, X.intake_cohorts, X.observations,
+        lambda s: X.matched_levels(s, "datasetKey"), lambda s: X.observations(s, S.LEVEL, "datasetKey"),
+        lambda s: X.new_observations(s, S.LEVEL, empty_ids_match=True),
+    )
+    repeated = [(1, "d", 1, 2020), (1, "d", 1, 2020), (1, "e", 2, 2020), (None, "d", 0, 2020), (None, "d", 0, 2020),
+                (1, "d", 3, 2021), (1, "d", 3, 2021), (None, "d", -1, 2021)]
+    few = series(spark, repeated)
+    for record in records:
+        for one in (plain, few):
+            assert sorted(map(str, record(replace(one, ids_unique=True)).collect())) == sorted(map(str, record(one).collect()))
     plan = X.matched_levels(stated)._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
 
@@ -211,3 +222,9 @@ def test_series_analyses_need_two_shuffles_and_no_join(spark):
     initial = plan.split("Initial Plan")[-1]
     assert initial.count("Exchange hashpartitioning") == 2
     assert "Join" not in initial
+
+
+def test_a_level_beyond_the_scale_is_not_lost(spark):
+    s = series(spark, [(1, "d", 3, 2020), (1, "d", 4, 2021), (2, "d", 1, 2020), (2, "d", 1, 2021)])
+    with pytest.raises(Exception, match="no completeness level: 4"):
+        X.matched_levels(s).collect()

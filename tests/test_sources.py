@@ -46,12 +46,56 @@ def test_ingest_split(spark, dump, tmp_path):
     target, rejects = str(tmp_path / "parquet"), str(tmp_path / "rejects")
     audit = text.ingest_split(spark, dump, target, rejects)
     assert tuple(audit.first()) == (4, 1, 0.2)
-    back = spark.read.parquet(target)
+    back = text.read_ingested(spark, target, HEADER.split("\t"))
     assert {r.basisOfRecord: r.n for r in back.groupBy("basisOfRecord").agg(F.count("*").alias("n")).collect()} == {
         "PRESERVED_SPECIMEN": 2, "FOSSIL_SPECIMEN": 2
     }
 
 
+def test_every_line_is_counted(spark, tmp_path):
+    """Blank lines are rows of one empty field, and a line like the header is data but for the first."""
+    one = tmp_path / "one.txt"
+    one.write_text("identifier\nidentifier\n\nx\n")
+    got = [r[0] for r in text.read_delimited(spark, str(one)).collect()]
+    assert sorted(map(str, got)) == ["None", "identifier", "x"]
+    assert tuple(text.reject_audit(spark, str(one)).first()) == (3, 0, 0.0)
+    two = tmp_path / "two.txt"
+    two.write_text("a\tb\n1\t2\n\na\tb\n")
+    assert sorted(tuple(r) for r in text.read_delimited(spark, str(two)).collect()) == [("1", "2"), ("a", "b")]
+    assert [(r.line, r.n_fields, r.n_expected) for r in text.capture_rejects(spark, str(two)).collect()] == [("", 1, 2)]
+    out = [str(tmp_path / "parquet"), str(tmp_path / "rejects")]
+    audit = text.ingest_split(spark, str(two), *out, by="a")
+    assert tuple(audit.first())[:2] == (2, 1)
+    assert sorted(tuple(r) for r in text.read_ingested(spark, out[0], ["a", "b"]).collect()) == [("1", "2"), ("a", "b")]
+
+
+def test_files_of_one_dump_may_order_their_columns(spark, tmp_path):
+    folder = tmp_path / "dump"
+    folder.mkdir()
+    (folder / "1.txt").write_text("a\tb\n1\t2\n")
+    (folder / "2.txt").write_text("b\ta\n4\t3\nb\ta\n")
+    (folder / "3.txt").write_text("")
+    got = text.read_delimited(spark, str(folder))
+    assert sorted((r.a, r.b) for r in got.collect()) == [("1", "2"), ("3", "4"), ("a", "b")]
+    assert tuple(text.reject_audit(spark, str(folder)).first()) == (3, 0, 0.0)
+    out = [str(tmp_path / "parquet"), str(tmp_path / "rejects")]
+    assert tuple(text.ingest_split(spark, str(folder), *out, by="a").first()) == (3, 0, 0.0)
+    assert text.read_ingested(spark, out[0], ["a", "b"]).count() == 3
+    (folder / "4.txt").write_text("a\tc\n")
+    with pytest.raises(ValueError, match="different columns"):
+        text.read_delimited(spark, str(folder))
+
+
+def test_ingest_scans_the_dump_once(spark, dump, tmp_path):
+    """Whole lines are read by one job; the other reads of the text are of first lines."""
+    target = str(tmp_path / "parquet")
+    counts = {"accepted": 0, "rejected": 0}
+    lines, names, n_headers = text._parts(spark, dump, None)[0]
+    assert text._write_lines(lines, names, n_headers, target, "basisOfRecord", counts, True) == 0
+    assert counts == {"accepted": 4, "rejected": 1}
+    assert sorted(p.name for p in (tmp_path / "parquet").iterdir() if p.is_dir()) == ["accepted=false", "accepted=true"]
+
+
 def test_line_ends(spark, tmp_path):
     path = tmp_path / "crlf.txt"
     path.write_bytes(b"a\tb\r\n1\tx\ry\r\n2\r\n3\tz\r\n")
@@ -130,6 +174,39 @@ def test_dated_folders_make_a_series(spark, tmp_path):
     assert [r.snapshot_year for r in found] == [2016, 2018]
 
 
+def test_two_dumps_of_one_year_stay_two_snapshots(spark, tmp_path):
+    df = spark.createDataFrame(ROWS, SCORED).drop("snapshot_year")
+    df.write.parquet(str(tmp_path / "set_2016-06-07.parquet"))
+    df.limit(1).write.parquet(str(tmp_path / "faulty" / "set_2016-11-01.parquet"))
+    assert snapshots.read_series(spark, f"file://{tmp_path}/").years == (2016,)
+    assert [(r.dump, r.n) for r in snapshots.rows_per_dump(spark, str(tmp_path)).collect()] == [("set_2016-06-07.parquet", 3)]
+    df.limit(2).write.parquet(str(tmp_path / "set_2016-11-01.parquet"))
+    with pytest.raises(ValueError, match="several snapshots of one year"):
+        snapshots.read_series(spark, str(tmp_path))
+    got = snapshots.rows_per_dump(spark, str(tmp_path)).collect()
+    assert sorted((r.dump, r.n) for r in got) == [("set_2016-06-07.parquet", 3), ("set_2016-11-01.parquet", 2)]
+
+
+def test_snapshots_of_other_elements_are_refused(spark):
+    df = spark.createDataFrame(ROWS, SCORED).drop("snapshot_year")
+    with pytest.raises(ValueError, match="2018 lacks mids:MIDS1B"):
+        snapshots.stack_snapshots({2016: df.withColumn("mids:MIDS1B", F.lit(True)), 2018: df})
+
+
+def test_one_to_many_join_shuffles_the_records_once(spark):
+    occ = spark.range(1000).select(F.col("id").cast("string").alias("gbifID"), F.col("id").alias("v"))
+    media = spark.range(3000).select((F.col("id") % 700).cast("string").alias("gbifID"), F.col("id").cast("string").alias("identifier"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = media_ops.join_media_raw(occ, media)
+        assert joined.count() == 3000 + 300
+        joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.split("Initial Plan")[0].count("ReusedExchange") >= 1
+
+
 def test_folder_without_dates_is_an_error(spark, tmp_path):
     spark.createDataFrame(ROWS, SCORED).write.parquet(str(tmp_path / "undated.parquet"))
     with pytest.raises(ValueError, match="no dated"):

@@ -26,8 +26,29 @@ def read_mapping(spark: SparkSession, path: str) -> MappingSet:
     return MappingSet.from_rows(r.asDict() for r in rows.collect())
 
 
-def read_mapping_by_id(spark: SparkSession, folder: str, mapping_id: str) -> MappingSet:
-    """The mapping file of a set id, as a configuration names it."""
+def read_mapping_header(spark: SparkSession, folder: str, mapping_id: str) -> dict[str, str]:
+    """The top-level ``key: value`` lines of a mapping set's header file, empty where there is none."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{mapping_id}.sssom.yml")
+    found = files.load(folder).select(F.decode("content", "UTF-8").alias("text")).first()
+    lines = found["text"].splitlines() if found else []
+    pairs = (line.partition(":") for line in lines if line[:1].strip() and not line.startswith("#"))
+    return {key.strip(): value.strip() for key, colon, value in pairs if colon and value.strip()}
+
+
+def read_mapping_by_id(
+    spark: SparkSession, folder: str, mapping_id: str, version: str | None = None
+) -> MappingSet:
+    """The mapping file of a set id, as a configuration names it.
+
+    A header file that names another set, or another version than the one asked for, is an error.
+    """
+    header = read_mapping_header(spark, folder, mapping_id)
+    asked = {"mapping_set_id": mapping_id, "mapping_set_version": version}
+    for key, value in asked.items():
+        if value is not None and header.get(key, value) != value:
+            raise ValueError(f"{key} of {mapping_id} is {header[key]!r}, not {value!r}")
+    if version is not None and "mapping_set_version" not in header:
+        raise ValueError(f"{mapping_id} states no version")
     return read_mapping(spark, f"{folder.rstrip('/')}/{mapping_id}.sssom.tsv")
 
 

@@ -68,6 +68,19 @@ def test_both_layouts_read_alike(spark, tmp_path, header):
 def test_mapping_is_found_by_id(spark, tmp_path):
     write_mapping(tmp_path / "set_1.sssom.tsv", FULL_HEADER, ROWS)
     assert len(lookups.read_mapping_by_id(spark, str(tmp_path), "set_1").elements) == 4
+    with pytest.raises(ValueError, match="no version"):
+        lookups.read_mapping_by_id(spark, str(tmp_path), "set_1", "1")
+    header = tmp_path / "set_1.sssom.yml"
+    header.write_text("curie_map:\n  dwc: http://x/\nmapping_set_id: set_1\nmapping_set_version: 2\nlicense: https://y/\n")
+    assert lookups.read_mapping_header(spark, str(tmp_path), "set_1") == {
+        "mapping_set_id": "set_1", "mapping_set_version": "2", "license": "https://y/"
+    }
+    assert len(lookups.read_mapping_by_id(spark, str(tmp_path), "set_1", "2").elements) == 4
+    with pytest.raises(ValueError, match="version of set_1 is '2'"):
+        lookups.read_mapping_by_id(spark, str(tmp_path), "set_1", "1")
+    header.write_text("mapping_set_id: another\n")
+    with pytest.raises(ValueError, match="is 'another'"):
+        lookups.read_mapping_by_id(spark, str(tmp_path), "set_1")
 
 
 def test_short_mapping_line_is_an_error(spark, tmp_path):

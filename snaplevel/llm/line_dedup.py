@@ -8,7 +8,7 @@ later one goes.
 A line of a thousand characters has a thousand variants, so lines without a partner are left out first, in
 a way that loses no pair: cut at PARTS fixed fractions of its length, a line agrees with any partner in all of
 it but the part that holds the edit. Only lines that share such a rest with another line emit variants, and
-only those that delete within the part. The same filter with two parts runs before the texts of lines are
+only those that delete within the part. The same filter with halves runs before the texts of lines are
 fetched at all.
 
 Only DataFrame functions are used. Equal lines are aggregated before any shuffle or join sees them, so a
@@ -25,21 +25,37 @@ from snaplevel.llm.common import saved
 
 #: Lines of fewer characters are compared for equality alone: one edit is too much of them.
 MIN_NEAR = 20
-#: Parts of a line for the first and the second filter.
-FIRST_PARTS, PARTS = 2, 16
-SPACES = r"[\x20\x09-\x0D]*"
+#: Parts of a line for the second filter; the first one has two.
+PARTS = 16
+#: Remainders of hashes that tell which rows can have a partner: a set of fixed size at most.
+REMAINDERS = 1 << 20
+FULL = r"[^\x20\x09-\x0D]"
 
 
-def _hash(*columns: Column) -> Column:
-    """Two 64-bit hashes."""
-    return F.struct(F.xxhash64(*columns).alias("h1"), F.hash(*columns).alias("h2"))
+def _hash(line: Column) -> Column:
+    """Two hashes of 64 and 32 bits."""
+    return F.struct(F.xxhash64(line).alias("h1"), F.hash(line).alias("h2"))
+
+
+def _halves(line: Column, length: Column) -> Column:
+    """Hashes of both halves of a line, without the middle character of an odd one.
+
+    One edit leaves a half as it is. A partner has the same length or one character more or less, and the
+    halves of both are as long as those of the shorter one: a line has keys for its length and for one less.
+    """
+
+    def keys(shorter: Column) -> list[Column]:
+        half = F.shiftright(shorter, 1)
+        front = F.xxhash64(line.substr(F.lit(1), half), F.lit(0), shorter)
+        return [front, F.xxhash64(line.substr(length - half + 1, half), F.lit(1), shorter)]
+
+    return F.array(*keys(length), *keys(length - 1))
 
 
 def _rests(line: Column, length: Column, parts: int) -> Column:
     """For each part of a line, the hash of the rest, and the characters from which and to which the edit can be.
 
-    A partner has the same length or one character more or less. All of them use the part length of the
-    shorter one, so a line emits keys for its own length and for one less.
+    As with halves, the parts are as long as those of the shorter line.
     """
 
     def keys(shorter: Column) -> Column:
@@ -55,11 +71,22 @@ def _rests(line: Column, length: Column, parts: int) -> Column:
     return F.concat(keys(length), keys(length - 1))
 
 
-def _with_partners(lines: DataFrame, keep: list[str]) -> DataFrame:
-    """Of rows (line hash, keys) those keys that another line has too: `keep`, from, to."""
-    keys = lines.select(*keep, F.explode("keys").alias("key")).select(*keep, "key.*")
+def _shared(keys: DataFrame) -> DataFrame:
+    """Of rows (line, rest, ...) with keys of distinct lines those whose rest another line has too.
+
+    A rest is counted with a map-side combine. The rows that are joined with the counts are first thinned
+    out by a remainder, which lets some others pass, so that what has no partner is not shuffled again.
+    """
     shared = keys.groupBy("rest").count().filter("count > 1").select("rest")
-    return keys.join(shared, "rest").drop("rest")
+    shared = saved(shared, "line-rests")
+    return _thinned(keys, "rest", shared).join(shared, "rest")
+
+
+def _thinned(rows: DataFrame, column: str, of: DataFrame) -> DataFrame:
+    """Rows whose column has the remainder of a value of `of`: all with an equal value and some others."""
+    remainder = F.pmod(column, F.lit(REMAINDERS)).alias("remainder")
+    known = of.select(remainder).distinct()  # at most REMAINDERS numbers
+    return rows.withColumn("remainder", remainder).join(F.broadcast(known), "remainder", "left_semi").drop("remainder")
 
 
 def _variants(line: Column, length: Column, start: Column, stop: Column) -> Column:
@@ -71,20 +98,20 @@ def _variants(line: Column, length: Column, start: Column, stop: Column) -> Colu
     return F.array_distinct(F.concat(F.array(F.xxhash64(line)), one_less))
 
 
-def _near_pairs(lines: DataFrame) -> DataFrame:
-    """Of distinct lines (hash, first, line) the hashes of those one edit from an earlier one."""
-    length = F.char_length("line")
-    keyed = lines.withColumn("keys", _rests(F.col("line"), length, PARTS))
-    parts = _with_partners(keyed, ["hash", "first", "line"])
-    variants = parts.select("hash", "first", F.explode(_variants(F.col("line"), length, F.col("from"), F.col("to"))).alias("variant"))
+def _later(lines: DataFrame) -> DataFrame:
+    """Of distinct lines (line, first, text) the places of those one edit from an earlier one."""
+    length = F.char_length("text")
+    keys = lines.select("line", F.explode(_rests(F.col("text"), length, PARTS)).alias("key")).select("line", "key.*")
+    parts = _shared(keys).select("line", "from", "to").distinct()
+    one_less = _variants(F.col("text"), length, F.col("from"), F.col("to"))
+    variants = parts.join(lines, "line").select("line", "first", F.explode(one_less).alias("variant"))
     variants = variants.distinct()
-    a = variants.select("variant", F.col("first").alias("a_first"), F.col("hash").alias("a"))
-    b = variants.select("variant", F.col("first").alias("b_first"), F.col("hash").alias("b"))
+    a = variants.select("variant", F.col("first").alias("a_first"), F.col("line").alias("a"))
+    b = variants.select("variant", F.col("first").alias("b_first"), F.col("line").alias("b"))
     pairs = a.join(b, "variant").filter("a_first < b_first").select("a", "b").distinct()
-    texts = lines.select("hash", "line")
-    pairs = pairs.join(texts.select(F.col("hash").alias("a"), F.col("line").alias("a_line")), "a")
-    pairs = pairs.join(texts.select(F.col("hash").alias("b"), F.col("line").alias("b_line")), "b")
-    return pairs.filter(F.levenshtein("a_line", "b_line", 1) >= 0).select(F.col("b").alias("hash")).distinct()
+    pairs = pairs.join(lines.select(F.col("line").alias("a"), F.col("text").alias("a_text")), "a")
+    pairs = pairs.join(lines.select(F.col("line").alias("b"), F.col("text").alias("b_text"), "first"), "b")
+    return pairs.filter(F.levenshtein("a_text", "b_text", 1) >= 0).select("first").distinct()
 
 
 def deduplicate_lines(
@@ -107,39 +134,55 @@ def deduplicate_lines(
     named n_lines or n_kept are replaced.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
+    others = [c for c in columns if c != text_column]
     ident, text = docs[id_column], docs[text_column]
     row = F.struct(ident.isNull().alias("no_id"), ident.alias("id"), F.xxhash64(text).alias("text_hash")).alias("row")
-    whole = docs.select(row, text.alias("body"), F.struct(*(docs[c] for c in columns)).alias("rest"))
+    whole = docs.select(row, text.alias("body"), F.struct(*(docs[c] for c in others)).alias("rest"))
 
     lines = whole.select("row", F.posexplode(F.split("body", "\n")).alias("at", "line"))
-    lines = lines.filter(~F.col("line").rlike(f"^{SPACES}$"))
-    length = F.char_length("line")
-    keys = F.when(length >= min_near - 1, _rests(F.col("line"), length, FIRST_PARTS)) if near else F.lit(None)
-    lines = lines.select(_hash(F.col("line")).alias("hash"), F.struct("row", "at").alias("first"), keys.alias("keys"))
-    first = lines.groupBy("hash").agg(F.min("first").alias("first"), F.first("keys").alias("keys"))
-
-    # Both uses of `grouped` read the same shuffle of the documents; the filter has both keep all its columns.
-    grouped = whole.groupBy("row").agg(F.first("body").alias("body"), F.first("rest").alias("rest"), F.count("*").alias("copies"))
-    grouped = grouped.filter("copies > 0 and rest is not null")
+    lines = lines.filter(F.col("line").rlike(FULL)).withColumn("length", F.char_length("line"))
+    # A line of one character less than the least can't be the shorter of a pair.
+    halves = F.when(F.col("length") >= min_near, _halves(F.col("line"), F.col("length"))) if near else F.lit(None)
+    lines = lines.select(_hash(F.col("line")).alias("hash"), F.struct("row", "at").alias("first"), halves.alias("halves"))
+    first = lines.groupBy("hash").agg(F.min("first").alias("first"), F.first("halves").alias("halves"))
+    places = first.select("first", F.lit(False).alias("later"))
     if near:
-        first = saved(first, "lines")
-        partners = _with_partners(first.filter("keys is not null"), ["hash", "first"]).select("hash", "first").distinct()
-        places = partners.groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct("hash", "first")).alias("found"))
-        fetched = grouped.join(places, "row").select(F.split("body", "\n").alias("lines"), F.explode("found").alias("one"))
-        fetched = fetched.select("one.hash", "one.first", F.get("lines", F.col("one.first.at")).alias("line"))
-        later = _near_pairs(fetched.filter(F.char_length("line") >= min_near))
-        first = first.join(later, "hash", "left_anti")
-    kept = first.groupBy(F.col("first.row").alias("row")).agg(F.collect_list("first.at").alias("kept"))
-
-    every = F.split("body", "\n")
-    joined = grouped.join(kept, "row", "left").withColumn("lines", every)
-    blank = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(f"^{SPACES}$"), i)), lambda i: i.isNotNull())
+        first = saved(first.select(F.col("hash.h1").alias("line"), "first", "halves"), "lines")
+        later = _later(saved(_fetched(whole, first), "line-partners"))
+        places = first.select("first", F.lit(False).alias("later")).unionByName(later.select("first", F.lit(True).alias("later")))
+    kept = places.groupBy(F.col("first.row").alias("row")).agg(
+        F.collect_list("first.at").alias("at"), F.collect_list(F.when(F.col("later"), F.col("first.at"))).alias("later")
+    )
+    kept = kept.select("row", F.array_except("at", "later").alias("kept"))
+
+    one = F.first(F.struct("body", "rest")).alias("one")
+    grouped = whole.groupBy("row").agg(one, F.count("*").alias("copies")).select("row", "one.*", "copies")
+    joined = grouped.join(kept, "row", "left").withColumn("lines", F.split("body", "\n"))
+    blank = F.filter(F.transform("lines", lambda x, i: F.when(~x.rlike(FULL), i)), lambda i: i.isNotNull())
     joined = joined.withColumn("blank", blank)
     joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    mine = F.when(F.col("copy") == 1, F.coalesce("kept", F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>"))
-    at = F.array_sort(F.concat(mine, "blank"))
-    joined = joined.withColumn("at", at)
-    body = F.array_join(F.transform("at", lambda i: F.get("lines", i)), "\n")
+    none = F.array().cast("array<int>")
+    mine = F.when(F.col("copy") == 1, F.coalesce("kept", none)).otherwise(none)
+    joined = joined.withColumn("at", F.array_sort(F.concat(mine, "blank")))
+    left = F.when(F.size("at") == F.size("lines"), F.col("body"))
+    left = left.otherwise(F.array_join(F.transform("at", lambda i: F.get("lines", i)), "\n"))
     count = lambda c: F.when(F.col("body").isNull(), 0).otherwise(F.size(c)).cast("long")
-    out = [body.alias(c) if c == text_column else F.col("rest")[c].alias(c) for c in columns]
+    out = [left.alias(c) if c == text_column else F.col("rest")[c].alias(c) for c in columns]
     return joined.select(*out, count("lines").alias("n_lines"), count("at").alias("n_kept"))
+
+
+def _fetched(whole: DataFrame, first: DataFrame) -> DataFrame:
+    """Of distinct lines (line, first, halves) those that share a half with another: line, first, text.
+
+    Their texts come from the documents; those that hold no such line are left out before any text is sent
+    to a join, but for some that pass by their remainder.
+    """
+    keys = first.filter("halves is not null").select("line", F.explode("halves").alias("rest"))
+    partners = saved(_shared(keys).select("line").distinct(), "line-hashes")
+    some = _thinned(first.select("line", "first"), "line", partners).join(partners, "line", "left_semi")
+    places = some.groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct("line", "first")).alias("found"))
+    places = saved(places.withColumn("text_hash", F.col("row.text_hash")), "line-places")
+    texts = whole.select("row", "body", F.col("row.text_hash").alias("text_hash"))
+    texts = _thinned(texts, "text_hash", places).select("row", "body").distinct()
+    fetched = texts.join(places, "row").select(F.split("body", "\n").alias("lines"), F.explode("found").alias("one"))
+    return fetched.select("one.line", "one.first", F.get("lines", F.col("one.first.at")).alias("text"))

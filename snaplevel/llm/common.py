@@ -9,6 +9,8 @@ from snaplevel.sources.workdir import work_folder
 
 #: A word is a run of anything but the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a batch of texts.
+BATCH = 1000
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,6 +25,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of at most BATCH rows, unless the session asks for another size.
+
+    Spark's own 10,000 rows are made for numbers: as many documents, in the memory of a task and of its
+    Python process, are a multiple of what the operators work on at a time.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from snaplevel.llm.common import small_batches
 from snaplevel.llm.hashing import U64, ngrams, word_groups
 
 BITS, LEARNERS, EPOCHS = 18, 8, 3
@@ -68,14 +69,14 @@ def learn(examples: list[tuple[np.ndarray, float]]) -> np.ndarray:
     return _weights(z, n).astype(np.float32)
 
 
-def _learner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _learner(share: pa.Table) -> pa.Table:
+    share = share.sort_by([("place", "ascending"), ("id", "ascending")]).combine_chunks()
+    labels = share["label"].to_pylist()
     examples = []
-    for batch in batches:
-        labels = batch["label"].to_pylist()
-        examples += [(grams, labels[k]) for k, grams in features(batch["text"])]
-    if examples:
-        found = learn(examples)
-        yield pa.RecordBatch.from_arrays([pa.array([len(examples)], pa.int64()), pa.array([found.tobytes()])], ["n", "weights"])
+    for chunk in share["text"].chunks:
+        start = len(examples)
+        examples += [(grams, labels[start + k]) for k, grams in features(chunk)]
+    return pa.table({"n": [len(examples)], "weights": [learn(examples).tobytes()]})
 
 
 def train(
@@ -102,9 +103,9 @@ def train(
     texts = texts.join(F.broadcast(known), "id")  # at most about `sample` rows of two numbers
     one = F.min(F.struct(F.xxhash64("text").alias("hash"), F.col("text"))).alias("one")
     texts = texts.groupBy("id", "label").agg(one).select("id", "label", F.coalesce("one.text", F.lit("")).alias("text"))
-    dealt = texts.withColumn("place", F.xxhash64("id", F.lit(seed + 1))).repartition(LEARNERS, "place")
-    dealt = dealt.sortWithinPartitions("place", "id").select("label", "text")
-    found = dealt.mapInArrow(_learner, "n long, weights binary").collect()  # one row for each learner
+    dealt = texts.withColumn("place", F.xxhash64("id", F.lit(seed + 1)))
+    dealt = dealt.groupBy(F.pmod("place", F.lit(LEARNERS)).alias("learner"))
+    found = dealt.applyInArrow(_learner, "n long, weights binary").collect()  # one row for each learner
     if not found:
         return np.zeros((1 << BITS) + 1, np.float32)
     found.sort(key=lambda r: r["weights"])
@@ -122,6 +123,7 @@ def scores_of(texts: pa.Array, w: np.ndarray) -> np.ndarray:
 
 def accepted(docs: DataFrame, weights: np.ndarray, *, text_column: str = "text", threshold: float = 0.3) -> DataFrame:
     """The documents that score at least the threshold, with all their columns; see `score`."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +148,7 @@ def score(
     Repeated rows are scored alike; a null id stays null. Other columns are ignored; an empty table gives
     no rows.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

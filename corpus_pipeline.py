@@ -39,8 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The ids of every document, and digests of them and of the text that they decode to."""
-    path = vocabulary(BYTE_BPE)
-    return bpe.decode(bpe.encode(docs, path), path).select(
+    return bpe.round_trip(docs, vocabulary(BYTE_BPE)).select(
         "doc_id",
         "ids",
         F.size("ids").cast("long").alias("n_tokens"),

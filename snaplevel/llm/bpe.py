@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snaplevel.llm import byte_bpe
-from snaplevel.llm.common import saved
+from snaplevel.llm.common import saved, small_batches
 
 #: Entries of the joined table of words, distinct words counted at a time in one task.
-HEAD, COUNTED = 524_288, 400_000
+HEAD, COUNTED = 262_144, 200_000
+DECODED = "doc_id long, ids array<int>, text string"
 
 
 def _count_words(path: str):
@@ -128,6 +129,17 @@ def _encode_documents(path: str, head):
     return encode_rows
 
 
+def _encoding(docs: DataFrame, vocabulary: str, id_column: str, text_column: str, head: int):
+    """Rows (doc_id, text) and the function that encodes batches of them."""
+    small_batches(docs.sparkSession)
+    words = saved(distinct_words(docs, vocabulary, text_column), "bpe-words")
+    frequent = head_of(words, head).mapInArrow(_encode_words(vocabulary), "word string, ids array<int>")
+    frequent = frequent.toArrow()  # at most `head` rows
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
+    return rows, _encode_documents(vocabulary, shared)
+
+
 def encode(
     docs: DataFrame,
     vocabulary: str,
@@ -142,12 +154,8 @@ def encode(
     ids (an empty array). Rows are encoded one by one: repeated ids give repeated rows, a null id stays
     null. Other columns are ignored; an empty table gives no rows.
     """
-    words = saved(distinct_words(docs, vocabulary, text_column), "bpe-words")
-    frequent = head_of(words, head).mapInArrow(_encode_words(vocabulary), "word string, ids array<int>")
-    frequent = frequent.toArrow()  # at most `head` rows
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
-    return rows.mapInArrow(_encode_documents(vocabulary, shared), "doc_id long, ids array<int>")
+    rows, encode_rows = _encoding(docs, vocabulary, id_column, text_column, head)
+    return rows.mapInArrow(encode_rows, "doc_id long, ids array<int>")
 
 
 def _texts(ids: pa.ListArray, pieces: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -167,11 +175,9 @@ def _texts(ids: pa.ListArray, pieces: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.array([whole[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())
 
 
-def _decode_rows(path: str):
+def _decode_rows(table):
     def decode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_id = byte_bpe.load(path).pieces()
-        table = [of_id.get(k, b"") for k in range(max(of_id) + 1)]
-        pieces, ends = np.frombuffer(b"".join(table), np.uint8), np.cumsum([len(p) for p in table])
+        pieces, ends = table.value
         for batch in batches:
             for part in _slices(batch):
                 ids = part["ids"]
@@ -185,10 +191,32 @@ def _decode_rows(path: str):
     return decode_rows
 
 
+def _decoding(docs: DataFrame, vocabulary: str):
+    """The function that decodes batches; the table of id and piece is sent to the tasks."""
+    of_id = byte_bpe.load(vocabulary).pieces()
+    table = [of_id.get(k, b"") for k in range(max(of_id) + 1)]
+    pieces = np.frombuffer(b"".join(table), np.uint8), np.cumsum([len(p) for p in table])
+    return _decode_rows(docs.sparkSession.sparkContext.broadcast(pieces))
+
+
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """Rows (doc_id, ids) with the text of the ids, special tokens included.
 
     Each id is joined with its piece; the table of pieces is the vocabulary, whose size doesn't depend on
     the data. Bytes that are no UTF-8 become U+FFFD. Null ids give null, no ids an empty text.
     """
-    return encoded.select("doc_id", "ids").mapInArrow(_decode_rows(vocabulary), "doc_id long, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(_decoding(encoded, vocabulary), DECODED)
+
+
+def round_trip(
+    docs: DataFrame,
+    vocabulary: str,
+    *,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    head: int = HEAD,
+) -> DataFrame:
+    """`decode` of `encode`, both steps in the same Python process of a task."""
+    rows, encode_rows = _encoding(docs, vocabulary, id_column, text_column, head)
+    decode_rows = _decoding(docs, vocabulary)
+    return rows.mapInArrow(lambda batches: decode_rows(encode_rows(batches)), DECODED)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snaplevel.llm.common import saved, text_key
+from snaplevel.llm.common import saved, small_batches, text_key
 from snaplevel.llm.components import components
 from snaplevel.llm.hashing import U64, mix, ngrams, word_groups
 
@@ -39,8 +39,8 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: N-grams in one of so many documents are hot; error of the lossy counts as a share of that.
 HOT, ERROR = 1000, 0.25
-#: N-grams that one counting task holds, about; fewest ranges.
-AT_ONCE, RANGES = 4_000_000, 16
+#: N-grams that one counting task holds, about; fewest ranges; documents that lossy counts take at a time.
+AT_ONCE, RANGES, COUNTED_DOCS = 2_000_000, 16, 10_000
 #: Classes that share a prefix member and are paired one by one; hubs of a cluster; classes of a tile.
 DENSE, HUBS, TILE = 64, 8, 256
 
@@ -86,15 +86,25 @@ class _Counts:
 
     def __init__(self):
         self.grams, self.counts, self.docs = np.zeros(0, U64), np.zeros(0, np.int64), 0
+        self.waiting: list[np.ndarray] = []
+        self.since = 0
 
     def add(self, parts: list[np.ndarray], docs: int) -> None:
-        grams, counts = np.unique(np.concatenate(parts) if parts else np.zeros(0, U64), return_counts=True)
-        several = counts > 1  # one fewer than seen at most, by batch
+        self.waiting += parts
+        self.since += docs
+        # Counted in large lots, for what a lot has once is left out.
+        if self.since >= COUNTED_DOCS or sum(map(len, self.waiting)) >= AT_ONCE:
+            self.settle()
+
+    def settle(self) -> None:
+        grams, counts = np.unique(np.concatenate(self.waiting or [self.grams[:0]]), return_counts=True)
+        several = counts > 1
         grams = np.concatenate([self.grams, grams[several]])
         counts = np.concatenate([self.counts, counts[several]])
         grams, back = np.unique(grams, return_inverse=True)
         counts = np.bincount(back, counts, len(grams)).astype(np.int64)
-        self.docs += docs
+        self.docs += self.since
+        self.waiting, self.since = [], 0
         kept = counts > ERROR * self.docs / HOT
         self.grams, self.counts = grams[kept], counts[kept]
 
@@ -113,6 +123,7 @@ def _sign(words: int):
             none = pa.nulls(batch.num_rows, pa.int64())
             columns = [pa.array(np.concatenate(x).astype(np.int64)) for x in (sizes, s1, s2)] if sizes else [none[:0]] * 3
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], *columns, none, none], names)
+        seen.settle()
         for k in range(0, len(seen.grams), 10_000):
             grams, counts = seen.grams[k : k + 10_000].view(np.int64), seen.counts[k : k + 10_000]
             none, no_key = pa.nulls(len(grams), pa.int64()), pa.nulls(len(grams), pa.string())
@@ -192,6 +203,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members, owners = np.concatenate(members), np.concatenate(owners)
         order = np.lexsort((owners, members))
         members, owners = members[order], owners[order]
+        del order
         new = np.append(True, (members[1:] != members[:-1]) | (owners[1:] != owners[:-1]))
         members, owners = members[new], owners[new]
         begin = np.flatnonzero(np.append(True, members[1:] != members[:-1]))
@@ -399,6 +411,7 @@ def near_duplicates(
     repeated rows are documents with equal sets. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(
         docs[id_column].cast("long").alias("doc_id"),
         text_key(docs[id_column], docs[text_column]).alias("key"),

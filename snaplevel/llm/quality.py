@@ -39,7 +39,8 @@ def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             same[:-1] = words[:-1] == words[1:]
             pairs, shape_pairs = ngrams(words, 2), ngrams(shape, 2)
             shape_pairs = shape_pairs ^ (same[: len(shape_pairs)] * _SALTS[0])
-            parts = [(x * salt) >> shift for x, salt in zip((words, shape, pairs, shape_pairs), _SALTS, strict=True)]
+            kinds = zip((words, shape, pairs, shape_pairs), _SALTS, strict=True)
+            parts = [((x * salt) >> shift).astype(np.int32) for x, salt in kinds]
         end = 0
         for k in range(row, stop):
             start, end = end, end + int(counts[k - row])
@@ -58,7 +59,7 @@ def learn(examples: list[tuple[np.ndarray, float]]) -> np.ndarray:
     for grams, label in examples:
         at, count = np.unique(grams, return_counts=True)
         share = count * (SCALE / max(1, len(grams)))
-        sparse.append((np.append(at.astype(np.int64), 1 << BITS), np.append(share, 1.0), label))
+        sparse.append((np.append(at, np.int32(1 << BITS)), np.append(share, 1.0).astype(np.float32), label))
     for _ in range(EPOCHS):
         for at, x, label in sparse:
             w = _weights(z[at], n[at])
@@ -117,7 +118,7 @@ def scores_of(texts: pa.Array, w: np.ndarray) -> np.ndarray:
     total = np.full(len(texts), w[-1])
     for k, grams in features(texts):
         if len(grams):
-            total[k] += SCALE * w[grams.astype(np.int64)].mean()
+            total[k] += SCALE * w[grams].mean()
     return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 

@@ -63,8 +63,7 @@ def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
-    path = vocabulary(BYTE_BPE)
-    decoded = bpe.decode(bpe.encode(read(spark, folder, "documents"), path), path)
+    decoded = bpe.round_trip(read(spark, folder, "documents"), vocabulary(BYTE_BPE))
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

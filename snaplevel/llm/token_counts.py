@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snaplevel.llm import byte_bpe
-from snaplevel.llm.common import saved
+from snaplevel.llm.common import saved, small_batches
 
 #: Texts of more characters are cut; characters of a chunk and of an overlap at first, factor of each further try.
 HUGE, CHUNK, OVERLAP, WIDER = 65_536, 16_384, 512, 8
@@ -156,6 +156,7 @@ def count_tokens(
     repeated ids give repeated rows, a null id stays null. Texts of more than `huge` characters are cut;
     equal ones are counted once. Other columns are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     text = docs[text_column]
     rows = docs.select(
         docs[id_column].cast("long").alias("doc_id"),

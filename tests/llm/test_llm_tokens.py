@@ -54,6 +54,8 @@ def test_ids_and_round_trip(spark, truth, head):
     got = bpe.decode(encoded, PATH).collect()
     want = sorted(((r["doc_id"], truth(r["text"]), r["text"] or "") for r in docs.collect()), key=str)
     assert sorted(((r["doc_id"], list(r["ids"]), r["text"]) for r in got), key=str) == want
+    got = bpe.round_trip(docs, PATH, head=head).collect()
+    assert sorted(((r["doc_id"], list(r["ids"]), r["text"]) for r in got), key=str) == want
 
 
 def test_decoding_of_partial_characters_and_nulls(spark, truth):

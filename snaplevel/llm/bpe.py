@@ -27,7 +27,7 @@ from snaplevel.llm import byte_bpe
 from snaplevel.llm.common import saved, small_batches
 
 #: Entries of the joined table of words, distinct words counted at a time in one task.
-HEAD, COUNTED = 262_144, 200_000
+HEAD, COUNTED = 131_072, 100_000
 DECODED = "doc_id long, ids array<int>, text string"
 
 

@@ -6,7 +6,7 @@ of the notices of that length; what shares a value is a candidate, and a candida
 holds at least three quarters of the notice's shingles.
 
 A notice with s shingles in a window of w shares at least 3/4 s of at most w + 1/4 s shingles, which is 1/6 or
-more for any notice of five words or more, and bands of one value miss with a probability of at most
+more for any notice, if its own shingles are distinct, and bands of one value miss with a probability of at most
 (5/6)^BANDS, less than one in a hundred thousand.
 
 Only windows with an anchor word are looked at, which loses nothing: the anchors of a notice are words of it
@@ -19,6 +19,7 @@ few matches.
 from __future__ import annotations
 
 import re
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,15 +42,18 @@ NOTICES = [
     ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
 ]
 
+#: Notices of fewer than SHINGLE words, for scans with `short`.
+SHORT_NOTICES = [("LicenseRef-All-Rights-Reserved", "All rights reserved.")]
+
 
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
 
 
-def shingles_of(words: Column) -> Column:
-    """Hashes of the distinct runs of SHINGLE words; of all words together, if they are fewer."""
-    last = F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))
-    run = lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " "))
+def shingles_of(words: Column, size: Column) -> Column:
+    """Hashes of the distinct runs of `size` words; of all words together, if they are fewer."""
+    last = F.greatest(F.size(words) - size + 1, F.lit(1))
+    run = lambda i: F.xxhash64(F.array_join(F.slice(words, i, size), " "))
     return F.array_distinct(F.transform(F.sequence(F.lit(1), last), run))
 
 
@@ -75,7 +79,7 @@ def _notices(spark: SparkSession, notices: list[tuple[str, str]]) -> DataFrame:
     rows = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(text).alias("notice")) for name, text in notices))
     table = spark.range(1).select(F.explode(rows).alias("row")).select("row.*")
     words = words_of(F.col("notice"))
-    table = table.select("license", F.size(words).alias("length"), shingles_of(words).alias("wanted"))
+    table = table.select("license", F.size(words).alias("length"), shingles_of(words, F.lit(SHINGLE)).alias("wanted"))
     return table.select("license", "length", "wanted", F.posexplode(minima_of(F.col("wanted"))).alias("band", "minimum"))
 
 
@@ -86,6 +90,7 @@ def scan(
     id_column: str = "doc_id",
     text_column: str = "text",
     least: float = 0.75,
+    short: bool = False,
 ) -> DataFrame:
     """One row per document and license found: doc_id, license, containment, at.
 
@@ -93,16 +98,25 @@ def scan(
     first window with at least the share `least` (0.75 or more, as the anchors assume). Words are runs of
     letters and digits, compared in lower case.
 
+    A notice of n words, fewer than SHINGLE, is looked for by its one run of n words if `short` is set; without
+    it, it is only found where a whole window is the notice, and a warning says so. The notices are NOTICES if
+    none are given, with `short` SHORT_NOTICES too.
+
     Null, empty and wordless texts have no license. Repeated ids are reported once per license, a null id
     like any other. Other columns are ignored; an empty table gives no rows.
     """
     if least < 0.75:
         raise ValueError("anchors and bands are made for a containment of 0.75 or more")
-    notices = NOTICES if notices is None else notices
+    if notices is None:
+        notices = NOTICES + SHORT_NOTICES if short else NOTICES
     spark = docs.sparkSession
     table = _notices(spark, notices)
     anchors = sorted({a for _, text in notices for a in anchors_of(text)})
     lengths = sorted({len(re.findall(r"[^\W_]+", text)) for _, text in notices})
+    if 0 in lengths:
+        raise ValueError("a notice without words")
+    if not short and min(lengths, default=SHINGLE) < SHINGLE:
+        warnings.warn(f"notices of fewer than {SHINGLE} words are practically never found without short=True", stacklevel=2)
 
     text = F.lower(docs[text_column])
     some = F.lit(False)
@@ -118,7 +132,8 @@ def scan(
     rows = rows.withColumn("turn", F.explode(turns))
     first = F.col("turn") * F.col("length")
     window = F.expr("slice(words, turn * length + 1, 2 * length)")
-    windows = rows.select("doc_id", "length", first.alias("at"), shingles_of(window).alias("held"))
+    size = F.least(F.lit(SHINGLE), F.col("length")) if short else F.lit(SHINGLE)
+    windows = rows.select("doc_id", "length", first.alias("at"), shingles_of(window, size).alias("held"))
     windows = windows.select("doc_id", "length", "at", "held", F.posexplode(minima_of(F.col("held"))).alias("band", "minimum"))
 
     found = windows.join(F.broadcast(table), ["length", "band", "minimum"])  # BANDS rows for each notice

@@ -62,3 +62,37 @@ def test_own_notices_and_limits(spark):
     assert found(spark, [], notices) == []
     with pytest.raises(ValueError):
         ls.scan(odd.docs(spark, []), least=0.5)
+
+
+def places(text, notice):
+    """The first words of all places where the words of the notice stand one after another."""
+    w, n = (re.findall(r"[^\W_]+", t.lower()) for t in (text, notice))
+    return [k for k in range(len(w) - len(n) + 1) if w[k : k + len(n)] == n]
+
+
+def test_short_notices(spark):
+    rng = random.Random(4)
+    notices = [("three", "All rights reserved."), ("two", "no rights"), ("one", "copyleft"), ("four", "use it as is"), ("long", ls.NOTICES[1][1])]
+    rows = [(1, "Copyright. All rights reserved", None), (2, "all reserved", None), (3, "rights reserved, all", None), (4, "All rights", None)]
+    for i in range(5, 80):
+        w = odd.words(rng, rng.randrange(0, 60))
+        for _ in range(rng.randrange(3)):
+            w.insert(rng.randrange(len(w) + 1), rng.choice(notices)[1])
+        rows.append((i, " ".join(w), None))
+    got = ls.scan(odd.docs(spark, rows), notices, short=True).collect()
+    want = {(i, name): places(text, notice) for i, text, _ in rows for name, notice in notices if name != "long" and places(text, notice)}
+    assert {(r["doc_id"], r["license"]) for r in got if r["license"] != "long"} == set(want) and len(want) > 40
+    for r in got:
+        if r["license"] != "long":
+            n = len(dict(notices)[r["license"]].split())
+            assert r["containment"] == 1 and r["at"] <= want[r["doc_id"], r["license"]][0] <= r["at"] + n
+    assert {(r["doc_id"], r["license"]) for r in got if r["license"] == "long"} == {(i, "long") for i, t, _ in rows if notices[4][1] in t}
+    got = ls.scan(odd.docs(spark, rows[:4]), short=True).collect()
+    assert [(r["doc_id"], r["license"], r["at"]) for r in got] == [(1, ls.SHORT_NOTICES[0][0], 0)]
+
+
+def test_short_notices_need_the_option(spark):
+    with pytest.warns(UserWarning, match="fewer than 5 words"):
+        ls.scan(odd.docs(spark, []), [("short", "all rights reserved")])
+    with pytest.raises(ValueError):
+        ls.scan(odd.docs(spark, []), [("none", "...")], short=True)

@@ -1,15 +1,16 @@
 """Scans for license notices: MinHash bands over overlapping windows, verified by shingle containment.
 
-A notice of n words is looked for in windows of 2 n words that begin every n words, so any passage of up to
-n + 1 words lies in one of them. A window's MinHash values, one for each of BANDS bands, are joined with those
-of the notices of that length; what shares a value is a candidate, and a candidate is a match if the window
-holds at least three quarters of the notice's shingles.
+A notice of n words is looked for in all windows of 2 n words, whatever word they begin with, so any passage of up
+to 2 n words lies in one of them. The windows that begin at n/4 neighbouring words are retrieved together: the
+MinHash values of the words of all of them, one for each of BANDS bands, are joined with those of the notices of
+that length. What shares a value is a candidate, and its windows are compared one by one; one that holds at least
+three quarters of the notice's shingles is a match.
 
-A notice with s shingles in a window of w shares at least 3/4 s of at most w + 1/4 s shingles, which is 1/6 or
+A notice with s shingles in neighbours of w shares at least 3/4 s of at most w + 1/4 s shingles, which is 1/6 or
 more for any notice, if its own shingles are distinct, and bands of one value miss with a probability of at most
 (5/6)^BANDS, less than one in a hundred thousand.
 
-Only windows with an anchor word are looked at, which loses nothing: the anchors of a notice are words of it
+Only windows with an anchor word of a notice of their length are looked at, which loses nothing: the anchors of a notice are words of it
 such that more than a quarter of its shingles have one, so three quarters of them can't do without.
 
 Only DataFrame functions are used. The notices are a parameter and small; the scan has no shuffle before its
@@ -50,11 +51,16 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
 
 
-def shingles_of(words: Column, size: Column) -> Column:
-    """Hashes of the distinct runs of `size` words; of all words together, if they are fewer."""
+def runs_of(words: Column, size: Column) -> Column:
+    """Hashes of the runs of `size` words, in order; of all words together, if they are fewer."""
     last = F.greatest(F.size(words) - size + 1, F.lit(1))
     run = lambda i: F.xxhash64(F.array_join(F.slice(words, i, size), " "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), run))
+    return F.transform(F.sequence(F.lit(1), last), run)
+
+
+def shingles_of(words: Column, size: Column) -> Column:
+    """The distinct ones of `runs_of`."""
+    return F.array_distinct(runs_of(words, size))
 
 
 def minima_of(shingles: Column) -> Column:
@@ -94,9 +100,10 @@ def scan(
 ) -> DataFrame:
     """One row per document and license found: doc_id, license, containment, at.
 
-    `containment` is the largest share of a notice's shingles that a window holds, `at` the first word of the
-    first window with at least the share `least` (0.75 or more, as the anchors assume). Words are runs of
-    letters and digits, compared in lower case.
+    `containment` is the largest share of a notice's shingles that a window holds. `at` is the first word of the
+    first window with at least the share `least` (0.75 or more, as the anchors assume): of the windows that
+    begin at a multiple of n words, or of all, if none of these has it. Words are runs of letters and digits,
+    compared in lower case. A notice spread over more than 2 n words by insertions is not found.
 
     A notice of n words, fewer than SHINGLE, is looked for by its one run of n words if `short` is set; without
     it, it is only found where a whole window is the notice, and a warning says so. The notices are NOTICES if
@@ -111,32 +118,54 @@ def scan(
         notices = NOTICES + SHORT_NOTICES if short else NOTICES
     spark = docs.sparkSession
     table = _notices(spark, notices)
-    anchors = sorted({a for _, text in notices for a in anchors_of(text)})
     lengths = sorted({len(re.findall(r"[^\W_]+", text)) for _, text in notices})
     if 0 in lengths:
         raise ValueError("a notice without words")
     if not short and min(lengths, default=SHINGLE) < SHINGLE:
         warnings.warn(f"notices of fewer than {SHINGLE} words are practically never found without short=True", stacklevel=2)
 
+    anchors = {n: sorted({a for _, text in notices for a in anchors_of(text) if len(re.findall(r"[^\W_]+", text)) == n}) for n in lengths}
+
     text = F.lower(docs[text_column])
     some = F.lit(False)
-    for anchor in anchors:
+    for anchor in sorted({a for known in anchors.values() for a in known}):
         some = some | text.contains(anchor)
     rows = docs.filter(some).select(docs[id_column].alias("doc_id"), words_of(docs[text_column]).alias("words"))
-    known = F.array(*map(F.lit, anchors))
-    at = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(known, w), i)), lambda i: i.isNotNull())
+    kinds = [
+        F.struct(
+            F.lit(n).alias("length"),
+            F.lit(max(1, n // 4)).alias("step"),
+            F.lit(min(SHINGLE, n) if short else SHINGLE).alias("run"),
+            F.array(*map(F.lit, known)).alias("known"),
+        )
+        for n, known in anchors.items()
+    ]
+    kind = F.array(*kinds) if kinds else F.array().cast("array<struct<length:int,step:int,run:int,known:array<string>>>")
+    rows = rows.withColumn("kind", F.explode(kind)).select("doc_id", "words", "kind.*")
+    at = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("known", w), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("anchors", at).filter(F.size("anchors") > 0)
-    rows = rows.withColumn("length", F.explode(F.array(*map(F.lit, lengths))))
-    turn = F.transform("anchors", lambda i: F.floor(i / F.col("length")).cast("int"))
-    turns = F.array_distinct(F.flatten(F.transform(turn, lambda j: F.array(j, F.greatest(j - 1, F.lit(0))))))
-    rows = rows.withColumn("turn", F.explode(turns))
-    first = F.col("turn") * F.col("length")
-    window = F.expr("slice(words, turn * length + 1, 2 * length)")
-    size = F.least(F.lit(SHINGLE), F.col("length")) if short else F.lit(SHINGLE)
-    windows = rows.select("doc_id", "length", first.alias("at"), shingles_of(window, size).alias("held"))
-    windows = windows.select("doc_id", "length", "at", "held", F.posexplode(minima_of(F.col("held"))).alias("band", "minimum"))
-
-    found = windows.join(F.broadcast(table), ["length", "band", "minimum"])  # BANDS rows for each notice
-    share = F.size(F.array_intersect("held", "wanted")) / F.size("wanted")
-    found = found.withColumn("containment", share).filter(F.col("containment") >= least)
-    return found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("at").alias("at"))
+    turn = lambda i: F.floor(i / F.col("step")).cast("int")
+    near = lambda i: F.sequence(turn(F.greatest(i - 2 * F.col("length") + 1, F.lit(0))), turn(i))
+    turns = F.array_distinct(F.flatten(F.transform("anchors", near)))
+    slices = F.transform(turns, lambda q: F.struct(
+        (q * F.col("step")).alias("first"),
+        F.slice("words", q * F.col("step") + 1, 2 * F.col("length") + F.col("step") - 1).alias("words"),
+    ))
+    rows = rows.select("doc_id", "length", "step", "run", F.size("words").alias("n_words"), F.explode(slices).alias("part"))
+    windows = rows.select("doc_id", "length", "step", "run", "n_words", "part.first", runs_of(F.col("part.words"), F.col("run")).alias("runs"))
+    windows = windows.select("*", F.posexplode(minima_of(F.col("runs"))).alias("band", "minimum"))
+
+    found = windows.join(F.broadcast(table), ["length", "band", "minimum"])  # up to BANDS rows for each notice
+    first, length = F.col("first"), F.col("length")
+
+    def window(k: Column) -> Column:
+        held = F.slice("runs", k + 1, 2 * length - F.col("run") + 1)
+        share = F.size(F.array_intersect(held, "wanted")) / F.size("wanted")
+        return F.struct((first + k).alias("at"), ((first + k) % length == 0).alias("even"), share.alias("containment"))
+
+    whole = lambda w: w["even"] | (w["at"] + 2 * length <= F.col("n_words"))
+    shares = F.transform(F.sequence(F.lit(0), F.col("step") - 1), window)
+    shares = F.filter(shares, lambda w: whole(w) & (w["containment"] >= least))
+    found = found.select("doc_id", "license", F.explode(shares).alias("window")).select("doc_id", "license", "window.*")
+    at = F.coalesce(F.min(F.when(F.col("even"), F.col("at"))), F.min("at")).alias("at")
+    return found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), at)

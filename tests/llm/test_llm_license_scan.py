@@ -96,3 +96,51 @@ def test_short_notices_need_the_option(spark):
         ls.scan(odd.docs(spark, []), [("short", "all rights reserved")])
     with pytest.raises(ValueError):
         ls.scan(odd.docs(spark, []), [("none", "...")], short=True)
+
+
+def sliding(text, notice):
+    """The largest share of a notice's runs in a window of twice its words, which begins at any word."""
+    w, n = (re.findall(r"[^\W_]+", (t or "").lower()) for t in (text, notice))
+    size = min(5, len(n))
+    want = {tuple(n[k : k + size]) for k in range(len(n) - size + 1)}
+    held = [{tuple(w[k : k + size]) for k in range(at, min(at + 2 * len(n), len(w)) - size + 1)} for at in range(max(1, len(w)))]
+    return max(len(want & h) for h in held) / len(want)
+
+
+def test_words_inserted_into_a_notice(spark):
+    rows = []
+    for number, inside in ((9, 2), (9, 8), (9, 11), (10, 5), (10, 22), (10, 23), (5, 14), (7, 6)):
+        notice = re.findall(r"[^\W_]+", ls.NOTICES[number][1])
+        middle = len(notice) // 2
+        passage = [*notice[:middle], *(f"x{k}" for k in range(inside)), *notice[middle:]]
+        for before in range(len(notice)):
+            rows.append((len(rows), " ".join([*(f"a{k}" for k in range(before)), *passage, *(f"b{k}" for k in range(60))]), None))
+    got = {(r["doc_id"], r["license"]): (r["containment"], r["at"]) for r in ls.scan(odd.docs(spark, rows)).collect()}
+    want = {}
+    for i, text, _ in rows:
+        for name, notice in ls.NOTICES:
+            if (share := sliding(text, notice)) >= 0.75:
+                want[i, name] = max(share, want.get((i, name), 0))
+    assert {key: c for key, (c, _) in got.items()} == want and len(want) > 100
+    even = {(i, name): at for i, name, _, at in brute(rows, ls.NOTICES)}  # windows a notice apart miss some
+    assert set(even) < set(got) and all(got[key][1] == at for key, at in even.items())
+
+
+def test_equals_sliding_word_by_word(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(120):
+        w = odd.words(rng, rng.randrange(0, 200))
+        for _ in range(rng.randrange(3)):
+            notice = rng.choice(ls.NOTICES)[1].split()
+            at = rng.randrange(len(notice))
+            notice[at:at] = odd.words(rng, rng.randrange(len(notice)))
+            w[rng.randrange(len(w) + 1) : 0] = notice
+        rows.append((i, " ".join(w), None))
+    got = {(r["doc_id"], r["license"]): r["containment"] for r in ls.scan(odd.docs(spark, rows)).collect()}
+    want = {}
+    for i, text, _ in rows:
+        for name, notice in ls.NOTICES:
+            if (share := sliding(text, notice)) >= 0.75:
+                want[i, name] = max(share, want.get((i, name), 0))
+    assert got == want and len(want) > 20

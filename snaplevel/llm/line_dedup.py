@@ -124,9 +124,10 @@ def deduplicate_lines(
 ) -> DataFrame:
     """The documents with all their columns, repeated lines removed, and n_lines, n_kept.
 
-    Lines end at "\\n". A line goes if an equal line stands earlier, or, from `min_near` characters on, one
-    within edit distance 1 (whether that one is kept or not). Earlier is by ascending id, null last, then a
-    hash of the text, then place in the text. Lines of white space alone are always kept.
+    Lines end at "\\n". A line goes if an equal line stands earlier, or one within edit distance 1 (whether that
+    one is kept or not), if both have at least `min_near` characters. Two edits are never near, however long
+    the lines. Earlier is by ascending id, null last, then a hash of the text, then place in the text. Lines of
+    white space alone are always kept.
 
     n_lines and n_kept count all lines. Null text stays null and has none; an empty text has one, empty, kept.
     Rows equal in id and text are one document that occurs more than once: the first keeps its lines, the

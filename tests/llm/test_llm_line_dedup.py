@@ -86,3 +86,10 @@ def test_long_lines_one_edit_apart(spark):
     rows = [(1, line, None), (2, line[:4000] + "x" + line[4000:], None), (3, line[:10] + line[11:], None), (4, line[:-1], None), (5, line[:20] + "yy" + line[22:], None)]
     got = {r["doc_id"]: r["n_kept"] for r in line_dedup.deduplicate_lines(odd.docs(spark, rows)).collect()}
     assert got == {1: 1, 2: 0, 3: 0, 4: 0, 5: 1}
+
+
+def test_both_lines_need_the_least_length(spark):
+    line = "exactly twenty chars"
+    rows = [(1, line[:-1], None), (2, line, None), (3, line + "s", None), (4, line + "ses", None)]
+    got = {r["doc_id"]: r["n_kept"] for r in line_dedup.deduplicate_lines(odd.docs(spark, rows)).collect()}
+    assert len(line) == 20 and got == {1: 1, 2: 1, 3: 0, 4: 1}

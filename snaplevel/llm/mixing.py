@@ -5,9 +5,11 @@ document finishes at the virtual time `words of its source so far / weight of th
 queued documents by that time and cutting the order where the budget is used up serves each source in
 proportion to its weight; sources that run out leave their share to the others.
 
-Only DataFrame functions are used. No step holds a whole source: the running sum of a source is cut into
-bins of its shuffle order, and the global order into range partitions, so a source with a third of all rows
-is spread like any other. The one window over all sources has one row per source.
+Only DataFrame functions are used. No step holds a whole source: the running sums are taken over ranges of the
+shuffle order of the sources, and the global order is cut into range partitions, so a source with a third of
+all rows is spread like any other. So is an id with a third of them: ranges are cut within a place too, by id,
+size and text, and rows equal in all of these are one row with a count there. The windows over all sources or
+ranges have one row for each.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 
 from snaplevel.llm.common import saved, shuffle_partitions, text_key, word_count
 
-#: Rows of one bin of a source's shuffle order, about.
-ROWS_PER_BIN = 20_000
+#: Rows of one range of the shuffle order, about, where there are more than partitions; of equal rows dealt out together.
+ROWS_PER_RANGE, EQUAL_ROWS = 20_000, 1_000
 CYCLE = (1.0, 2.0, 3.0)
 
 
@@ -68,24 +70,42 @@ def source_targets(rows: DataFrame, weights: DataFrame | None, epochs: int) -> D
     return sources.withColumn("reached", level).withColumn("target", target)
 
 
-def in_queue(rows: DataFrame, sources: DataFrame, n_rows: int) -> DataFrame:
-    """Rows with `upto`, the words of their source up to and with them in shuffle order."""
-    bins = max(1, n_rows // ROWS_PER_BIN)
-    ranked = rows.join(
+ORDER = ["place", "doc_id", "size", "key"]
+
+
+def in_ranges(rows: DataFrame, sources: DataFrame, n_rows: int) -> DataFrame:
+    """Equal rows as one with their number `rows`, with what `sources` says of theirs and a `range` of (rank, ORDER)."""
+    equal = rows.groupBy("doc_id", "source", "size", "place", "key").agg(F.count("*").alias("rows"))
+    ranked = equal.join(
         sources.select(F.col("source").alias("of"), "rank", "weight", "source_size", "target"),
-        rows["source"].eqNullSafe(F.col("of")),
+        equal["source"].eqNullSafe(F.col("of")),
     ).drop("of")
-    ranked = ranked.withColumn("bin", F.shiftright(F.shiftright("place", 30) * bins, 30))
-    sums = ranked.groupBy("rank", "bin").agg(F.sum("size").alias("in_bin"))
-    earlier = Window.partitionBy("rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("rank", "bin", F.coalesce(F.sum("in_bin").over(earlier), F.lit(0)).alias("earlier"))
-    inside = Window.partitionBy("rank", "bin").orderBy("place", "doc_id", "size", "key")
+    ranges = max(shuffle_partitions(rows.sparkSession), n_rows // ROWS_PER_RANGE)
+    dealt = ranked.repartitionByRange(ranges, "rank", *ORDER)
+    # Written, for the ranges of a second run could be others.
+    return saved(dealt.withColumn("range", F.spark_partition_id()), "mix-ranges")
+
+
+def in_queue(rows: DataFrame, sources: DataFrame, n_rows: int) -> DataFrame:
+    """Rows with `upto`, the words of their source up to and with them in shuffle order."""
+    dealt = in_ranges(rows, sources, n_rows)
+    words = F.col("size") * F.col("rows")
+    sums = dealt.groupBy("rank", "range").agg(F.sum(words).alias("in_range"))
+    earlier = Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("rank", "range", F.coalesce(F.sum("in_range").over(earlier), F.lit(0)).alias("earlier"))
+    inside = Window.partitionBy("rank", "range").orderBy(*ORDER)
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        ranked.join(sums, ["rank", "bin"])
-        .withColumn("upto", F.col("earlier") + F.sum("size").over(inside))
-        .drop("earlier", "bin")
+    queue = (
+        dealt.join(sums, ["rank", "range"])
+        .withColumn("before", F.col("earlier") + F.sum(words).over(inside) - words)
+        .drop("earlier", "range")
     )
+    # Equal rows apart again, a part of them in each task.
+    part = F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(EQUAL_ROWS).cast("long"))
+    queue = queue.withColumn("part", F.explode(part)).repartition(shuffle_partitions(rows.sparkSession))
+    last = F.least(F.col("part") + EQUAL_ROWS, "rows")
+    queue = queue.withColumn("nth", F.explode(F.sequence(F.col("part") + 1, last)))
+    return queue.withColumn("upto", F.col("before") + F.col("size") * F.col("nth")).drop("before", "part", "nth", "rows")
 
 
 def _finish(epoch: int) -> tuple:

@@ -80,3 +80,25 @@ def test_nothing_to_mix(spark, rows):
     got = mixing.mix_sources(odd.docs(spark, rows))
     assert [r["taken"] for r in got.collect()] == [0] * len(rows)
     assert mixing.mixed_documents(odd.docs(spark, rows)).count() == 0
+
+
+def test_an_id_of_a_third_of_the_rows_is_spread(spark):
+    rows = [(None, " ".join(["w"] * (1 + k % 7)) + f" {k}", "s0") for k in range(2000)] + [(None, "a b c", "s0")] * 2500
+    rows += [(k, "a b c d", f"s{k % 2}") for k in range(1500)]
+    docs = odd.docs(spark, rows)
+    queue = mixing.queued(docs, "doc_id", "text", "source", "mix")
+    sources = mixing.source_targets(queue, None, 3)
+    ranges = mixing.in_ranges(queue, sources, len(rows)).groupBy("range").agg(F.count("*").alias("n"), F.sum("rows").alias("rows")).collect()
+    assert sum(r["n"] for r in ranges) == 3501 and sum(r["rows"] for r in ranges) == len(rows)
+    assert max(r["n"] for r in ranges) < 2000  # the null id's texts are in several
+    got = mixing.in_queue(queue, sources, len(rows))
+    for source in ("s0", "s1"):
+        mine = [(r["upto"], r["size"], r["source_size"]) for r in got.filter(F.col("source") == source).collect()]
+        upto = 0
+        for at, size, total in sorted(mine):
+            upto += size
+            assert at == upto
+        assert upto == total
+    taken, _ = brute(rows)
+    by_id = {r["doc_id"]: r["n"] for r in mixing.mix_sources(docs).groupBy("doc_id").agg(F.sum("taken").alias("n")).collect()}
+    assert {k: v for k, v in by_id.items() if v} == taken

@@ -6,8 +6,8 @@ from a fingerprint by adding or subtracting its vector. The lanes of a paragraph
 
 * 0 and 1: 1, and its number of sentences;
 * 2 to 5: 240 bits of its SHA-256, for equality;
-* the others, for likeness: three counters of 20 bits each; a counter adds one for every sentence whose hash
-  has its bit set. Twice a counter less the number of sentences is a random projection of the multiset of
+* the others, for likeness: two counters of 30 bits each, which hold texts of up to 2^30 - 1 sentences; a counter
+  adds one for every sentence whose hash has its bit set. Twice a counter less the number of sentences is a random projection of the multiset of
   sentences, so the cosine of these projections estimates the cosine of two documents' sentence counts.
 
 Only DataFrame functions are used.
@@ -22,11 +22,11 @@ from snaplevel.llm.common import saved, shuffle_partitions, text_key
 
 PARAGRAPH, SENTENCE = "\n", r"\n|(?<=[.!?]) "
 MODULUS_MASK = (1 << 60) - 1
-#: Bits of one 64-bit hash that are used, three for each lane; hashes of a sentence.
-SHIFTS, HASHES = tuple(range(0, 63, 3)), 2
+#: Bits of one 64-bit hash that are used, two for each lane; hashes of a sentence.
+SHIFTS, HASHES = tuple(range(0, 64, 2)), 2
 EXACT_LANES = 6
-#: Copies the bits 0, 1, 2 of a number to the bits 0, 20, 40.
-_SPREAD, _EVERY_20 = 1 + (1 << 19) + (1 << 38), 1 + (1 << 20) + (1 << 40)
+#: Copies the bits 0, 1 of a number to the bits 0, 30.
+_SPREAD, _EVERY_30 = 1 + (1 << 29), 1 + (1 << 30)
 
 
 def _big(value: int) -> Column:
@@ -39,8 +39,8 @@ def _sketch(sentences: Column, seed: int) -> Column:
 
     def add(lanes: Column, h: Column) -> Column:
         def lane(x: Column, shift: Column) -> Column:
-            bits = F.call_function("shiftrightunsigned", h, shift).bitwiseAND(_big(7))
-            return (x + (bits * _big(_SPREAD)).bitwiseAND(_big(_EVERY_20))).bitwiseAND(_big(MODULUS_MASK))
+            bits = F.call_function("shiftrightunsigned", h, shift).bitwiseAND(_big(3))
+            return (x + (bits * _big(_SPREAD)).bitwiseAND(_big(_EVERY_30))).bitwiseAND(_big(MODULUS_MASK))
 
         return F.zip_with(lanes, shifts, lane)
 
@@ -84,13 +84,13 @@ def as_text(lanes: Column) -> Column:
 
 def _projections(lanes: Column) -> Column:
     counters = F.slice(lanes, EXACT_LANES + 1, len(SHIFTS) * HASHES)
-    n, low = F.get(lanes, F.lit(1)).cast("double"), _big((1 << 20) - 1)
+    n, low = F.get(lanes, F.lit(1)).cast("double"), _big((1 << 30) - 1)
 
-    def three(x: Column) -> Column:
-        parts = (x, F.shiftright(x, 20), F.shiftright(x, 40))
+    def two(x: Column) -> Column:
+        parts = (x, F.shiftright(x, 30))
         return F.array(*(p.bitwiseAND(low).cast("double") * 2 - n for p in parts))
 
-    return F.flatten(F.transform(counters, three))
+    return F.flatten(F.transform(counters, two))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -65,3 +65,13 @@ def test_few_rows(spark, rows):
     got = fp.fingerprint_edits(odd.docs(spark, rows)).collect()
     assert len(got) == len(rows)
     assert all(r["near_next"] == 1 for r in got)
+
+
+def test_more_equal_sentences_than_20_bits_count(spark):
+    n = 1_100_000
+    many = spark.range(1).select(fp._sketch(F.array_repeat(F.lit(""), n), 0).alias("f")).first()["f"]
+    one = spark.range(1).select(fp._sketch(F.array(F.lit("")), 0).alias("f")).first()["f"]
+    head = [0] * (fp.EXACT_LANES - 2)
+    rows = spark.createDataFrame([([n, n, *head, *many, *many], [1, 1, *head, *one, *one])], "a array<long>, b array<long>")
+    r = rows.select(fp._projections(F.col("a")).alias("p"), fp.likeness(F.col("a"), F.col("b")).alias("near")).first()
+    assert {abs(x) for x in r["p"]} == {float(n)} and abs(r["near"] - 1) < 1e-9

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaplevel.llm import bpe, embedding_dedup, fingerprints, license_scan, line_dedup, mixing, ngram_join, quality, token_counts, warc
+from snaplevel.llm import bpe, divergence, embedding_dedup, fingerprints, license_scan, line_dedup, mixing, ngram_join, quality, token_counts, warc
 from snaplevel.llm.common import read
 from snaplevel.sources.workdir import work_folder
 
@@ -93,6 +93,10 @@ def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, folder, "embeddings"), threshold=0.98)
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(read(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_mix_sources": op2_mix_sources,
@@ -104,6 +108,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_line_dedup": op9_line_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 OP1_SQL = """
@@ -256,6 +261,38 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(y, vec_id) AS compone
 FROM embeddings LEFT JOIN least ON vec_id = least.x LEFT JOIN counts ON vec_id = counts.x
 """
 
+#: Shares of every kept term in every source of its language, also of those that lack it; sums as 128-bit numbers.
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), terms AS (SELECT lang, source, doc, unnest(w) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS lang_n FROM terms GROUP BY lang, term HAVING count(DISTINCT doc) >= 30
+), sources AS (SELECT DISTINCT lang, source FROM docs
+), counts AS (SELECT lang, source, term, count(*) AS n FROM terms GROUP BY ALL
+), dense AS (
+  SELECT lang, source, term, lang_n, coalesce(n, 0)::HUGEINT AS n
+  FROM sources JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)
+), shares AS (
+  SELECT lang, source, term, n,
+         1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER s + 5 * count(*) OVER s) AS p,
+         1 + (1000000000::HUGEINT * (lang_n + 5)) // (sum(lang_n) OVER s + 5 * count(*) OVER s) AS q
+  FROM dense WINDOW s AS (PARTITION BY lang, source)
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares WHERE n > 0 AND p > q
+)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM parts
+QUALIFY part = 'pair' OR rank <= 50
+"""
+
 ORACLES = {
     "op1_warc": OP1_SQL,
     "op3_ngram_join": OP3_SQL,
@@ -263,4 +300,5 @@ ORACLES = {
     "op9_line_dedup": OP9_SQL,
     "op10_embedding_dedup": OP10_SQL,
     "op2_mix_sources": OP2_SQL,
+    "op11_source_divergence": OP11_SQL,
 }

@@ -52,7 +52,7 @@ def document_counter(text: bytes) -> Counter[bytes]:
     return found
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def count_terms(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[pa.RecordBatch]:
     """Sums over a task's documents; a row without a term tells that its source occurs."""
     totals: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]] = {}
     held = 0
@@ -84,7 +84,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.update(found)
             docs.update(found.keys())
             held += len(n)
-            if held > HELD:
+            if held > most:
                 yield from flushed()
                 held = 0
     yield from flushed()
@@ -100,7 +100,7 @@ def term_counts(
     small_batches(docs.sparkSession)
     text = lambda c, name: F.coalesce(docs[c].cast("string"), F.lit("")).alias(name)
     rows = docs.select(text(text_column, "text"), text(lang_column, "lang"), text(source_column, "source"))
-    parts = rows.mapInArrow(_count, _COUNTS)
+    parts = rows.mapInArrow(count_terms, _COUNTS)
     return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -111,38 +111,38 @@ def share(n: str, total: str, kept: str, smoothing: int = SMOOTHING) -> Column:
     return F.expr(f"1 + ({UNIT} * ({big(n)} + {smoothing})) div {over}").cast("long")
 
 
-def _distances(table: pa.Table) -> pa.Table:
-    """Summed distances of the sources of two tiles over the terms of one bucket that one of them has."""
-    node = np.stack([table["tile"].to_numpy(), table["at"].to_numpy()]).astype(np.int64)
-    p = table["p"].to_numpy()
-    terms = table["term"].combine_chunks().dictionary_encode()
-    codes = terms.indices.to_numpy(zero_copy_only=False)
-    head = terms.indices.is_null().to_numpy(zero_copy_only=False)
-    order = np.lexsort(node[:, head][::-1])
-    sources = node[:, head][:, order]
-    rest = p[head][order]
-    flat = sources[0] * TILE + sources[1]
-    matrix = np.repeat(rest[:, None], len(terms.dictionary), axis=1)
-    rows = np.searchsorted(flat, node[0, ~head] * TILE + node[1, ~head])
-    matrix[rows, codes[~head].astype(np.int64)] = p[~head]
-    low, high = int(table["low"][0].as_py()), int(table["high"][0].as_py())
-    left, right = np.flatnonzero(sources[0] == low), np.flatnonzero(sources[0] == high)
-    a, b, sums = [], [], []
-    for i in left:
-        others = right[right > i] if low == high else right
-        a += [int(flat[i])] * len(others)
-        b += flat[others].tolist()
-        sums += np.abs(matrix[others] - matrix[i]).sum(axis=1).tolist()
-    k = len(a)
-    return pa.table(
-        {
-            "lang": pa.repeat(table["lang"][0], k),
-            "a": pa.array(a, pa.int64()),
-            "b": pa.array(b, pa.int64()),
-            "part": pa.array(sums, pa.int64()),
-            "seen": pa.repeat(pa.scalar(len(terms.dictionary), pa.int64()), k),
-        }
-    )
+def _distances(size: int):
+    """Summed distances of the sources of two tiles of `size` over the terms of one bucket that one of them has."""
+
+    def distances(table: pa.Table) -> pa.Table:
+        flat = table["tile"].to_numpy().astype(np.int64) * size + table["at"].to_numpy()
+        p = table["p"].to_numpy()
+        terms = table["term"].combine_chunks().dictionary_encode()
+        head = terms.indices.is_null().to_numpy(zero_copy_only=False)
+        order = np.argsort(flat[head])
+        sources, rest = flat[head][order], p[head][order]
+        matrix = np.repeat(rest[:, None], len(terms.dictionary), axis=1)
+        codes = terms.indices.drop_null().to_numpy()
+        matrix[np.searchsorted(sources, flat[~head]), codes] = p[~head]
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        left, right = np.flatnonzero(sources // size == low), np.flatnonzero(sources // size == high)
+        a, b, sums = [], [], []
+        for i in left:
+            others = right[right > i] if low == high else right
+            a += [sources[i]] * len(others)
+            b += sources[others].tolist()
+            sums += np.abs(matrix[others] - matrix[i]).sum(axis=1).tolist()
+        return pa.table(
+            {
+                "lang": pa.repeat(table["lang"][0], len(a)),
+                "a": pa.array(a, pa.int64()),
+                "b": pa.array(b, pa.int64()),
+                "part": pa.array(sums, pa.int64()),
+                "seen": pa.repeat(pa.scalar(len(terms.dictionary), pa.int64()), len(a)),
+            }
+        )
+
+    return distances
 
 
 def _pairs(groups: DataFrame, shares: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def _pairs(groups: DataFrame, shares: DataFrame) -> DataFrame:
         F.greatest("tile", "other").alias("high"),
     )
     parts = dealt.groupBy("lang", "low", "high", "bucket").applyInArrow(
-        _distances, "lang string, a long, b long, part long, seen long"
+        _distances(TILE), "lang string, a long, b long, part long, seen long"
     )
     sums = parts.groupBy("lang", "a", "b").agg(F.sum("part").alias("part"), F.sum("seen").alias("seen"))
     of = lambda x: groups.select(

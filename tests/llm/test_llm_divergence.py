@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import odd
+import pyarrow as pa
 import pytest
 
 from snaplevel.llm import divergence
@@ -58,7 +59,6 @@ def frame(spark, rows):
 def test_equals_plain_version(spark, monkeypatch, least, tile, bucket):
     monkeypatch.setattr(divergence, "TILE", tile)
     monkeypatch.setattr(divergence, "BUCKET", bucket)
-    monkeypatch.setattr(divergence, "HELD", 300)
     rows = spread(odd.texts()) + [(f"Only{k} ÀÉ x{k}z", "many", f"host{k:03}") for k in range(70)] + [("a b", "alone", "one")]
     got = [tuple(r) for r in divergence.audit(frame(spark, rows), min_documents=least).collect()]
     assert len(got) == len(set(got))
@@ -83,6 +83,17 @@ def test_long_texts_are_split_between_terms(monkeypatch):
     assert divergence.document_counter(text) == whole == Counter({"wörter".encode(): 300, b"und": 300, b"words": 300, b"x" * 500: 1})
 
 
+def test_counters_are_sent_in_parts():
+    rows = [(f"w{k} shared", "en", f"s{k % 2}") for k in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["text", "lang", "source"])
+    parts = list(divergence.count_terms(iter([batch]), most=7))
+    sums = Counter()
+    for r in (r for p in parts for r in p.to_pylist() if r["term"] is not None):
+        sums[r["source"], r["term"]] += r["n"]
+        assert r["n"] == r["docs"]
+    assert len(parts) > 4 and sums["s0", "shared"] == sums["s1", "w"] == 20
+
+
 def test_shares_of_large_counts_are_exact(spark):
     n, total, kept = 7 * 10**15 + 3, 9 * 10**15 + 1, 12345
     row = spark.range(1).selectExpr(f"{n}L AS n", f"{total}L AS total", f"{kept}L AS kept").select(divergence.share("n", "total", "kept"))

@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaplevel.llm import bpe, divergence, embedding_dedup, fingerprints, license_scan, line_dedup, mixing, ngram_join, quality, token_counts, warc
+from snaplevel.llm import (
+    bpe,
+    divergence,
+    embedding_dedup,
+    fingerprints,
+    hard_negatives,
+    license_scan,
+    line_dedup,
+    mixing,
+    ngram_join,
+    quality,
+    token_counts,
+    warc,
+)
 from snaplevel.llm.common import read
 from snaplevel.sources.workdir import work_folder
 
@@ -97,6 +110,12 @@ def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(read(spark, folder, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0, scale=256)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_mix_sources": op2_mix_sources,
@@ -109,6 +128,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_source_divergence": op11_source_divergence,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 OP1_SQL = """
@@ -293,6 +313,28 @@ SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DES
 QUALIFY part = 'pair' OR rank <= 50
 """
 
+#: Every anchor against every row; products of whole numbers below 2^53 are exact as doubles.
+OP12_SQL = """
+WITH good AS (
+  SELECT row_number() OVER () AS row_, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.row_ AS a, a.vec_id AS anchor_id, b.row_ AS b, b.vec_id, a.label = b.label AS same,
+         list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM good a JOIN good b ON a.row_ <> b.row_ AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT a, anchor_id, b, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id NULLS LAST, b) <= 5
+)
+SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, score AS negative_score,
+       (row_number() OVER (PARTITION BY p.a, p.b ORDER BY score DESC, s.vec_id NULLS LAST, s.b))::INTEGER AS rank
+FROM positives p JOIN scores s ON p.a = s.a
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
 ORACLES = {
     "op1_warc": OP1_SQL,
     "op3_ngram_join": OP3_SQL,
@@ -301,4 +343,5 @@ ORACLES = {
     "op10_embedding_dedup": OP10_SQL,
     "op2_mix_sources": OP2_SQL,
     "op11_source_divergence": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }

@@ -11,6 +11,7 @@ from snaplevel.llm import (
     embedding_dedup,
     fingerprints,
     hard_negatives,
+    language_model,
     license_scan,
     line_dedup,
     mixing,
@@ -116,6 +117,10 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0, scale=256)
 
 
+def op13_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score_documents(read(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_mix_sources": op2_mix_sources,
@@ -129,6 +134,7 @@ QUERIES = {
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_source_divergence": op11_source_divergence,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 OP1_SQL = """

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snaplevel import schema as S
+from snaplevel.functions import presence
 
 N = "n"
 OLD, NEW = "MIDS_level_old", "MIDS_level_new"
@@ -68,6 +69,32 @@ class SnapshotSeries:
         """A shorter series; its intervals are between the years that remain."""
         return replace(self, years=tuple(sorted(set(years) & set(self.years))))
 
+    # What the analyses ask of a series; a history table answers the same from its runs.
+
+    @property
+    def flags(self) -> list[str]:
+        return S.flag_columns(self.rows)
+
+    def packed_flags(self) -> Column:
+        return presence.pack_flags(self.flags).alias("flags")
+
+    def transition_totals(self, *attributes: str) -> DataFrame:
+        """Records found in two consecutive snapshots, by attributes of the earlier one and both levels."""
+        pairs = matched_levels(self, *attributes)
+        return pairs.groupBy(S.SNAPSHOT_IDX, *attributes, OLD, NEW).agg(F.sum(N).alias(N))
+
+    def new_totals(self, *attributes: str | Column, empty_ids_match: bool) -> DataFrame:
+        """Rows of new records per snapshot and attributes."""
+        new = new_observations(self, *attributes, empty_ids_match=empty_ids_match)
+        keys = [c for c in new.columns if c not in (S.RECORD_ID, N)]
+        return new.groupBy(*keys).agg(F.sum(N).alias(N))
+
+    def base_cohort_totals(self) -> DataFrame:
+        return base_cohort(self)
+
+    def intake_cohort_totals(self) -> DataFrame:
+        return intake_cohorts(self)
+
 
 def _along_record():
     return Window.partitionBy(S.RECORD_ID).orderBy(S.SNAPSHOT_IDX)

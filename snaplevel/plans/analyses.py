@@ -1,4 +1,7 @@
-"""The analyses over a snapshot series. Output columns are the contract."""
+"""The analyses over a snapshot series, those along records also over a history table.
+
+Output columns are the contract.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,7 @@ from snaplevel import schema as S
 from snaplevel.functions import labels, presence
 from snaplevel.functions.shares import fraction, group_total, percent, with_joined_total
 from snaplevel.operators import series as X
+from snaplevel.operators.history import History
 from snaplevel.operators.series import NEW, OLD, SnapshotSeries
 from snaplevel.operators.summary import (
     NAME, PCT, TOTAL, TRUE, count_by_key, element_counts, largest_per_group,
@@ -89,10 +93,9 @@ def row_counts(series: SnapshotSeries) -> DataFrame:
 # --- new records ------------------------------------------------------------------------------
 
 
-def new_record_levels(series: SnapshotSeries) -> DataFrame:
+def new_record_levels(series: SnapshotSeries | History) -> DataFrame:
     """Level distribution of the records each snapshot adds. Rows without id are always new."""
-    new = X.new_observations(series, S.LEVEL, empty_ids_match=False)
-    counts = new.groupBy(S.SNAPSHOT_IDX, S.LEVEL).agg(F.sum(X.N).alias("n"))
+    counts = series.new_totals(S.LEVEL, empty_ids_match=False)
     return counts.select(
         S.LEVEL,
         "n",
@@ -101,20 +104,18 @@ def new_record_levels(series: SnapshotSeries) -> DataFrame:
     )
 
 
-def new_record_elements(series: SnapshotSeries) -> DataFrame:
+def new_record_elements(series: SnapshotSeries | History) -> DataFrame:
     """Element completeness (0-1) of the records each snapshot adds.
 
     The flags travel through the shuffles as one packed number. New records are grouped by that number
     before it is unpacked: there are few combinations of flags, so the per-element sums see few rows.
     """
-    flags = S.flag_columns(series.rows)
-    packed = presence.pack_flags(flags).alias("_flags")
-    new = X.new_observations(series, packed, empty_ids_match=True)
-    combinations = new.groupBy(S.SNAPSHOT_IDX, "_flags").agg(F.sum(X.N).alias(X.N))
+    flags = series.flags
+    combinations = series.new_totals(series.packed_flags(), empty_ids_match=True)
     wide = combinations.groupBy(S.SNAPSHOT_IDX).agg(
         F.sum(X.N).alias("total_new"),
         *[
-            F.sum(presence.packed_flag(F.col("_flags"), i) * F.col(X.N)).alias(f)
+            F.sum(presence.packed_flag(F.col("flags"), i) * F.col(X.N)).alias(f)
             for i, f in enumerate(flags)
         ],
     )
@@ -134,7 +135,7 @@ def new_record_elements(series: SnapshotSeries) -> DataFrame:
 # --- cohorts ----------------------------------------------------------------------------------
 
 
-def _cohort_shares(series: SnapshotSeries, counts: DataFrame, by: list[str]) -> DataFrame:
+def _cohort_shares(series: SnapshotSeries | History, counts: DataFrame, by: list[str]) -> DataFrame:
     total = group_total(X.N, by)
     return counts.withColumns(
         {
@@ -145,17 +146,17 @@ def _cohort_shares(series: SnapshotSeries, counts: DataFrame, by: list[str]) ->
     )
 
 
-def base_cohort_levels(series: SnapshotSeries) -> DataFrame:
+def base_cohort_levels(series: SnapshotSeries | History) -> DataFrame:
     """Levels, through time, of the records of the first snapshot; shares are of the survivors."""
-    shares = _cohort_shares(series, X.base_cohort(series), [S.SNAPSHOT_IDX])
+    shares = _cohort_shares(series, series.base_cohort_totals(), [S.SNAPSHOT_IDX])
     return shares.select(S.LEVEL, "n", S.SNAPSHOT_YEAR, "total_records", "pct_records")
 
 
 def intake_cohort_levels(
-    series: SnapshotSeries, last_cohort_year: int | None = None
+    series: SnapshotSeries | History, last_cohort_year: int | None = None
 ) -> DataFrame:
     """Levels, through time, of the records that each snapshot adds; shares are of the survivors."""
-    counts = X.intake_cohorts(series)
+    counts = series.intake_cohort_totals()
     shares = _cohort_shares(series, counts, ["cohort_idx", S.SNAPSHOT_IDX])
     out = shares.withColumn("cohort_year", series.year_at(F.col("cohort_idx")))
     if last_cohort_year is not None:
@@ -173,21 +174,17 @@ def cohort_entry_levels(cohorts: DataFrame) -> DataFrame:
 # --- level transitions ------------------------------------------------------------------------
 
 
-def _interval(series: SnapshotSeries) -> Column:
+def _interval(series: SnapshotSeries | History) -> Column:
     return labels.interval_label(*X.interval_columns(series)).alias("interval")
 
 
-def transition_counts(series: SnapshotSeries) -> DataFrame:
+def transition_counts(series: SnapshotSeries | History) -> DataFrame:
     """Matched records per interval and pair of levels: at most 25 rows per interval."""
-    return (
-        X.matched_levels(series)
-        .groupBy(S.SNAPSHOT_IDX, OLD, NEW)
-        .agg(F.sum(X.N).alias("n_records"))
-        .withColumn("interval", _interval(series))
-    )
+    totals = series.transition_totals().withColumnRenamed(X.N, "n_records")
+    return totals.withColumn("interval", _interval(series))
 
 
-def change_status_by_interval(series: SnapshotSeries) -> DataFrame:
+def change_status_by_interval(series: SnapshotSeries | History) -> DataFrame:
     """Matched records whose level changed or not; share of the interval (0-1)."""
     status = labels.change_status(F.col(OLD), F.col(NEW)).alias("status")
     counts = (
@@ -197,7 +194,7 @@ def change_status_by_interval(series: SnapshotSeries) -> DataFrame:
     return counts.withColumns({"total": total, "percent": fraction(F.col("n"), total)})
 
 
-def level_transitions(series: SnapshotSeries) -> DataFrame:
+def level_transitions(series: SnapshotSeries | History) -> DataFrame:
     """Every level change per interval with its share of all matched and of all changed records."""
     old, new = F.col(OLD), F.col(NEW)
     everything = transition_counts(series).withColumn(
@@ -217,12 +214,12 @@ def level_transitions(series: SnapshotSeries) -> DataFrame:
     return shares.withColumn("label", labels.percent_label(F.col("pct_of_changes")))
 
 
-def largest_transition(series: SnapshotSeries) -> DataFrame:
+def largest_transition(series: SnapshotSeries | History) -> DataFrame:
     """The most frequent level change of each interval."""
     return largest_per_group(level_transitions(series), ["interval"], "n_records", "transition")
 
 
-def direction_summary(series: SnapshotSeries) -> DataFrame:
+def direction_summary(series: SnapshotSeries | History) -> DataFrame:
     """Increases and decreases per interval.
 
     The percentages of a direction add up to that of its summed count; taking it from the count does
@@ -254,24 +251,32 @@ def declines(series: SnapshotSeries) -> DataFrame:
     )
 
 
-def declining_datasets(series: SnapshotSeries) -> DataFrame:
+def decline_totals(series: SnapshotSeries | History) -> DataFrame:
+    """Declined records per interval, data set of the earlier snapshot and pair of levels."""
+    from_year, to_year = X.interval_columns(series)
+    change = labels.level_change(F.col(OLD), F.col(NEW))
+    totals = series.transition_totals(S.DATASET).where(change < 0)
+    return totals.withColumns({"change": change, "from_year": from_year, "to_year": to_year})
+
+
+def declining_datasets(series: SnapshotSeries | History) -> DataFrame:
     """Data sets by number of declined records, largest first."""
-    counts = declines(series).groupBy(S.DATASET).agg(F.sum(X.N).alias("n_declined_specimens"))
+    counts = decline_totals(series).groupBy(S.DATASET).agg(F.sum(X.N).alias("n_declined_specimens"))
     return counts.orderBy(F.desc("n_declined_specimens"), S.DATASET)
 
 
-def declining_datasets_by_interval(series: SnapshotSeries) -> DataFrame:
+def declining_datasets_by_interval(series: SnapshotSeries | History) -> DataFrame:
     """The same per interval, largest first within the interval."""
-    counts = declines(series).groupBy("from_year", "to_year", S.DATASET).agg(
+    counts = decline_totals(series).groupBy("from_year", "to_year", S.DATASET).agg(
         F.sum(X.N).alias("n_declined_specimens")
     )
     return counts.orderBy("from_year", F.desc("n_declined_specimens"), S.DATASET)
 
 
-def decline_severity(series: SnapshotSeries) -> DataFrame:
+def decline_severity(series: SnapshotSeries | History) -> DataFrame:
     """Declined records, mean and largest drop per data set, largest count first."""
     drop = F.abs("change")
-    counts = declines(series).groupBy(S.DATASET).agg(
+    counts = decline_totals(series).groupBy(S.DATASET).agg(
         F.sum(X.N).alias("specimens_declined"),
         (F.sum(drop * F.col(X.N)).cast("double") / F.sum(X.N).cast("double")).alias("mean_drop"),
         F.max(drop).alias("max_drop"),
@@ -280,7 +285,7 @@ def decline_severity(series: SnapshotSeries) -> DataFrame:
 
 
 def top_level_drop(
-    series: SnapshotSeries,
+    series: SnapshotSeries | History,
     from_year: int,
     to_year: int,
     old_level: int = 1,
@@ -294,10 +299,10 @@ def top_level_drop(
     """
     pair = series.only(from_year, to_year)
     name = f"records_{old_level}_to_{new_level}"
-    fell = X.matched_levels(pair, S.DATASET).where(
+    fell = pair.transition_totals(S.DATASET).where(
         (F.col(OLD) == old_level) & (F.col(NEW) == new_level)
     )
-    counts = fell.groupBy(S.SNAPSHOT_IDX, S.DATASET).agg(F.sum(X.N).alias(name))
+    counts = fell.select(S.SNAPSHOT_IDX, S.DATASET, F.col(X.N).alias(name))
     shares = with_joined_total(counts, name, [S.SNAPSHOT_IDX], "_total")
     return (
         shares.select(

@@ -717,3 +717,32 @@ oracle(
     f"""SELECT s.phylum, count(*) AS n, kingdom FROM scored s
     LEFT JOIN kingdoms k ON s.phylum = k.phylum WHERE snapshot_year = {LAST_YEAR} GROUP BY ALL""",
 )
+
+# --- the history table ------------------------------------------------------------------------
+
+_MASK = " + ".join(f'CASE WHEN "{f}" THEN {1 << i} ELSE 0 END' for i, f in enumerate(FLAGS))
+# Neighbouring snapshots with the same number of equal rows: their index less their rank is the same.
+oracle(
+    "history_runs",
+    f"""SELECT gbifID, datasetKey, MIDS_level, flags, n, min(snapshot_year) AS first_year,
+      max(snapshot_year) AS last_year
+    FROM (SELECT *, idx - row_number() OVER
+            (PARTITION BY gbifID, datasetKey, MIDS_level, flags, n ORDER BY idx) AS run
+          FROM (SELECT gbifID, datasetKey, MIDS_level, CAST({_MASK} AS BIGINT) AS flags, idx,
+                  snapshot_year, count(*) AS n FROM scored_idx GROUP BY ALL))
+    GROUP BY gbifID, datasetKey, MIDS_level, flags, n, run""",
+)
+oracle(
+    "history_levels",
+    "SELECT snapshot_year, datasetKey, MIDS_level, count(*) AS n FROM scored GROUP BY ALL",
+)
+for _name, _same in (
+    ("history_transitions", "level_transitions"),
+    ("history_decline_severity", "decline_severity"),
+    ("history_level_drop", "top_level_drop"),
+    ("history_base_cohort", "base_cohort_levels"),
+    ("history_intake_cohorts", "intake_cohort_levels"),
+    ("history_new_levels", "new_record_levels"),
+    ("history_new_elements", "new_record_elements"),
+):
+    ORACLES[_name] = ORACLES[_same]

@@ -12,8 +12,8 @@ from snaplevel import schema as S
 from snaplevel.functions import bins, labels, presence
 from snaplevel.functions.shares import group_total, percent, with_joined_total
 from snaplevel.mappings import default_mapping
+from snaplevel.operators import history, scoring, slices, summary
 from snaplevel.operators import media as media_ops
-from snaplevel.operators import scoring, slices, summary
 from snaplevel.operators import series as X
 from snaplevel.operators.series import NEW, OLD
 from snaplevel.plans import analyses as A
@@ -916,3 +916,66 @@ def dataset_counts(spark, folder):
 def media_join(spark, folder):
     raw = tables.raw_occurrences(spark, folder)
     return media_ops.join_media(raw, tables.media(spark, folder))
+
+
+# --- the history table ------------------------------------------------------------------------
+
+
+def _history(spark: SparkSession, folder: str) -> history.History:
+    return history.build(_series(spark, folder), work_folder(spark, "history"))
+
+
+@query
+def history_runs(spark, folder):
+    table = _history(spark, folder)
+    return table.rows.select(
+        S.RECORD_ID,
+        S.DATASET,
+        S.LEVEL,
+        F.get(history.FLAGS, F.lit(0)).alias("flags"),
+        "n",
+        table.year_at(F.col(history.FIRST)).alias("first_year"),
+        table.year_at(F.col(history.LAST)).alias("last_year"),
+    )
+
+
+@query
+def history_levels(spark, folder):
+    table = _history(spark, folder)
+    year = table.year_at(F.col(S.SNAPSHOT_IDX)).alias(S.SNAPSHOT_YEAR)
+    return table.level_totals(S.DATASET).select(year, S.DATASET, S.LEVEL, "n")
+
+
+@query
+def history_transitions(spark, folder):
+    return A.level_transitions(_history(spark, folder))
+
+
+@query
+def history_decline_severity(spark, folder):
+    return A.decline_severity(_history(spark, folder))
+
+
+@query
+def history_level_drop(spark, folder):
+    return A.top_level_drop(_history(spark, folder), FROM_YEAR, TO_YEAR)
+
+
+@query
+def history_base_cohort(spark, folder):
+    return A.base_cohort_levels(_history(spark, folder))
+
+
+@query
+def history_intake_cohorts(spark, folder):
+    return A.intake_cohort_levels(_history(spark, folder), last_cohort_year=LAST_YEAR - 1)
+
+
+@query
+def history_new_levels(spark, folder):
+    return A.new_record_levels(_history(spark, folder))
+
+
+@query
+def history_new_elements(spark, folder):
+    return A.new_record_elements(_history(spark, folder))

@@ -76,15 +76,24 @@ def score_records(
     extra = [c for c in extra or [] if c not in CARRIED]
     rows = presence.media_flag_to_text(scan_projected(df, mapping, extra))
     columns = rows.columns
-    # Only the carried columns need their cleaned text; the rules test the sentinels themselves.
+    flags = [rule.alias(name) for name, rule in presence.compile_rules(mapping, columns).items()]
+    level = presence.score_level(mapping, columns).alias(S.LEVEL)
+    output = output_columns(columns, mapping, level, flags)
+    return rows.select(*output, *[F.col(S.quoted(c)) for c in extra])
+
+
+def output_columns(
+    columns: list[str], mapping: MappingSet, level: Column, flags: list[Column]
+) -> list[Column]:
+    """Carried columns cleaned and typed, level and flags, in output order.
+
+    Only the carried columns need their cleaned text; the rules test the sentinels themselves.
+    """
     carried = {
         c: presence.cleaned_sql(c, mapping.sentinels.get(c, ())) if c in columns else "NULL"
         for c in CARRIED
     }
-    typed = {c: _typed(c, sql) for c, sql in carried.items()}
-    flags = [rule.alias(name) for name, rule in presence.compile_rules(mapping, columns).items()]
-    level = presence.score_level(mapping, columns).alias(S.LEVEL)
-    return rows.select(*_in_output_order(typed, level, flags), *[F.col(S.quoted(c)) for c in extra])
+    return _in_output_order({c: _typed(c, sql) for c, sql in carried.items()}, level, flags)
 
 
 def cast_casualties(df: DataFrame, mapping: MappingSet | None = None) -> DataFrame:

@@ -746,3 +746,92 @@ for _name, _same in (
     ("history_new_elements", "new_record_elements"),
 ):
     ORACLES[_name] = ORACLES[_same]
+
+# --- presence masks ---------------------------------------------------------------------------
+
+_SHOWN = {
+    "catalogNumber": (), "institutionID": (), "taxonKey": ("0",), "locality": (), "year": (),
+    "recordNumber": (), "multimediaIdentifier": (),
+}
+oracle(
+    "presence_masks",
+    f"""SELECT CAST(gbifID AS BIGINT) AS gbifID, CAST(snapshot_year AS INTEGER) AS snapshot_year,
+      {", ".join(f"CAST({_p(c, *more)} AS INTEGER) AS has_{c}" for c, more in _SHOWN.items())} FROM raw""",
+    scored=False,
+)
+
+
+def _elements(without: tuple[str, ...] = (), **changed: str | int) -> list[tuple[int, str, str]]:
+    """(level, element, condition), with other conditions or levels for some elements."""
+    out = []
+    for flag, sql in FLAGS.items():
+        level, name = int(flag[9]), flag[10:]
+        other = changed.get(name)
+        if name not in without:
+            out.append((other if isinstance(other, int) else level, name, other if isinstance(other, str) else sql))
+    return out
+
+
+_LEVEL_3 = tuple(f[10:] for f in FLAGS if f[9] == "3")
+_THREE = ("License", "Name", "DateCollected")
+_SETS = {
+    "default": _elements(),
+    "no media": _elements(("Media", "MediaID")),
+    "three levels": _elements(_LEVEL_3),
+    "strict location": _elements(QualitativeLocation=f"{_p('locality')} AND {_p('countryCode')}"),
+    "either agent": _elements(
+        CollectingAgent=f"{_p('recordedBy')} OR NOT ({_p('recordedByID')} AND {_p('identifiedByID')})"
+    ),
+    "any date": _elements(DateCollected="year IS NOT NULL AND year <> ''"),
+    "three elements": _elements(tuple(f[10:] for f in FLAGS if f[10:] not in _THREE)),
+    "moved": _elements(Modified=2, ObjectType=0, IdentifiedByID=1),
+}
+
+
+def _level_of(elements: list[tuple[int, str, str]]) -> str:
+    def all_to(top: int) -> str:
+        return " AND ".join(f"({sql})" for level, _, sql in elements if level <= top) or "true"
+
+    return f"""CAST(CASE WHEN {all_to(3)} THEN 3 WHEN {all_to(2)} THEN 2 WHEN {all_to(1)} THEN 1
+      WHEN {all_to(0)} THEN 0 ELSE -1 END AS TINYINT)"""
+
+
+_ID_YEAR = "CAST(gbifID AS BIGINT) AS gbifID, CAST(snapshot_year AS INTEGER) AS snapshot_year"
+oracle(
+    "score_mapping_sets",
+    " UNION ALL ".join(
+        f"""SELECT {_ID_YEAR}, '{name}' AS mapping, {_level_of(elements)} AS MIDS_level,
+          CAST({" + ".join(f"CAST(({sql}) AS INTEGER)" for _, _, sql in elements)} AS INTEGER) AS n_flags FROM raw"""
+        for name, elements in _SETS.items()
+    ),
+    scored=False,
+)
+oracle(
+    "score_masked",
+    f"""SELECT {_ID_YEAR}, datasetKey, {_level_of(_SETS["moved"])} AS MIDS_level,
+      {", ".join(f'({sql}) AS "mids:MIDS{level}{name}"' for level, name, sql in _SETS["moved"])},
+      {_YEAR} AS year, {_clean("countryCode")} AS countryCode, phylum FROM raw""",
+    scored=False,
+)
+
+# --- repair of broken lines -------------------------------------------------------------------
+
+_BROKEN = "(locality IS NOT NULL AND coalesce(phylum, '') IN ('1-URGENT', '3-MEDIUM'))"
+_FED = f"""CASE WHEN locality IS NOT NULL AND phylum = '3-MEDIUM' THEN concat('some', chr(10), 'where')
+  WHEN locality IS NOT NULL AND phylum = '1-URGENT' THEN concat('some', chr(10), chr(10), 'where')
+  ELSE {_QUOTED} END"""
+oracle(
+    "repair_lines",
+    f"""SELECT {", ".join(f"nullif({_FED if c == 'locality' else c}, '') AS {c}" for c in RECORD_COLUMNS)}
+    FROM records WHERE NOT {_SHORT}""",
+    scored=False,
+)
+ORACLES["repair_rejects"] = ORACLES["capture_rejects"]
+oracle(
+    "repair_audit",
+    f"""SELECT count(*) FILTER (WHERE NOT {_SHORT} AND NOT {_BROKEN}) AS accepted,
+      count(*) FILTER (WHERE {_BROKEN}) AS repaired,
+      CAST(coalesce(sum(CASE phylum WHEN '1-URGENT' THEN 3 ELSE 2 END) FILTER (WHERE {_BROKEN}), 0) AS BIGINT) AS repaired_lines,
+      count(*) FILTER (WHERE {_SHORT}) AS rejected FROM records""",
+    scored=False,
+)

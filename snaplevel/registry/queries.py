@@ -12,14 +12,14 @@ from snaplevel import schema as S
 from snaplevel.functions import bins, labels, presence
 from snaplevel.functions.shares import group_total, percent, with_joined_total
 from snaplevel.mappings import default_mapping
-from snaplevel.operators import history, scoring, slices, summary
+from snaplevel.operators import history, masks, scoring, slices, summary
 from snaplevel.operators import media as media_ops
 from snaplevel.operators import series as X
 from snaplevel.operators.series import NEW, OLD
 from snaplevel.plans import analyses as A
 from snaplevel.registry import tables
 from snaplevel.registry.tables import LAST_YEAR
-from snaplevel.sources import lookups, sinks, snapshots, text
+from snaplevel.sources import lookups, repair, sinks, snapshots, text
 from snaplevel.sources.workdir import work_folder
 from snaplevel.streaming import incremental
 
@@ -30,6 +30,8 @@ QUERIES: dict[str, Query] = {}
 SIZE_BOUNDS = (230, 250, 1000)
 SUBSET_PHYLUM = "3-MEDIUM"
 FROM_YEAR, TO_YEAR = 1998, 1999
+# Columns whose bits the query of the masks shows.
+MASKED = ("catalogNumber", "institutionID", "taxonKey", "locality", "year", "recordNumber", "multimediaIdentifier")
 
 
 def query(function: Query) -> Query:
@@ -52,19 +54,20 @@ def _last(spark: SparkSession, folder: str) -> DataFrame:
 # --- scans, sources, sinks --------------------------------------------------------------------
 
 
-def dump_line(columns: list[str]) -> Column:
+def dump_line(columns: list[str], broken: bool = False) -> Column:
     """A raw record as a tab-separated line; some are malformed.
 
     By kind and phylum: lines that lack their last field, lines with a surplus field, and lines with
-    a lone quote character.
+    a lone quote character. With ``broken`` some localities hold one or two line feeds.
     """
+    locality = F.when(
+        (F.col("phylum") == "2-HIGH") & F.col("locality").isNotNull(), F.concat(F.lit('"'), F.col("locality"))
+    )
+    if broken:
+        fed = F.when(F.col("phylum") == "3-MEDIUM", "some\nwhere").when(F.col("phylum") == "1-URGENT", "some\n\nwhere")
+        locality = F.when(F.col("locality").isNotNull() & fed.isNotNull(), fed).otherwise(locality)
     quoted = [
-        F.when(
-            (F.col("phylum") == "2-HIGH") & F.col("locality").isNotNull(),
-            F.concat(F.lit('"'), F.col("locality")),
-        ).otherwise(F.coalesce(F.col(c), F.lit("")))
-        if c == "locality"
-        else F.coalesce(F.col(c), F.lit(""))
+        F.coalesce(locality, F.col(c), F.lit("")) if c == "locality" else F.coalesce(F.col(c), F.lit(""))
         for c in columns
     ]
     low = F.col("phylum") == "5-LOW"
@@ -77,21 +80,29 @@ def dump_line(columns: list[str]) -> Column:
     )
 
 
-def _write_dump(spark: SparkSession, folder: str) -> str:
-    """The records as a text dump of several files with a header line each, one in another order."""
+def _write_dump(spark: SparkSession, folder: str, broken: bool = False) -> str:
+    """The records as a text dump of files with a header line each, one kind of them in another order.
+
+    The number of files grows with the records, so that no task writes more than about DUMP_ROWS.
+    """
     raw = tables.raw_occurrences(spark, folder)
     path = work_folder(spark, "dump")
     turned = tables.turned(raw.columns)
-    file = F.pmod(F.col("catalogNumber").cast("bigint"), F.lit(tables.DUMP_FILES))
+    n_orders = tables.table(spark, folder, "orders").count()
+    parts = -(-n_orders // (tables.DUMP_FILES * tables.DUMP_ROWS)) or 1
+    number = F.col("catalogNumber").cast("bigint")
+    file = F.pmod(number, F.lit(tables.DUMP_FILES))
     lines = raw.select(
         file.alias("file"),
-        F.when(file == 0, dump_line(turned)).otherwise(dump_line(raw.columns)).alias("value"),
+        F.pmod(F.xxhash64(number), F.lit(parts)).cast("bigint").alias("part"),
+        F.when(file == 0, dump_line(turned, broken)).otherwise(dump_line(raw.columns, broken)).alias("value"),
     )
-    names = F.when(F.col("id") == 0, "\t".join(turned)).otherwise("\t".join(raw.columns))
-    headers = spark.range(tables.DUMP_FILES).select(F.col("id").alias("file"), names.alias("value"))
+    names = F.when(F.col("file") == 0, "\t".join(turned)).otherwise("\t".join(raw.columns))
+    every = spark.range(tables.DUMP_FILES * parts).selectExpr(f"id % {tables.DUMP_FILES} AS file", f"id div {tables.DUMP_FILES} AS part")
+    headers = every.withColumn("value", names)
     both = headers.withColumn("_n", F.lit(0)).unionByName(lines.withColumn("_n", F.lit(1)))
-    sorted_files = both.repartition("file").sortWithinPartitions("file", "_n")
-    sorted_files.select("file", "value").write.partitionBy("file").text(path)
+    sorted_files = both.repartition("file", "part").sortWithinPartitions("file", "part", "_n")
+    sorted_files.select("file", "part", "value").write.partitionBy("file", "part").text(path)
     return path
 
 
@@ -979,3 +990,56 @@ def history_new_levels(spark, folder):
 @query
 def history_new_elements(spark, folder):
     return A.new_record_elements(_history(spark, folder))
+
+
+# --- presence masks ---------------------------------------------------------------------------
+
+
+def _masked(spark: SparkSession, folder: str) -> DataFrame:
+    """The masks of all snapshots for all mapping sets, as a written table."""
+    raw, path = tables.raw_series(spark, folder), work_folder(spark, "masks")
+    masks.presence_masks(raw, list(tables.mapping_sets().values()), [S.SNAPSHOT_YEAR]).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query
+def presence_masks(spark, folder):
+    masked = _masked(spark, folder)
+    bits = {column: k for k, (column, _) in reversed([*enumerate(masks.known_properties(masked))])}
+    named = [F.getbit(F.col(f"{masks.MASKS}{bits[c] // masks.BITS}"), F.lit(bits[c] % masks.BITS)) for c in MASKED]
+    return masked.select(
+        F.expr(f"try_cast({S.RECORD_ID} AS bigint)").alias(S.RECORD_ID),
+        S.SNAPSHOT_YEAR,
+        *[b.cast("int").alias(f"has_{c}") for c, b in zip(MASKED, named, strict=True)],
+    )
+
+
+@query
+def score_mapping_sets(spark, folder):
+    keep = [S.RECORD_ID, S.SNAPSHOT_YEAR]
+    scored = masks.levels_of_all(_masked(spark, folder), tables.mapping_sets(), keep)
+    return scored.withColumn(S.RECORD_ID, F.expr(f"try_cast({S.RECORD_ID} AS bigint)"))
+
+
+@query
+def score_masked(spark, folder):
+    mapping = tables.mapping_sets()["moved"]
+    return masks.score_masked(_masked(spark, folder), mapping, [S.SNAPSHOT_YEAR])
+
+
+# --- repair of broken lines -------------------------------------------------------------------
+
+
+@query
+def repair_lines(spark, folder):
+    return repair.repair_lines(spark, _write_dump(spark, folder, broken=True)).rows
+
+
+@query
+def repair_rejects(spark, folder):
+    return repair.repair_lines(spark, _write_dump(spark, folder, broken=True)).rejects
+
+
+@query
+def repair_audit(spark, folder):
+    return repair.repair_lines(spark, _write_dump(spark, folder, broken=True)).audit

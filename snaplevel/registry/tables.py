@@ -9,12 +9,13 @@ and lost. The column texts are plain SQL that Spark and DuckDB read alike.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snaplevel import schema as S
+from snaplevel.mappings import Alternative, Element, MappingSet, default_mapping
 from snaplevel.operators.media import join_media
 from snaplevel.operators.scoring import score_records
 from snaplevel.operators.series import SnapshotSeries
@@ -100,6 +101,51 @@ MEDIA_COLUMNS = {
     " ELSE concat('https://media.example/', CAST(l_partkey AS string)) END",
 }
 
+# Eight mapping sets, as changes of the default one: elements that go, and alternatives, levels and
+# missing texts that differ. A leading "!" negates an alternative.
+MAPPING_SETS: dict[str, dict] = {
+    "default": {},
+    "no media": {"without": ("Media", "MediaID")},
+    "three levels": {"without_levels": (3,)},
+    "strict location": {"rules": {"QualitativeLocation": (("locality", "countryCode"),)}},
+    "either agent": {"rules": {"CollectingAgent": ("recordedBy", "!recordedByID identifiedByID")}},
+    "any date": {"missing": {"year": ("",)}},
+    "three elements": {"only": ("License", "Name", "DateCollected")},
+    "moved": {"levels": {"Modified": 2, "ObjectType": 0, "IdentifiedByID": 1}},
+}
+
+
+def mapping_sets() -> dict[str, MappingSet]:
+    """The mapping sets by name."""
+    return {name: _changed(default_mapping(), **change) for name, change in MAPPING_SETS.items()}
+
+
+def _changed(
+    mapping: MappingSet,
+    without: Sequence[str] = (),
+    without_levels: Sequence[int] = (),
+    only: Sequence[str] | None = None,
+    rules: Mapping[str, Sequence[str | tuple[str, ...]]] | None = None,
+    levels: Mapping[str, int] | None = None,
+    missing: Mapping[str, tuple[str, ...]] | None = None,
+) -> MappingSet:
+    def alternative(given: str | tuple[str, ...]) -> Alternative:
+        columns = given if isinstance(given, tuple) else tuple(given.lstrip("!").split())
+        return Alternative(columns, isinstance(given, str) and given.startswith("!"))
+
+    def changed(e: Element) -> Element:
+        given = (rules or {}).get(e.name)
+        alternatives = e.alternatives if given is None else tuple(map(alternative, given))
+        return Element((levels or {}).get(e.name, e.level), e.name, alternatives)
+
+    kept = [
+        changed(e) for e in mapping.elements
+        if e.name not in without and e.level not in without_levels and (only is None or e.name in only)
+    ]
+    kept.sort(key=lambda e: e.level)
+    return MappingSet(tuple(kept), {**mapping.sentinels, **(missing or {})})
+
+
 # Which snapshots an order is in: later than its date, and its month is not the one withheld.
 WITHHELD = "month(o_orderdate) = {Y} - 1995"
 
@@ -112,8 +158,8 @@ KINGDOM_OF = (
 CONTINENTS = ("AFRICA", "AMERICA", "ASIA", "EUROPE")
 
 
-# Text files of a dump.
-DUMP_FILES = 6
+# Kinds of text files of a dump, and rows of a file, about.
+DUMP_FILES, DUMP_ROWS = 6, 20_000
 
 
 def turned(columns: list[str]) -> list[str]:

@@ -12,54 +12,85 @@ like the header is a data line.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snaplevel.sources import sinks
 
-LINE = "value"
+LINE, FILE, BLOCK_START = "value", "file", "block_start"
 SEPARATOR = "\t"
 # Partition column of an ingested dump, and the column of a rejected line's number of fields.
 ACCEPTED, N_FIELDS = "accepted", "_n_fields"
 
 
-def files_by_header(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files by their header line; files without any line are left out.
+def _first_lines(alone: bool):
+    """The first line of every file; with ``alone`` a task has one file, and what follows the line isn't read."""
+
+    def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = None
+        for batch in batches:
+            files = batch[FILE].to_pylist()
+            first = [k for k, f in enumerate(files) if f != (files[k - 1] if k else seen)]
+            seen = files[-1] if files else seen
+            yield batch.take(pa.array(first, pa.int64()))
+            if alone and files:
+                return
+
+    return first_lines
 
-    Only file names are listed and first lines read. Files whose columns differ by more than their
-    order are refused.
+
+def header_lines(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files, as ``_metadata.file_path`` spells them, by their header line; files without any line are left out.
+
+    One job with a task for each file, which stops after the first lines. Files whose columns differ by more than their order
+    are refused.
     """
-    names = spark.read.format("binaryFile").load(path).select("path").where("length > 0").collect()
+    # In a session of its own no file is split and none shares a task, unless these settings are held fast.
+    apart = spark.newSession()
+    settings = {name: str(1 << 60) for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for name, value in settings.items():
+        apart.conf.set(name, value)
+    alone = all(apart.conf.get(name) == value for name, value in settings.items())
+    lines = read_lines(apart, path).where(F.col(BLOCK_START) == 0).select(LINE, FILE)
     found: dict[tuple[str, ...], list[str]] = {}
-    for name in sorted(row["path"] for row in names):
-        first = _text(spark, name).first()
-        found.setdefault(tuple(first[LINE].split(SEPARATOR)), []).append(name)
+    first = lines.mapInArrow(_first_lines(alone), lines.schema).collect()
+    for row in sorted(first, key=lambda r: unquote(r[FILE])):
+        found.setdefault(tuple(row[LINE].split(SEPARATOR)), []).append(row[FILE])
     if not found:
         raise ValueError(f"no lines in {path}")
     if len({tuple(sorted(header)) for header in found}) > 1:
-        some = [f"{files[0]}: {', '.join(header)}" for header, files in found.items()]
+        some = [f"{unquote(files[0])}: {', '.join(header)}" for header, files in found.items()]
         raise ValueError("files of one dump have different columns: " + "; ".join(some))
     return found
 
 
+def files_by_header(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Paths of files by their header line, see :func:`header_lines`."""
+    return {header: list(map(unquote, files)) for header, files in header_lines(spark, path).items()}
+
+
 def read_header(spark: SparkSession, path: str | list[str]) -> list[str]:
     """Column names of a dump, in the order of its first file."""
     return list(next(iter(files_by_header(spark, path))))
 
 
-def _text(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines that end in a line feed, or in carriage return and line feed.
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines that end in a line feed, or in carriage return and line feed, with their file and block.
 
     A carriage return elsewhere belongs to its field.
     """
     line = F.col(LINE)
     without_return = F.expr(f"left({LINE}, char_length({LINE}) - 1)")
     return spark.read.text(path, lineSep="\n").select(
-        F.when(F.endswith(line, F.lit("\r")), without_return).otherwise(line).alias(LINE)
+        F.when(F.endswith(line, F.lit("\r")), without_return).otherwise(line).alias(LINE),
+        F.col("_metadata.file_path").alias(FILE),
+        F.col("_metadata.file_block_start").alias(BLOCK_START),
     )
 
 
@@ -68,23 +99,35 @@ def _parts(
 ) -> list[tuple[DataFrame, tuple[str, ...], int]]:
     """Lines of files with equal headers, their columns, and how many of the lines are headers."""
     if columns is not None:
-        return [(_text(spark, path), tuple(columns), 0)]
+        return [(read_lines(spark, path), tuple(columns), 0)]
     by_header = files_by_header(spark, path)
-    return [(_text(spark, files), header, len(files)) for header, files in by_header.items()]
+    return [(read_lines(spark, files), header, len(files)) for header, files in by_header.items()]
+
+
+def _like_header(columns: Sequence[str]) -> Column:
+    """Does a line read like the header, in the block where the header is?"""
+    return (F.col(LINE) == SEPARATOR.join(columns)) & (F.col(BLOCK_START) == 0)
 
 
 def _data_lines(lines: DataFrame, columns: Sequence[str], n_headers: int) -> DataFrame:
     """All lines but the headers.
 
-    Lines that read like the header are equal, so it does not matter which of them are the headers:
+    Lines of a first block that read like the header are equal, so it does not matter which of them is the header:
     as many as there are files are taken off their count, and the rest come back as data.
     """
+    rest = lines
     if n_headers:
-        is_header = F.col(LINE) == SEPARATOR.join(columns)
-        alike = lines.where(is_header).groupBy(LINE).agg(F.count(F.lit(1)).alias("_n"))
-        again = F.expr(f"explode(array_repeat({LINE}, cast(_n - {n_headers} AS int)))")
-        lines = lines.where(~is_header).unionByName(alike.select(again.alias(LINE)))
-    return lines.withColumn("_fields", F.split(F.col(LINE), SEPARATOR, -1))
+        alike = lines.where(_like_header(columns)).groupBy(LINE).agg((F.count(F.lit(1)) - n_headers).alias("_n"))
+        again = _repeated(alike.where(F.col("_n") > 0), F.col("_n")).select(LINE)
+        rest = lines.where(~_like_header(columns)).select(LINE).unionByName(again)
+    return rest.select(LINE, F.split(F.col(LINE), SEPARATOR, -1).alias("_fields"))
+
+
+def _repeated(rows: DataFrame, n: Column, at_once: int = 10_000) -> DataFrame:
+    """Every row ``n`` times, unfolded in parts of bounded size."""
+    parts = rows.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / at_once))))
+    size = F.least(F.lit(at_once).cast("bigint"), n - F.col("_part") * at_once)
+    return parts.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), size)))
 
 
 def _complete(columns: Sequence[str]) -> Column:
@@ -205,7 +248,7 @@ def _write_lines(
     first: bool,
 ) -> int:
     """Write lines but the headers and count them; the lines that only read like a header are left."""
-    is_header = (F.col(LINE) == SEPARATOR.join(names)) if n_headers else F.lit(False)
+    is_header = _like_header(names) if n_headers else F.lit(False)
     ok = _complete(names)
     seen = Observation()
     rows = (

@@ -25,7 +25,7 @@ TARGET_KINGDOMS = ("Animalia", "Plantae", "Fungi")
 TARGET_CONTINENTS = ("Africa", "Asia", "Europe", "North America", "Oceania", "South America")
 
 
-def _completeness(grouped: DataFrame, group: str, flags: list[str]) -> DataFrame:
+def completeness(grouped: DataFrame, group: str, flags: list[str]) -> DataFrame:
     """Sum wide counts per group and snapshot, then one row per element with its percentage."""
     summed = grouped.groupBy(group, S.SNAPSHOT_YEAR).agg(
         F.sum(TOTAL).alias(TOTAL), *[F.sum(F.col(S.quoted(f))).alias(f) for f in flags]
@@ -57,8 +57,18 @@ def kingdom_completeness(
     A target kingdom without records keeps its rows, with total 0 and percentage NaN. With
     ``lookup_year`` only phyla that occur in that snapshot have a kingdom.
     """
-    flags = S.flag_columns(df)
     counts = element_counts(df, [S.SNAPSHOT_YEAR, S.PHYLUM])
+    return kingdom_completeness_of(counts, S.flag_columns(df), kingdoms, targets, lookup_year)
+
+
+def kingdom_completeness_of(
+    counts: DataFrame,
+    flags: list[str],
+    kingdoms: DataFrame,
+    targets: Sequence[str] = TARGET_KINGDOMS,
+    lookup_year: int | None = None,
+) -> DataFrame:
+    """The same from counts per snapshot and phylum."""
     lookup = _lookup(kingdoms, S.PHYLUM, "kingdom").where(F.col("kingdom").isin(list(targets)))
     known = counts.join(lookup.withColumnRenamed("kingdom", "_kingdom"), S.PHYLUM, "left")
     if lookup_year is not None:
@@ -75,7 +85,7 @@ def kingdom_completeness(
         return F.when(belongs, F.col(S.quoted(name))).otherwise(0).alias(name)
 
     rows = targeted.select("kingdom", S.SNAPSHOT_YEAR, own(TOTAL), *[own(f) for f in flags])
-    return _completeness(rows, "kingdom", flags)
+    return completeness(rows, "kingdom", flags)
 
 
 def with_false_count(completeness: DataFrame) -> DataFrame:
@@ -90,11 +100,20 @@ def continent_completeness(
 
     Records without country are left out. A country with two continents counts in both.
     """
-    flags = S.flag_columns(df)
     with_country = df.where(F.col(S.COUNTRY).isNotNull())
     counts = element_counts(with_country, [S.SNAPSHOT_YEAR, S.COUNTRY])
+    return continent_completeness_of(counts, S.flag_columns(df), continents, targets)
+
+
+def continent_completeness_of(
+    counts: DataFrame,
+    flags: list[str],
+    continents: DataFrame,
+    targets: Sequence[str] = TARGET_CONTINENTS,
+) -> DataFrame:
+    """The same from counts per snapshot and country; those without country meet no continent."""
     lookup = continents.where(F.col("continent").isin(list(targets)))
-    return _completeness(counts.join(lookup, S.COUNTRY), "continent", flags)
+    return completeness(counts.join(lookup, S.COUNTRY), "continent", flags)
 
 
 def period_completeness(df: DataFrame) -> DataFrame:
@@ -103,7 +122,7 @@ def period_completeness(df: DataFrame) -> DataFrame:
         df.withColumn("year_group", bins.year_group(F.col(S.YEAR))),
         [S.SNAPSHOT_YEAR, "year_group"],
     )
-    return _completeness(counts, "year_group", S.flag_columns(df))
+    return completeness(counts, "year_group", S.flag_columns(df))
 
 
 def of_kingdom(df: DataFrame, kingdoms: DataFrame, kingdom: str) -> DataFrame:
@@ -167,6 +186,13 @@ def levels_by_dataset_size(
     row per level, not over its records.
     """
     counts = count_by_key(df, S.SNAPSHOT_YEAR, S.DATASET, S.LEVEL)
+    return levels_by_dataset_size_of(counts, bounds)
+
+
+def levels_by_dataset_size_of(
+    counts: DataFrame, bounds: tuple[int, int, int] = bins.SIZE_BOUNDS
+) -> DataFrame:
+    """The same from counts ``n`` per snapshot, data set and level."""
     size = group_total("n", [S.SNAPSHOT_YEAR, S.DATASET])
     classed = counts.withColumn("size_class", bins.size_class(size, bounds))
     summed = classed.groupBy(S.SNAPSHOT_YEAR, "size_class", S.LEVEL).agg(

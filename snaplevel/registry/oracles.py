@@ -7,7 +7,7 @@ one condition per element where the library compiles a mapping.
 from __future__ import annotations
 
 from snaplevel.registry.tables import (
-    CONTINENTS, DUMP_FILES, KINGDOM_OF, LAST_YEAR, MEDIA_COLUMNS, RECORD_COLUMNS, WITHHELD,
+    CHANGED_ID_SQL, CONTINENTS, DUMP_FILES, KINGDOM_OF, LAST_YEAR, MEDIA_COLUMNS, RECORD_COLUMNS, WITHHELD,
     YEARLY_COLUMNS, YEARS, turned,
 )
 
@@ -587,8 +587,8 @@ _LAST_ONLY = f" AND snapshot_year = {LAST_YEAR}"
 oracle(
     "union_groups",
     " UNION ALL ".join(
-        f"SELECT *, '{k}' AS kingdom FROM ({_kingdom_summary(k, extra=_LAST_ONLY)})"
-        for k in ("Plantae", "Fungi")
+        f"SELECT *, '{k}' AS kingdom FROM ({_kingdom_summary(k, 'snapshot_year')})"
+        for k in ("Animalia", "Plantae", "Fungi")
     ),
 )
 oracle("stack_elements_levels", _summary("scored", "snapshot_year"))
@@ -835,3 +835,97 @@ oracle(
       count(*) FILTER (WHERE {_SHORT}) AS rejected FROM records""",
     scored=False,
 )
+
+# --- records under another id -----------------------------------------------------------------
+
+_MATCH_COLUMNS = (
+    "institutionCode", "catalogNumber", "datasetKey", "scientificName", "recordedBy", "recordNumber", "year", "countryCode",
+)
+_PASSES = (
+    ("catalogue", "true", ("institutionCode", "catalogNumber"), ("datasetKey", "scientificName")),
+    ("catalogue", "false", ("institutionCode", "catalogNumber"), ()),
+    ("collector", "true", ("recordedBy", "recordNumber", "year"), ("countryCode", "institutionCode")),
+    ("collector", "false", ("recordedBy", "recordNumber", "year"), ()),
+)
+
+
+def _match_pass(k: int, keys: tuple[str, ...], agree: tuple[str, ...]) -> str:
+    by = ", ".join((*keys, *agree))
+    same = " AND ".join(f"o.{c} IS NOT DISTINCT FROM n.{c}" for c in (*keys, *agree))
+    return f"""
+numbered{k} AS (
+  SELECT *, row_number() OVER (PARTITION BY is_new, {by} ORDER BY id) AS rank FROM left{k}
+  WHERE {" AND ".join(f"{c} IS NOT NULL" for c in keys)}),
+matched{k} AS (
+  SELECT o.id AS old_id, n.id AS new_id FROM numbered{k} o JOIN numbered{k} n
+  ON NOT o.is_new AND n.is_new AND o.rank = n.rank AND {same}),
+left{k + 1} AS (
+  SELECT * FROM left{k} WHERE id NOT IN (SELECT old_id FROM matched{k}) AND id NOT IN (SELECT new_id FROM matched{k}))"""
+
+
+ORACLES["changed_ids"] = f"""WITH {_RECORDS},
+sides AS (
+  SELECT CAST(gbifID AS BIGINT) AS id, false AS is_new, * EXCLUDE (gbifID) FROM raw WHERE snapshot_year = 1998
+  UNION ALL
+  SELECT CAST({CHANGED_ID_SQL} AS BIGINT), true, * EXCLUDE (gbifID) FROM raw WHERE snapshot_year = 1999),
+cleaned AS (
+  SELECT id, is_new, {", ".join(f"{_clean(c)} AS {c}" for c in _MATCH_COLUMNS)} FROM sides WHERE id IS NOT NULL),
+left0 AS (
+  SELECT * FROM cleaned
+  QUALIFY min(is_new) OVER (PARTITION BY id) = max(is_new) OVER (PARTITION BY id) AND row_number() OVER
+    (PARTITION BY id ORDER BY {", ".join(f"{c} NULLS FIRST" for c in _MATCH_COLUMNS)}) = 1),
+{",".join(_match_pass(k, keys, agree) for k, (_, _, keys, agree) in enumerate(_PASSES))}
+{" UNION ALL ".join(f"SELECT old_id, new_id, '{name}' AS rule, {agreed} AS agreed FROM matched{k}" for k, (name, agreed, _, _) in enumerate(_PASSES))}"""
+
+# --- the cube, paths --------------------------------------------------------------------------
+
+for _name, _same in (
+    ("cube_kingdoms", "kingdom_completeness"),
+    ("cube_continents", "continent_completeness"),
+    ("cube_periods", "period_completeness"),
+    ("cube_sizes", "levels_by_dataset_size"),
+):
+    ORACLES[_name] = ORACLES[_same]
+
+_PATHS = """SELECT states, count(*) AS n_records FROM (
+    SELECT i.gbifID, list(coalesce(state, '-') ORDER BY y.idx) AS states
+    FROM (SELECT DISTINCT gbifID FROM scored_idx) i CROSS JOIN years y LEFT JOIN (
+      SELECT gbifID, idx, string_agg(CASE WHEN n = 1 THEN level ELSE concat(level, 'x', n) END, '+' ORDER BY MIDS_level) AS state
+      FROM (SELECT gbifID, idx, MIDS_level, CAST(MIDS_level AS VARCHAR) AS level, count(*) AS n FROM scored_idx GROUP BY ALL)
+      GROUP BY gbifID, idx) s ON s.gbifID IS NOT DISTINCT FROM i.gbifID AND s.idx = y.idx
+    GROUP BY i.gbifID) GROUP BY states"""
+oracle("level_paths", f"SELECT array_to_string(states, '>') AS path, n_records FROM ({_PATHS})")
+oracle(
+    "path_tree",
+    f"""SELECT depth, node, parent, n_records, n_records / CAST(sum(n_records) OVER (PARTITION BY depth, parent) AS DOUBLE) AS share
+    FROM (SELECT CAST(d AS INTEGER) AS depth, array_to_string(states[1:d], '>') AS node,
+            array_to_string(states[1:d - 1], '>') AS parent, CAST(sum(n_records) AS BIGINT) AS n_records
+          FROM ({_PATHS}), (SELECT unnest(range(1, {len(YEARS) + 1})) AS d) GROUP BY ALL)""",
+)
+oracle("path_transitions", "SELECT * FROM counted")
+
+# --- sketches ---------------------------------------------------------------------------------
+
+
+def _changes(group: str) -> str:
+    """Exact counts; the sketches of the test tables hold all ids."""
+    return f"""ids AS (SELECT DISTINCT snapshot_year AS y, {group} AS g, gbifID FROM scored WHERE gbifID IS NOT NULL),
+pairs_of_years AS (SELECT a.snapshot_year AS f, b.snapshot_year AS t FROM years a JOIN years b ON a.idx < b.idx),
+groups AS (SELECT DISTINCT f, t, {group} AS g FROM pairs_of_years JOIN scored ON snapshot_year IN (f, t)),
+sided AS (
+  SELECT f, t, i.g, gbifID, bool_or(y = f) AS old, bool_or(y = t) AS new
+  FROM pairs_of_years JOIN ids i ON y IN (f, t) GROUP BY ALL),
+counts AS (
+  SELECT f, t, g, count(*) FILTER (WHERE old AND new) AS kept, count(*) FILTER (WHERE NOT old) AS new,
+    count(*) FILTER (WHERE NOT new) AS gone FROM sided GROUP BY ALL),
+empty AS (SELECT snapshot_year AS y, {group} AS g, count(*) AS n FROM scored WHERE gbifID IS NULL GROUP BY ALL),
+joined AS (
+  SELECT CAST(g.f AS INTEGER) AS from_year, CAST(g.t AS INTEGER) AS to_year, g.g, coalesce(kept, 0) AS kept,
+    coalesce(c.new, 0) AS new, coalesce(gone, 0) AS gone, coalesce(e.n, 0) AS n_empty
+  FROM groups g LEFT JOIN counts c ON c.f = g.f AND c.t = g.t AND c.g IS NOT DISTINCT FROM g.g
+  LEFT JOIN empty e ON e.y = g.t AND e.g IS NOT DISTINCT FROM g.g)"""
+
+
+ORACLES["sketch_changes"] = f"""WITH {_SCORED}, {_changes("datasetKey")}
+SELECT * EXCLUDE (g), g AS datasetKey, new AS new_low, new AS new_high FROM joined"""
+ORACLES["sketch_changes_of_snapshots"] = f"""WITH {_SCORED}, {_changes("1")} SELECT * EXCLUDE (g) FROM joined"""

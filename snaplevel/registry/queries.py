@@ -12,7 +12,7 @@ from snaplevel import schema as S
 from snaplevel.functions import bins, labels, presence
 from snaplevel.functions.shares import group_total, percent, with_joined_total
 from snaplevel.mappings import default_mapping
-from snaplevel.operators import history, masks, scoring, slices, summary
+from snaplevel.operators import cube, history, masks, paths, renames, scoring, sketches, slices, summary
 from snaplevel.operators import media as media_ops
 from snaplevel.operators import series as X
 from snaplevel.operators.series import NEW, OLD
@@ -756,8 +756,8 @@ def top_declining(spark, folder):
 
 @query
 def union_groups(spark, folder):
-    rows, kingdoms = _last(spark, folder), tables.kingdoms(spark)
-    return slices.summary_for_kingdoms(rows, kingdoms, ["Plantae", "Fungi"])
+    names = list(slices.TARGET_KINGDOMS)
+    return slices.summary_for_kingdoms(_rows(spark, folder), tables.kingdoms(spark), names, [S.SNAPSHOT_YEAR])
 
 
 @query
@@ -1043,3 +1043,86 @@ def repair_rejects(spark, folder):
 @query
 def repair_audit(spark, folder):
     return repair.repair_lines(spark, _write_dump(spark, folder, broken=True)).audit
+
+
+# --- records under another id -----------------------------------------------------------------
+
+
+@query
+def changed_ids(spark, folder):
+    previous = tables.raw_series(spark, folder, [FROM_YEAR], with_media=False)
+    current = tables.raw_series(spark, folder, [TO_YEAR], with_media=False, record_id=tables.CHANGED_ID_SQL)
+    number = F.col(S.RECORD_ID).cast("bigint")
+    return renames.changed_ids(*(df.withColumn(S.RECORD_ID, number) for df in (previous, current)))
+
+
+# --- the cube ---------------------------------------------------------------------------------
+
+
+def _cube(spark: SparkSession, folder: str) -> cube.Cube:
+    path = work_folder(spark, "cube")
+    cube.write_cube(cube.cube_of(_rows(spark, folder)), path)
+    return cube.read_cube(spark, path)
+
+
+@query
+def cube_kingdoms(spark, folder):
+    return _cube(spark, folder).kingdom_completeness(tables.kingdoms(spark))
+
+
+@query
+def cube_continents(spark, folder):
+    found = _cube(spark, folder)
+    return found.continent_completeness(tables.continents(spark, folder), targets=tables.CONTINENTS)
+
+
+@query
+def cube_periods(spark, folder):
+    return _cube(spark, folder).period_completeness()
+
+
+@query
+def cube_sizes(spark, folder):
+    return _cube(spark, folder).levels_by_dataset_size(SIZE_BOUNDS)
+
+
+# --- paths ------------------------------------------------------------------------------------
+
+
+@query
+def level_paths(spark, folder):
+    found = paths.level_paths(_history(spark, folder))
+    return found.select(paths.path_text(F.col(paths.PATH)).alias(paths.PATH), paths.RECORDS)
+
+
+@query
+def path_tree(spark, folder):
+    return paths.path_tree(paths.level_paths(_history(spark, folder)))
+
+
+@query
+def path_transitions(spark, folder):
+    table = _history(spark, folder)
+    found = paths.path_transitions(paths.level_paths(table))
+    interval = labels.interval_label(*X.interval_columns(table)).alias("interval")
+    return found.select(interval, OLD, NEW, F.col("n").alias("n_records"))
+
+
+# --- sketches ---------------------------------------------------------------------------------
+
+
+def _sketches(spark: SparkSession, folder: str) -> DataFrame:
+    path = work_folder(spark, "sketches")
+    sketches.id_sketches(_rows(spark, folder)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query
+def sketch_changes(spark, folder):
+    return sketches.changes(_sketches(spark, folder), tables.YEARS)
+
+
+@query
+def sketch_changes_of_snapshots(spark, folder):
+    whole = sketches.rolled_up(_sketches(spark, folder))
+    return sketches.changes(whole, tables.YEARS, by=()).drop("new_low", "new_high")

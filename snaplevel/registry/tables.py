@@ -46,6 +46,11 @@ RECORD_ID_SQL = (
     f" WHEN o_orderkey % 71 = 0 THEN CAST(o_orderkey + 1 AS string) ELSE {ORDER_ID} END"
 )
 
+# The id under which a later snapshot has some of the orders again.
+CHANGED_ID_SQL = (
+    f"CASE WHEN o_orderkey % 31 < 2 THEN CAST(o_orderkey + 1000000000 AS string) ELSE {RECORD_ID_SQL} END"
+)
+
 # Record columns that do not depend on the snapshot.
 RECORD_COLUMNS = {
     "gbifID": RECORD_ID_SQL,

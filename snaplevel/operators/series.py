@@ -165,8 +165,13 @@ def matched_levels(series: SnapshotSeries, *attributes: str) -> DataFrame:
     multiply, but as counts, at most one row per level here. A level that no mapping can give stops
     the query instead of being lost.
     """
-    next_snapshot = _along_record().rangeBetween(1, 1)
     obs = observations(series, S.LEVEL, *[a for a in attributes if a != S.LEVEL])
+    return matched_observations(obs, *attributes)
+
+
+def matched_observations(obs: DataFrame, *attributes: str) -> DataFrame:
+    """The same from observations, ``n`` rows per record id, ``snapshot_idx``, level and attributes."""
+    next_snapshot = _along_record().rangeBetween(1, 1)
     following = [
         F.struct(
             F.lit(level).cast("tinyint").alias(NEW),

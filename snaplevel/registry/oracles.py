@@ -929,3 +929,17 @@ joined AS (
 ORACLES["sketch_changes"] = f"""WITH {_SCORED}, {_changes("datasetKey")}
 SELECT * EXCLUDE (g), g AS datasetKey, new AS new_low, new AS new_high FROM joined"""
 ORACLES["sketch_changes_of_snapshots"] = f"""WITH {_SCORED}, {_changes("1")} SELECT * EXCLUDE (g) FROM joined"""
+
+# --- changes of a stream ----------------------------------------------------------------------
+
+oracle(
+    "stream_changes",
+    """SELECT interval, MIDS_level_old, MIDS_level_new, n_records FROM counted
+    UNION ALL
+    SELECT concat(previous_year, '-', snapshot_year), NULL, MIDS_level, count(*) FROM newcomers GROUP BY ALL
+    UNION ALL
+    SELECT concat(o.snapshot_year, '-', y.snapshot_year), o.MIDS_level, NULL, count(*)
+    FROM scored_idx o JOIN years y ON y.idx = o.idx + 1
+    WHERE NOT EXISTS (SELECT 1 FROM scored_idx n WHERE n.gbifID IS NOT DISTINCT FROM o.gbifID AND n.idx = o.idx + 1)
+    GROUP BY ALL""",
+)

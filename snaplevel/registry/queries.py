@@ -21,7 +21,7 @@ from snaplevel.registry import tables
 from snaplevel.registry.tables import LAST_YEAR
 from snaplevel.sources import lookups, repair, sinks, snapshots, text
 from snaplevel.sources.workdir import work_folder
-from snaplevel.streaming import incremental
+from snaplevel.streaming import changes, incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1126,3 +1126,18 @@ def sketch_changes(spark, folder):
 def sketch_changes_of_snapshots(spark, folder):
     whole = sketches.rolled_up(_sketches(spark, folder))
     return sketches.changes(whole, tables.YEARS, by=()).drop("new_low", "new_high")
+
+
+# --- changes of a stream ----------------------------------------------------------------------
+
+
+@query
+def stream_changes(spark, folder):
+    incoming, schema = _write_raw(spark, folder, 3)
+    records = incremental.read_stream(spark, incoming, schema, 1)
+    scored = incremental.score_stream(records, extra=[S.SNAPSHOT_YEAR])
+    target = work_folder(spark, "changes")
+    changes.run_changes(scored, tables.YEARS, target, work_folder(spark, "progress"))
+    year = lambda step: F.get(F.array(*map(F.lit, tables.YEARS)), F.col(S.SNAPSHOT_IDX) + step)
+    interval = labels.interval_label(year(0), year(1)).alias("interval")
+    return changes.read_totals(spark, target).select(interval, OLD, NEW, F.col("n").alias("n_records"))

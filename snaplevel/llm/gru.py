@@ -78,17 +78,33 @@ def initial(counts: np.ndarray, words: int, size: int, state: int, seed: int = 1
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
-def _shares(logits: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the shares of the wanted columns; the logits become the shares, in place."""
-    logits -= logits.max(axis=1, keepdims=True)
+#: Logits beyond this are shifted before they are exponentiated.
+_LARGE = 50.0
+
+
+def _sums(logits: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Wanted logits less the logarithms of the sums, and the sums; the logits become their exponentials, in place."""
+    if len(logits) and (logits.max() > _LARGE or logits.min() < -_LARGE):
+        logits -= logits.max(axis=1, keepdims=True)
     out = logits[np.arange(len(wanted)), wanted].astype(np.float64)
     np.exp(logits, out=logits)
-    sums = logits.sum(axis=1, keepdims=True)
-    logits /= sums
-    return out - np.log(sums[:, 0])
+    sums = logits @ np.ones(logits.shape[1], logits.dtype)
+    return out - np.log(sums), sums
+
+
+def _shares(logits: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the shares of the wanted columns; the logits become the shares, in place."""
+    out, sums = _sums(logits, wanted)
+    logits /= sums[:, None]
+    return out
 
 
 def _states(w: Weights, tokens: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool):
@@ -105,7 +121,9 @@ def _states(w: Weights, tokens: np.ndarray, fresh: np.ndarray, h: np.ndarray, ke
         gates = _sigmoid(given[t, :, : 2 * n] + inner[:, : 2 * n])
         z, r = gates[:, :n], gates[:, n:]
         held = inner[:, 2 * n :] + w.inner
-        new = np.tanh(given[t, :, 2 * n :] + r * held)
+        new = r * held
+        new += given[t, :, 2 * n :]
+        np.tanh(new, out=new)
         if keep:
             kept.append((h, z, r, held, new))
         h = new + z * (h - new)
@@ -129,17 +147,19 @@ def log_likelihood(w: Weights, tokens: np.ndarray, targets: np.ndarray, fresh: n
     kinds = _classes(w, wanted)
     logits = flat @ w.to_class
     logits += w.class_bias
-    out = _shares(logits, kinds)
+    out, _ = _sums(logits, kinds)
     for at, kind in _by_class(w, wanted, kinds):
         logits = flat[at] @ w.to_word[kind]
         logits += w.word_bias[kind]
-        out[at] += _shares(logits, wanted[at] - kind * w.size)
+        out[at] += _sums(logits, wanted[at] - kind * w.size)[0]
     return out.reshape(targets.shape), states[-1]
 
 
 def _by_class(w: Weights, targets: np.ndarray, kinds: np.ndarray):
     """Positions of the words of each class that has words of its own."""
     own = np.flatnonzero(targets < w.words)
+    if not len(own):
+        return
     order = own[np.argsort(kinds[own], kind="stable")]
     starts = np.flatnonzero(np.diff(kinds[order], prepend=-1))
     for start, stop in zip(starts, np.append(starts[1:], len(order)), strict=True):

@@ -15,44 +15,93 @@ fixed size: the weights and the `HEAD` most frequent words.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snaplevel.llm import gru
 from snaplevel.llm.common import saved, small_batches
+from snaplevel.llm.hashing import LOWER, SPACE
 
 #: Words of the model, of each of its classes; classes of other words; size of the state.
-WORDS, SIZE, ENDINGS, STATE = 1024, 32, 32, 16
+WORDS, SIZE, ENDINGS, STATE = 1024, 64, 32, 16
 #: Most frequent words whose counts are looked up in a broadcast table; others are joined.
 HEAD = 1 << 16
 #: Averages of the weights; texts that learn side by side; steps that an error flows back; tokens of a training segment; rate.
-ROUNDS, LANES, STEPS, SEGMENT, RATE = 4, 256, 16, 1024, 0.2
+ROUNDS, LANES, STEPS, SEGMENT, RATE = 4, 512, 32, 1024, 0.3
+#: Steps of learning that a task makes in a round at least, if it has the texts; then fewer learn side by side.
+LEAST_STEPS = 32
 #: Texts that are scored side by side, steps at a time, tokens that are sorted by length at a time.
-SIDE_BY_SIDE, AT_ONCE, SORTED = 256, 32, 1 << 24
-#: Smoothing of the counts; bytes of a text split at a time; words held before they are sent; words of a row.
-ADD, BYTES, HELD, PIECE = 0.1, 1 << 20, 200_000, 20_000
+SIDE_BY_SIDE, AT_ONCE, SORTED = 1024, 32, 1 << 24
+#: Smoothing of the counts; bytes of texts split at a time, and of words counted at a time.
+ADD, BYTES, HELD = 0.1, 1 << 22, 1 << 25
 
 END = b"\n"
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def pieces(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, a bounded number of bytes at a time."""
-    text = text.translate(LOWER)
-    start = 0
-    while len(text) - start > BYTES:
-        stop = start + BYTES
-        while stop < len(text) and text[stop] not in b" \t\n\x0b\x0c\r":
-            stop += 1
-        yield text[start:stop].split()
-        start = stop
-    yield text[start:].split()
+def _spans(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """First and last row, first and last byte of groups of texts of about BYTES; a longer text is cut at white space."""
+    row, n = 0, len(offsets) - 1
+    while row < n:
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BYTES, "right")) - 1)
+        start, end = int(offsets[row]), int(offsets[stop])
+        while stop == row + 1 and end - start > BYTES:
+            cut = start + BYTES
+            while cut < end and not SPACE[data[cut]]:
+                cut += 1
+            yield row, stop, start, cut
+            start = cut
+        yield row, stop, start, end
+        row = stop
+
+
+def words_of(texts: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """Groups of texts: the first row, all words as one array, and the number of words of each row.
+
+    Of a long text there are several groups of one row. The words are not made one by one: the bytes that are no white
+    space, side by side, are the values of an Arrow array whose offsets are the ends of the words.
+    """
+    if not len(texts):
+        return
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    for row, stop, start, end in _spans(offsets, data):
+        part = LOWER[data[start:end]]
+        space = SPACE[part]
+        bounds = np.clip(offsets[row : stop + 1], start, end) - start
+        first = np.ones(len(part) + 1, bool)
+        first[1:-1] = space[:-1]
+        first[bounds] = True
+        starts = np.flatnonzero(~space & first[:-1])
+        kept = np.zeros(len(part) + 1, np.int64)
+        np.cumsum(~space, out=kept[1:])
+        ends = np.append(kept[starts], kept[-1]).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(part[~space])])
+        yield row, words, np.diff(np.searchsorted(starts, bounds))
+
+
+@functools.cache
+def _endings() -> tuple[np.ndarray, np.ndarray]:
+    """The classes of words by their last byte, if it is the only one, and by their last two."""
+    one = np.array([ending(bytes([b])) for b in range(256)], np.int16)
+    two = np.array([ending(bytes([a, b])) for a in range(256) for b in range(256)], np.int16)
+    return one, two
+
+
+def endings_of(words: pa.Array) -> np.ndarray:
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8).astype(np.int64)
+    one, two = _endings()
+    last = data[ends[1:] - 1]
+    pair = two[data[np.maximum(ends[1:] - 2, 0)] * 256 + last]
+    return np.where(np.diff(ends) > 1, pair, one[last])
 
 
 def ending(word: bytes) -> int:
@@ -61,27 +110,28 @@ def ending(word: bytes) -> int:
 
 
 def _ending(word: str) -> Column:
-    return F.crc32(F.substring(F.col(word).cast("binary"), -2, 2)) % ENDINGS
+    data = F.col(word).cast("binary")
+    return F.crc32(F.when(F.octet_length(data) > 2, F.substring(data, -2, 2)).otherwise(data)) % ENDINGS
 
 
-def count_words(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[pa.RecordBatch]:
-    """Occurrences of the words of a task's texts; every text has one end."""
-    found: Counter[bytes] = Counter()
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of the words of a task's texts, group by group; every text has one end."""
+    names, n_texts = ["word", "n"], 0
+    held: list[pa.Array] = []
 
     def sent() -> pa.RecordBatch:
-        words = pa.array(found.keys(), pa.binary()).cast(pa.string())
-        out = pa.RecordBatch.from_arrays([words, pa.array(found.values(), pa.int64())], ["word", "n"])
-        found.clear()
-        return out
+        found = pc.value_counts(pa.chunked_array(held, pa.binary()))
+        held.clear()
+        return pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], names)
 
     for batch in batches:
-        for text in batch["text"].cast(pa.binary()):
-            for words in pieces(text.as_py()):
-                found.update(words)
-                if len(found) > most:
-                    yield sent()
-            found[END] += 1
+        n_texts += batch.num_rows
+        for _, words, _ in words_of(batch["text"].cast(pa.binary())):
+            held.append(words)
+            if sum(w.nbytes for w in held) > HELD:
+                yield sent()
     yield sent()
+    yield pa.RecordBatch.from_arrays([pa.array([END.decode()]), pa.array([n_texts])], names)
 
 
 class Vocabulary:
@@ -93,7 +143,8 @@ class Vocabulary:
 
     def __init__(self, head: list[tuple[bytes, int]], total: int, distinct: int, sums: np.ndarray, kinds: np.ndarray):
         self.total, self.distinct = total, distinct
-        self.index = {word: k for k, (word, _) in enumerate(head)}
+        self.words = pa.array([w for w, _ in head], pa.binary())
+        self.has_end = bool(head) and head[0][0] == END
         counts = np.array([n for _, n in head], np.float64)
         self.token = np.array([k if k < WORDS else WORDS + ending(w) for k, (w, _) in enumerate(head)], np.int16)
         #: log10 of a token of the base model less its numerator; of a word within its ending class likewise.
@@ -105,13 +156,31 @@ class Vocabulary:
         self.counts[: min(WORDS, len(head))] = counts[:WORDS]
 
 
+def _most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """The end, and the words that are more frequent than some bound, at most HEAD, the most frequent first.
+
+    The bound comes from the numbers of words by ranges of their counts, so that no more rows than these are sent.
+    """
+    range_of = F.floor(F.log2("n") * 64).cast("int")
+    ranges = counts.groupBy(range_of.alias("range")).agg(F.count("*").alias("words")).collect()  # some 64 for every doubling
+    bound, total = None, 0
+    for r in sorted(ranges, key=lambda r: -r["range"]):
+        total += r["words"]
+        if total > HEAD:
+            break
+        bound = r["range"]
+    is_end = F.col("word") == END.decode()
+    head = counts.filter(is_end | (range_of >= bound)) if bound is not None else counts.filter(is_end)
+    found = {r["word"].encode(): r["n"] for r in head.collect()}
+    if len(found) < WORDS:  # ties: as many as the model needs
+        found.update({r["word"].encode(): r["n"] for r in counts.orderBy(F.col("n").desc(), "word").limit(WORDS - 1).collect()})
+    return sorted(found.items(), key=lambda x: (x[0] != END, -x[1], x[0]))
+
+
 def _vocabulary(counts: DataFrame) -> Vocabulary:
-    """Of the counts of all words: one row of sums, ENDINGS rows of sums and HEAD rows."""
+    """Of the counts of all words: a row of sums, ENDINGS rows of sums, and the most frequent ones."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # The end is a token of every model; of the others the most frequent ones.
-    first = F.when(F.col("word") == END.decode(), 0).otherwise(1)
-    head = counts.orderBy(first, F.col("n").desc(), "word").limit(HEAD).collect()
-    head = [(r["word"].encode(), r["n"]) for r in head]
+    head = _most_frequent(counts)
     ends = counts.groupBy(_ending("word").alias("ending")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
     sums, kinds = np.zeros(ENDINGS), np.zeros(ENDINGS)
     for r in ends.collect():
@@ -130,43 +199,56 @@ _ENCODED = (
 
 
 def _encode(shared):
-    """A row per text with its tokens; more rows, without tokens, hold further rare words.
+    """A row per text with its tokens, and rows without tokens that hold rare words of a text.
 
     The scores lack the numerators of the rare words, which are not in the vocabulary's head.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        get = v.index.get
+        end = 0 if v.has_end else WORDS + ending(END)
         for batch in batches:
-            main, more = [], []
-            for row, text in zip(batch["row"].to_pylist(), batch["text"].cast(pa.binary()), strict=True):
-                parts, rare, known, base, within = [], Counter(), 0, 0.0, 0.0
-                for words in (*pieces(text.as_py()), [END]):
-                    at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-                    there = at >= 0
-                    tokens = np.empty(len(words), np.int16)
-                    tokens[there] = v.token[at[there]]
-                    known += int(there.sum())
-                    base += float(v.base[at[there]].sum())
-                    within += float(v.within[at[there]].sum())
-                    others = [words[k] for k in np.flatnonzero(~there)]
-                    kinds = np.array([ending(w) for w in others], np.int16)
-                    tokens[~there] = WORDS + kinds
-                    base -= v.base_over * len(others)
-                    within -= float(v.class_over[kinds].sum())
-                    rare.update(others)
-                    parts.append(tokens)
-                    if len(rare) > PIECE:
-                        more.append((row, rare))
-                        rare = Counter()
-                tokens = np.concatenate(parts)
-                main.append((len(tokens), known, base, within, tokens.tobytes(), rare))
-            found = [pa.array(x) for x in zip(*(m[:5] for m in main), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in _KEPT), *found, *_counters([m[5] for m in main])], _NAMES)
-            for row, rare in more:
-                nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array([row]), *nothing, *_counters([rare])], _NAMES)
+            n = batch.num_rows
+            rows = batch["row"].to_numpy()
+            lengths, known, base, within = (np.zeros(n) for _ in range(4))
+            parts, others = [], []
+            for row, words, counts in words_of(batch["text"].cast(pa.binary())):
+                at = pc.index_in(words, value_set=v.words)
+                missing = at.is_null().to_numpy(zero_copy_only=False)
+                at = at.fill_null(0).to_numpy()
+                row_of = np.repeat(np.arange(row, row + len(counts)), counts)
+                there = ~missing
+                of, mine = row_of[there], at[there]
+                tokens = np.empty(len(words), np.int16)
+                tokens[there] = v.token[mine]
+                lengths[row : row + len(counts)] += counts
+                known += np.bincount(of, minlength=n)
+                base += np.bincount(of, v.base[mine], n)
+                within += np.bincount(of, v.within[mine], n)
+                if missing.any():
+                    rare, of = words.filter(pa.array(missing)), row_of[missing]
+                    kinds = endings_of(rare)
+                    tokens[missing] = WORDS + kinds
+                    base -= np.bincount(of, minlength=n) * v.base_over
+                    within -= np.bincount(of, v.class_over[kinds], n)
+                    others.append(_counted(rows, of, rare))
+                parts.append(tokens)
+            if v.has_end:
+                known += 1
+                base += v.base[0]
+                within += v.within[0]
+            else:
+                base -= v.base_over
+                within -= v.class_over[ending(END)]
+                others.append(_counted(rows, np.arange(n), pa.array([END] * n, pa.binary())))
+            flat = np.concatenate([*parts, np.zeros(0, np.int16)])
+            stops = np.cumsum(lengths).astype(np.int64)
+            last = np.array([end], np.int16).tobytes()
+            blobs = [flat[stop - int(k) : stop].tobytes() + last for k, stop in zip(lengths, stops, strict=True)]
+            whole = [pa.array((lengths + 1).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(within), pa.array(blobs, pa.binary())]
+            nothing = [pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in _KEPT), *whole, *nothing], _NAMES)
+            yield from others
 
     return encode
 
@@ -174,12 +256,18 @@ def _encode(shared):
 _NAMES = [*_KEPT, "n_tokens", "n_known", "base", "within", "tokens", "rare", "times"]
 
 
-def _counters(counters: list[Counter[bytes]]) -> list[pa.Array]:
-    """Lists of words and of their counts."""
-    ends = pa.array(np.cumsum([0, *map(len, counters)]).astype(np.int32))
-    words = pa.array([w for c in counters for w in c], pa.binary()).cast(pa.string())
-    times = pa.array([n for c in counters for n in c.values()], pa.int64())
-    return [pa.ListArray.from_arrays(ends, words), pa.ListArray.from_arrays(ends, times)]
+def _counted(rows: np.ndarray, of: np.ndarray, words: pa.Array) -> pa.RecordBatch:
+    """A row for each text of a group, with its rare words and their numbers."""
+    coded = words.dictionary_encode()
+    size = max(1, len(coded.dictionary))
+    pairs, times = np.unique(of.astype(np.int64) * size + coded.indices.to_numpy(), return_counts=True)
+    texts, code = pairs // size, pairs % size
+    first = np.flatnonzero(np.diff(texts, prepend=-1))
+    ends = pa.array(np.append(first, len(texts)).astype(np.int32))
+    found = [pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(code)).cast(pa.string())), pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int64)))]
+    k = len(first)
+    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(rows[texts[first]]), *(pa.nulls(k, t) for t in kinds), *found], _NAMES)
 
 
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
@@ -240,11 +328,23 @@ def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarr
             yield row, text[start : start + SEGMENT]
 
 
+def _lanes(segments: Iterator[tuple[int, np.ndarray]]) -> tuple[int, Iterator[tuple[int, np.ndarray]]]:
+    """How many segments learn side by side, and all of the segments."""
+    first, n = [], 0
+    for segment in segments:
+        first.append(segment)
+        n += len(segment[1])
+        if n >= LANES * STEPS * LEAST_STEPS:
+            break
+    return min(LANES, max(8, n // (STEPS * LEAST_STEPS))), itertools.chain(first, segments)
+
+
 def _learn(shared):
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner, n = gru.Learner(shared.value, RATE), 0
-        h = np.zeros((LANES, learner.weights.state), np.float32)
-        for before, tokens, fresh, filled, _, going, _ in windows(_segments(batches), LANES, STEPS):
+        lanes, segments = _lanes(_segments(batches))
+        h = np.zeros((lanes, learner.weights.state), np.float32)
+        for before, tokens, fresh, filled, _, going, _ in windows(segments, lanes, STEPS):
             _, h = learner.step(before, tokens, fresh, filled, h[going])
             n += int(filled.sum())
         if n:
@@ -265,11 +365,11 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def average(learned: DataFrame) -> np.ndarray | None:
-    """The mean of the weights by tokens, added up by 256 tasks, then 16, which hold one sum each."""
+    """The mean of the weights by tokens, added up by 256 tasks, then 4, which hold one sum each."""
     learned = saved(learned, "language-model-learned")
-    for tasks in (256, 16):
+    for tasks in (256, 4):
         learned = learned.repartition(tasks).mapInArrow(_added, "n long, sums binary")
-    parts = sorted(((r["n"], bytes(r["sums"])) for r in learned.collect()), key=lambda x: x[1])  # 16 rows at most
+    parts = sorted(((r["n"], bytes(r["sums"])) for r in learned.collect()), key=lambda x: x[1])  # 4 rows at most
     if not parts:
         return None
     return np.sum([np.frombuffer(x, np.float64) for _, x in parts], axis=0) / sum(n for n, _ in parts)

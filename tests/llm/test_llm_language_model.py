@@ -111,6 +111,16 @@ def test_windows_hold_every_token_once():
     assert all(seen[row] == text.tolist() for row, text in texts)
 
 
+def test_windows_without_words_of_the_model():
+    w = small()
+    text = np.full(5, 6, np.int16)
+    before, tokens, fresh, filled, *_ = next(lm.windows([(0, text)], 1, 5))
+    h = np.zeros((1, 4), np.float32)
+    loss, *_ = gru.gradients(w, before, tokens, fresh, filled, h)
+    assert abs(loss + plain(w, text).sum()) < 1e-4
+    assert abs(gru.log_likelihood(w, before, tokens, fresh, h)[0].sum() + loss) < 1e-4
+
+
 def test_learning_beats_frequencies():
     text = np.array([1, 2, 3, 6, 4, 5, 7, 0] * 30, np.int16)
     texts = [(k, text) for k in range(20)]
@@ -195,25 +205,56 @@ def test_no_documents_and_no_training_documents(spark):
     assert abs(r["base_score"]) < 1e-9 and r["score"] < 0
 
 
-def test_many_rare_words_take_more_rows(monkeypatch):
-    monkeypatch.setattr(lm, "PIECE", 3)
-    monkeypatch.setattr(lm, "BYTES", 12)
+def batch_of(texts):
+    n = len(texts)
+    columns = [pa.array(range(n)), pa.array(range(n)), pa.array([True] * n), pa.array(texts, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "text"])
+
+
+@pytest.mark.parametrize("size", [1 << 22, 12])
+def test_rare_words_are_counted_for_each_text(monkeypatch, size):
+    monkeypatch.setattr(lm, "BYTES", size)
     v = lm.Vocabulary([(b"\n", 2), (b"a", 5)], 7, 2, np.zeros(lm.ENDINGS), np.zeros(lm.ENDINGS))
     shared = type("Shared", (), {"value": v})
-    text = " ".join(f"w{k % 20} a" for k in range(50))
-    batch = pa.RecordBatch.from_arrays([pa.array([9]), pa.array([4]), pa.array([True]), pa.array([text])], ["row", "doc_id", "held_out", "text"])
-    rows = [r for out in lm._encode(shared)(iter([batch])) for r in out.to_pylist()]
-    rare = Counter()
-    for r in rows:
-        assert r["row"] == 9 and len(r["rare"]) == len(set(r["rare"])) < 12
-        rare.update(dict(zip(r["rare"], r["times"], strict=True)))
-    assert rare == Counter(w for w in text.split() if w != "a") and len(rows) > 3
-    (main,) = [r for r in rows if r["tokens"] is not None]
-    assert (main["n_tokens"], main["n_known"]) == (101, 51) and len(main["tokens"]) == 202
-
-
-def test_long_texts_are_split_at_white_space(monkeypatch):
-    text = ("Ab\tcD  é\n" * 50 + "x" * 300 + " y").encode()
-    whole = [w for p in lm.pieces(text) for w in p]
-    monkeypatch.setattr(lm, "BYTES", 40)
-    assert [w for p in lm.pieces(text) for w in p] == whole == text.lower().split()
+    texts = [" ".join(f"w{k % 20} A" for k in range(50)), "", "b", "a", "b  c\tb"]
+    rare, main = Counter(), {}
+    for r in (r for out in lm._encode(shared)(iter([batch_of(texts)])) for r in out.to_pylist()):
+        if r["tokens"] is None:
+            rare.update({(r["row"], w): n for w, n in zip(r["rare"], r["times"], strict=True)})
+        else:
+            main[r["row"]] = r
+    assert rare == Counter((k, w) for k, t in enumerate(texts) for w in t.lower().split() if w != "a")
+    assert [(main[k]["n_tokens"], main[k]["n_known"]) for k in range(5)] == [(101, 51), (1, 1), (2, 1), (2, 2), (4, 1)]
+    for k, t in enumerate(texts):
+        want = [1 if w == "a" else lm.WORDS + lm.ending(w.encode()) for w in t.lower().split()] + [0]
+        assert np.frombuffer(main[k]["tokens"], np.int16).tolist() == want
+
+
+def test_words_equal_plain_split(monkeypatch):
+    texts = ["", " ", "Ab\tcD  é\n", "x", "y z", "x" * 70 + " q\x0bw\x0ce\rr ", "É ß \U0001f600"] * 3
+    for size in (1 << 22, 16, 5):
+        monkeypatch.setattr(lm, "BYTES", size)
+        found = {k: [] for k in range(len(texts))}
+        for row, words, counts in lm.words_of(pa.array(texts).cast(pa.binary()).slice(0)):
+            assert counts.sum() == len(words)
+            for k, part in enumerate(np.split(np.array(words.to_pylist(), object), np.cumsum(counts)[:-1])):
+                found[row + k] += list(part)
+            if len(words):
+                assert lm.endings_of(words).tolist() == [lm.ending(w) for w in words.to_pylist()]
+        assert all(found[k] == [w.encode() for w in tokens_of(t)[:-1]] for k, t in enumerate(texts))
+
+
+def test_words_are_counted_with_ends():
+    sums = Counter()
+    for out in lm.count_words(iter([batch_of(["a b A", "", "c"]), batch_of([" b "])])):
+        for r in out.to_pylist():
+            sums[r["word"]] += r["n"]
+    assert sums == {"a": 2, "b": 2, "c": 1, "\n": 4}
+
+
+def test_large_logits_are_shifted():
+    logits = np.array([[0.0, 200.0, 199.0], [-300.0, -301.0, -500.0]], np.float32)
+    got = gru._shares(logits.copy(), np.array([1, 0]))
+    assert np.allclose(got, -np.log1p(np.exp(-1.0)), atol=1e-5)
+
+

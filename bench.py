@@ -15,12 +15,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from snaplevel.operators import cube, history, masks
 from snaplevel.operators.scoring import score_records
 from snaplevel.operators.series import SnapshotSeries
 from snaplevel.plans import analyses as A
 from snaplevel.registry import tables
 from snaplevel.registry.queries import QUERIES
-from snaplevel.schema import SNAPSHOT_YEAR
+from snaplevel.schema import LEVEL, RECORD_ID, SNAPSHOT_YEAR
 from snaplevel.sources import sinks, snapshots
 from snaplevel.sources.workdir import work_folder
 
@@ -103,6 +104,27 @@ def operators(spark: SparkSession) -> dict[str, float]:
     bucketed = SnapshotSeries.of(spark.table(table), series.years)
     found["level_transitions_of_bucketed"] = timed(lambda: A.level_transitions(bucketed))
     spark.sql(f"DROP TABLE {table}")
+
+    # The last snapshot joins a history of those before; then the analyses read the runs.
+    path = work_folder(spark, "bench-history")
+    years = ()
+    for year in series.years:
+        start = time.perf_counter()
+        years = history.add_snapshot(spark, path, series.select(year), year, years)
+    found["history_add_last_snapshot"] = time.perf_counter() - start
+    runs = history.read_history(spark, path, years)
+    for name in ("level_transitions", "base_cohort_levels", "intake_cohort_levels"):
+        found[f"{name}_of_history"] = timed(lambda name=name: ANALYSES[name](runs))
+
+    mappings, path = tables.mapping_sets(), work_folder(spark, "bench-masks")
+    found["score_eight_sets_one_by_one"] = sum(
+        timed(lambda m=m: score_records(raw, m).select(LEVEL)) for m in mappings.values()
+    )
+    found["presence_masks"] = timed(lambda: masks.presence_masks(raw, list(mappings.values()), [SNAPSHOT_YEAR]))
+    masks.presence_masks(raw, list(mappings.values()), [SNAPSHOT_YEAR]).write.parquet(path)
+    masked = spark.read.parquet(path)
+    found["score_eight_sets_from_masks"] = timed(lambda: masks.levels_of_all(masked, mappings, [RECORD_ID]))
+    found["cube"] = timed(lambda: cube.cube_of(series.rows).rows)
     return {name: round(value, 3) for name, value in found.items()}
 
 

@@ -68,6 +68,40 @@ def fingerprint(text: Column) -> Column:
     return F.concat(counts, _digest_lanes(paragraphs), *(_sketch(sentences, seed) for seed in range(HASHES)))
 
 
+def fingerprints_of(texts: DataFrame, body: str) -> DataFrame:
+    """The other columns of the rows, which must tell them apart, and the `lanes` of their text, as `fingerprint` has them.
+
+    The paragraphs and their sentences become rows, and lanes are plain sums over these, combined before anything is
+    shuffled; so a text of millions of sentences is no more than as many rows. Null counts as empty.
+    """
+    keys = [c for c in texts.columns if c != body]
+    paragraphs = texts.select(*keys, F.explode(F.split(F.coalesce(body, F.lit("")), PARAGRAPH)).alias("paragraph"))
+    sentences = paragraphs.select(*keys, "paragraph", F.posexplode(F.split("paragraph", r"(?<=[.!?]) ")).alias("at", "sentence"))
+    head = F.col("at") == 0
+    digest = F.when(head, F.sha2("paragraph", 256))
+    rows = sentences.select(
+        *keys,
+        head.cast("long").alias("head"),
+        digest.alias("digest"),
+        *(F.xxhash64("sentence", F.lit(seed)).alias(f"hash{seed}") for seed in range(HASHES)),
+    )
+    # Each 60-bit part of a digest as two of 30 bits, whose sums don't overflow.
+    low = _big((1 << 30) - 1)
+    parts = [F.conv(F.substring("digest", 15 * k + 1, 15), 16, 10).cast("long").alias(f"part{k}") for k in range(EXACT_LANES - 2)]
+    rows = rows.select(*keys, "head", *parts, *(f"hash{seed}" for seed in range(HASHES)))
+    sums = [F.sum("head").alias("paragraphs"), F.count("*").alias("sentences")]
+    for k in range(EXACT_LANES - 2):
+        sums += [F.sum(F.col(f"part{k}").bitwiseAND(low)).alias(f"low{k}"), F.sum(F.shiftright(f"part{k}", 30)).alias(f"high{k}")]
+    for seed in range(HASHES):
+        for shift in SHIFTS:
+            bits = F.call_function("shiftrightunsigned", F.col(f"hash{seed}"), F.lit(shift)).bitwiseAND(_big(3))
+            sums.append(F.sum((bits * _big(_SPREAD)).bitwiseAND(_big(_EVERY_30))).alias(f"count{seed}_{shift}"))
+    found = rows.groupBy(*keys).agg(*sums)
+    exact = [(F.shiftleft(f"high{k}", 30) + F.col(f"low{k}")).bitwiseAND(_big(MODULUS_MASK)) for k in range(EXACT_LANES - 2)]
+    counters = [F.col(f"count{seed}_{shift}") for seed in range(HASHES) for shift in SHIFTS]
+    return found.select(*keys, F.array("paragraphs", "sentences", *exact, *counters).alias("lanes"))
+
+
 def inserted(lanes: Column, more: Column) -> Column:
     """The fingerprint with the paragraphs of another one."""
     return F.zip_with(lanes, more, lambda a, b: (a + b).bitwiseAND(_big(MODULUS_MASK)))
@@ -139,29 +173,46 @@ def fingerprint_edits(docs: DataFrame, *, id_column: str = "doc_id", text_column
     half = F.floor(F.char_length("text") / 2).cast("int")
     order = following(rows.groupBy("doc_id", "key").agg(F.max(half).alias("half")))
     # Both uses of `whole` read the same shuffle of the texts; the filter has both keep all its columns.
-    whole = rows.withColumn("lanes", fingerprint(F.col("text"))).groupBy("key").agg(
-        F.first(F.struct("doc_id", "text", "lanes")).alias("row"), F.count("*").alias("copies")
-    )
+    whole = rows.groupBy("key").agg(F.first(F.struct("doc_id", "text")).alias("row"), F.count("*").alias("copies"))
     whole = whole.filter("copies > 0")
     of = order.select(F.col("next_key").alias("key"), F.col("key").alias("of_key"), F.col("half").alias("of_half"))
     given = whole.join(of, "key").select(
         F.col("of_key").alias("key"),
+        F.col("key").alias("next_key"),
         F.col("row.text").substr(F.lit(1), F.col("of_half")).alias("tail"),
-        F.col("row.lanes").alias("next_lanes"),
     )
     n = F.char_length("text")
     edited = F.concat(F.col("text").substr(F.lit(1), n - F.floor(n / 2).cast("int")), F.col("tail"))
-    both = whole.join(given, "key").select("row.*", "copies", "tail", "next_lanes")
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), "lanes", "next_lanes", "copies", edited.alias("edited"))
-    both = both.withColumn("edited_lanes", fingerprint(F.col("edited")))
-    found = both.select(
+    both = whole.join(given, "key").select("key", "next_key", "row.*", "copies", "tail")
+    both = both.select("key", "next_key", "doc_id", n.cast("long").alias("n_chars"), "copies", "text", edited.alias("edited"))
+    both = both.withColumn("edited_sha256", F.sha2("edited", 256))
+    kinds = [F.struct(F.lit(k).alias("kind"), F.col(c).alias("body")) for k, c in enumerate(("text", "edited"))]
+    facts = ["key", "next_key", "doc_id", "n_chars", "copies", "edited_sha256"]
+    texts = both.select(*facts, F.explode(F.array(*kinds)).alias("one")).select(*facts, "one.kind", "one.body")
+    lanes = saved(fingerprints_of(texts, "body"), "fingerprints")
+
+    mine = lanes.filter("kind = 0").drop("kind")
+    changed = lanes.filter("kind = 1").select("key", F.col("lanes").alias("edited_lanes"))
+    following_lanes = lanes.filter("kind = 0").select(F.col("key").alias("next_key"), F.col("lanes").alias("next_lanes"))
+    found = mine.join(changed, "key").join(following_lanes, "next_key").select(
         "doc_id",
         "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
+        "edited_sha256",
         as_text(F.col("lanes")).alias("fingerprint"),
         as_text(F.col("edited_lanes")).alias("edited_fingerprint"),
         likeness(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"),
         likeness(F.col("lanes"), F.col("next_lanes")).alias("near_next"),
-        F.sequence(F.lit(1), F.col("copies").cast("int")).alias("copy"),
+        "copies",
     )
-    return found.withColumn("copy", F.explode("copy")).drop("copy")
+    return _repeated(found, "copies")
+
+
+def _repeated(rows: DataFrame, copies: str, at_once: int = 10_000) -> DataFrame:
+    """Every row as often as it has copies, unfolded in parts of bounded size that are dealt out anew."""
+    several = F.col(copies) > at_once
+    few = rows.filter(~several).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
+    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / at_once))
+    many = rows.filter(several).withColumn("part", F.explode(parts)).repartition("part")
+    left = F.least(F.lit(at_once).cast("long"), F.col(copies) - F.col("part") * at_once).cast("int")
+    many = many.withColumn("copy", F.explode(F.sequence(F.lit(1), left))).drop("part")
+    return few.unionByName(many).drop("copy", copies)

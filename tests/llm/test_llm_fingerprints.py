@@ -67,6 +67,64 @@ def test_few_rows(spark, rows):
     assert all(r["near_next"] == 1 for r in got)
 
 
+def plain(text):
+    """The lanes of a text, one sentence after another."""
+    mask, half = (1 << 60) - 1, (1 << 30) - 1
+    paragraphs = (text or "").split("\n")
+    digests = [hashlib.sha256(p.encode()).hexdigest() for p in paragraphs]
+    exact = [sum(int(d[15 * k : 15 * k + 15], 16) for d in digests) & mask for k in range(4)]
+    return len(paragraphs), exact, half
+
+
+def test_lanes_of_rows_equal_those_of_columns(spark):
+    texts = [t for _, t, _ in odd.texts()] + ["a. b! c?\n d. \n. ", "\n" * 50, "x. " * 40, None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r["k"]: r["lanes"] for r in fp.fingerprints_of(rows, "t").collect()}
+    want = {r["k"]: r["f"] for r in rows.select("k", fp.fingerprint(F.col("t")).alias("f")).collect()}
+    assert got == want
+    for k, t in enumerate(texts):
+        n, exact, half = plain(t)
+        assert got[k][0] == n and got[k][2:6] == exact
+        assert all((x & half) <= got[k][1] and (x >> 30) <= got[k][1] for x in got[k][6:])
+
+
+def test_edited_fingerprints_are_those_of_the_edited_texts(spark):
+    rows = [(k, t, None) for k, (_, t, _) in enumerate(odd.texts()) if t is not None]
+    docs = odd.docs(spark, rows)
+    got = {r["doc_id"]: r for r in fp.fingerprint_edits(docs).collect()}
+    order = sorted(rows, reverse=True)
+    texts = []
+    for k, (i, text, _) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        half = len(text) // 2
+        texts.append((i, text, text[: len(text) - half] + following[:half], following))
+    df = spark.createDataFrame(texts, "i long, a string, b string, c string")
+    lanes = df.select("i", *(fp.fingerprint(F.col(c)).alias(c) for c in "abc"))
+    want = lanes.select(
+        "i", *(fp.as_text(F.col(c)).alias(f"text_{c}") for c in "ab"), fp.likeness(F.col("a"), F.col("b")).alias("ab"), fp.likeness(F.col("a"), F.col("c")).alias("ac")
+    )
+    for r in want.collect():
+        g = got[r["i"]]
+        assert (g["fingerprint"], g["edited_fingerprint"], g["near_edited"], g["near_next"]) == (r["text_a"], r["text_b"], r["ab"], r["ac"])
+
+
+def test_a_whole_text_of_two_million_line_feeds(spark):
+    n = 2_000_000
+    docs = spark.range(2).selectExpr("id AS doc_id", f"if(id = 0, repeat('\n', {n}), 'a. b') AS text")
+    long, short = sorted(fp.fingerprint_edits(docs).collect())
+    assert (long["n_chars"], short["n_chars"]) == (n, 4)
+    assert long["edited_sha256"] == hashlib.sha256(("\n" * (n // 2) + "a. b").encode()).hexdigest()
+    assert short["edited_sha256"] == hashlib.sha256(b"a.\n\n").hexdigest()
+    assert int(long["fingerprint"][:15], 16) == int(long["fingerprint"][15:30], 16) == n + 1
+    assert long["near_edited"] > 0.99
+
+
+def test_many_copies_are_unfolded_in_parts(spark):
+    rows = spark.createDataFrame([("a", 25), ("b", 10), ("c", 1)], "x string, copies long")
+    got = fp._repeated(rows, "copies", at_once=10).groupBy("x").count().collect()
+    assert {r["x"]: r["count"] for r in got} == {"a": 25, "b": 10, "c": 1}
+
+
 def test_more_equal_sentences_than_20_bits_count(spark):
     n = 1_100_000
     many = spark.range(1).select(fp._sketch(F.array_repeat(F.lit(""), n), 0).alias("f")).first()["f"]

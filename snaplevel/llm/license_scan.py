@@ -101,9 +101,8 @@ def scan(
     """One row per document and license found: doc_id, license, containment, at.
 
     `containment` is the largest share of a notice's shingles that a window holds. `at` is the first word of the
-    first window with at least the share `least` (0.75 or more, as the anchors assume): of the windows that
-    begin at a multiple of n words, or of all, if none of these has it. Words are runs of letters and digits,
-    compared in lower case. A notice spread over more than 2 n words by insertions is not found.
+    first window with at least the share `least` (0.75 or more, as the anchors assume). Words are runs of letters and
+    digits, compared in lower case. A notice spread over more than 2 n words by insertions is not found.
 
     A notice of n words, fewer than SHINGLE, is looked for by its one run of n words if `short` is set; without
     it, it is only found where a whole window is the notice, and a warning says so. The notices are NOTICES if
@@ -151,21 +150,21 @@ def scan(
         (q * F.col("step")).alias("first"),
         F.slice("words", q * F.col("step") + 1, 2 * F.col("length") + F.col("step") - 1).alias("words"),
     ))
-    rows = rows.select("doc_id", "length", "step", "run", F.size("words").alias("n_words"), F.explode(slices).alias("part"))
-    windows = rows.select("doc_id", "length", "step", "run", "n_words", "part.first", runs_of(F.col("part.words"), F.col("run")).alias("runs"))
+    rows = rows.select("doc_id", "length", "step", "run", F.explode(slices).alias("part"))
+    windows = rows.select("doc_id", "length", "step", "run", "part.first", runs_of(F.col("part.words"), F.col("run")).alias("runs"))
     windows = windows.select("*", F.posexplode(minima_of(F.col("runs"))).alias("band", "minimum"))
 
     found = windows.join(F.broadcast(table), ["length", "band", "minimum"])  # up to BANDS rows for each notice
+    # Windows that share several bands with a notice are one candidate.
+    found = found.drop("band", "minimum").distinct()
     first, length = F.col("first"), F.col("length")
 
     def window(k: Column) -> Column:
         held = F.slice("runs", k + 1, 2 * length - F.col("run") + 1)
         share = F.size(F.array_intersect(held, "wanted")) / F.size("wanted")
-        return F.struct((first + k).alias("at"), ((first + k) % length == 0).alias("even"), share.alias("containment"))
+        return F.struct((first + k).alias("at"), share.alias("containment"))
 
-    whole = lambda w: w["even"] | (w["at"] + 2 * length <= F.col("n_words"))
     shares = F.transform(F.sequence(F.lit(0), F.col("step") - 1), window)
-    shares = F.filter(shares, lambda w: whole(w) & (w["containment"] >= least))
+    shares = F.filter(shares, lambda w: w["containment"] >= least)
     found = found.select("doc_id", "license", F.explode(shares).alias("window")).select("doc_id", "license", "window.*")
-    at = F.coalesce(F.min(F.when(F.col("even"), F.col("at"))), F.min("at")).alias("at")
-    return found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), at)
+    return found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("at").alias("at"))

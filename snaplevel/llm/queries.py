@@ -91,7 +91,7 @@ def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return license_scan.scan(read(spark, folder, "documents"))
+    return license_scan.scan(read(spark, folder, "documents"), short=True)
 
 
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -208,23 +208,32 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS c
 FROM sets LEFT JOIN named ON len(s) > 0 AND len(s) = n AND md5(array_to_string(s, chr(10))) = h
 """
 
-#: Every window of every text against every notice of its length, by their shingles as text.
-_NOTICES = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in notice)) for notice in license_scan.NOTICES)
+#: Places of a notice's runs of words, and every window of 2 n words, whatever its first word, that holds some of them.
+_NOTICES = ", ".join(
+    "('{}', '{}')".format(*(x.replace("'", "''") for x in notice)) for notice in license_scan.NOTICES + license_scan.SHORT_NOTICES
+)
 OP7_SQL = rf"""
 WITH notices AS (
-  SELECT license, regexp_extract_all(lower(notice), '[\p{{L}}\p{{N}}]+') AS w FROM (VALUES {_NOTICES}) t(license, notice)
+  SELECT row_number() OVER () AS notice, license, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w
+  FROM (VALUES {_NOTICES}) t(license, text)
 ), wanted AS (
-  SELECT license, len(w) AS n, list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) AS s FROM notices
+  SELECT notice, license, len(w) AS n, least(5, len(w)) AS run,
+         list_distinct([array_to_string(w[i:i + least(5, len(w)) - 1], ' ') for i in range(1, len(w) - least(5, len(w)) + 2)]) AS s
+  FROM notices
 ), words AS (
-  SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents
+  SELECT row_number() OVER () AS row_, doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents
+), runs AS (
+  SELECT row_, run, unnest(range(0, len(w) - run + 1)) AS p, unnest([array_to_string(w[i:i + run - 1], ' ') for i in range(1, len(w) - run + 2)]) AS s
+  FROM words, (SELECT DISTINCT run FROM wanted)
+), hits AS (
+  SELECT row_, notice, n, x.run, p, r.s FROM runs r JOIN (SELECT notice, n, run, unnest(s) AS s FROM wanted) x ON r.run = x.run AND r.s = x.s
 ), windows AS (
-  SELECT doc_id, n, at_, w[at_ + 1:at_ + 2 * n] AS w FROM (
-    SELECT doc_id, n, w, unnest(range(0, len(w), n)) AS at_ FROM words, (SELECT DISTINCT n FROM wanted))
+  SELECT DISTINCT row_, notice, n, run, unnest(range(greatest(0, p - 2 * n + run), p + 1)) AS at_ FROM hits
 ), held AS (
-  SELECT doc_id, n, at_, [array_to_string(w[i:i + 4], ' ') for i in range(1, greatest(len(w) - 3, 2))] AS s FROM windows
+  SELECT v.row_, v.notice, at_, count(DISTINCT h.s) AS k FROM windows v JOIN hits h
+  ON h.row_ = v.row_ AND h.notice = v.notice AND h.p BETWEEN at_ AND at_ + 2 * v.n - v.run GROUP BY ALL
 ), found AS (
-  SELECT doc_id, license, at_, len(list_intersect(held.s, wanted.s)) / len(wanted.s)::DOUBLE AS containment
-  FROM held JOIN wanted USING (n) WHERE list_has_any(held.s, wanted.s)
+  SELECT doc_id, license, at_, k / len(s)::DOUBLE AS containment FROM held JOIN wanted USING (notice) JOIN words USING (row_)
 )
 SELECT doc_id, license, max(containment) AS containment, min(at_)::INTEGER AS at FROM found WHERE containment >= 0.75
 GROUP BY doc_id, license

@@ -10,13 +10,14 @@ from snaplevel.llm import license_scan as ls
 
 
 def brute(rows, notices):
+    """Every window of twice a notice's words, whatever its first word."""
     out = {}
     for i, text, _ in rows:
         w = re.findall(r"[^\W_]+", (text or "").lower())
         for name, notice in notices:
             n = re.findall(r"[^\W_]+", notice.lower())
             want = {tuple(n[k : k + 5]) for k in range(max(1, len(n) - 4))}
-            for at in range(0, len(w), len(n)):
+            for at in range(len(w)):
                 window = w[at : at + 2 * len(n)]
                 held = {tuple(window[k : k + 5]) for k in range(max(1, len(window) - 4))}
                 share = len(held & want) / len(want)
@@ -85,7 +86,7 @@ def test_short_notices(spark):
     for r in got:
         if r["license"] != "long":
             n = len(dict(notices)[r["license"]].split())
-            assert r["containment"] == 1 and r["at"] <= want[r["doc_id"], r["license"]][0] <= r["at"] + n
+            assert r["containment"] == 1 and r["at"] == max(0, want[r["doc_id"], r["license"]][0] - n)
     assert {(r["doc_id"], r["license"]) for r in got if r["license"] == "long"} == {(i, "long") for i, t, _ in rows if notices[4][1] in t}
     got = ls.scan(odd.docs(spark, rows[:4]), short=True).collect()
     assert [(r["doc_id"], r["license"], r["at"]) for r in got] == [(1, ls.SHORT_NOTICES[0][0], 0)]
@@ -122,8 +123,27 @@ def test_words_inserted_into_a_notice(spark):
             if (share := sliding(text, notice)) >= 0.75:
                 want[i, name] = max(share, want.get((i, name), 0))
     assert {key: c for key, (c, _) in got.items()} == want and len(want) > 100
-    even = {(i, name): at for i, name, _, at in brute(rows, ls.NOTICES)}  # windows a notice apart miss some
-    assert set(even) < set(got) and all(got[key][1] == at for key, at in even.items())
+    assert {key: at for key, (_, at) in got.items()} == {(i, name): at for i, name, _, at in brute(rows, ls.NOTICES)}
+
+
+def test_query_and_sql_agree_on_inserted_words(spark):
+    """The registered SQL finds what the scan finds, wherever a notice begins and whatever is inserted."""
+    import duckdb
+
+    from snaplevel.llm.queries import OP7_SQL
+
+    rows = []
+    for number, inside in ((9, 8), (10, 8), (5, 14)):
+        notice = re.findall(r"[^\W_]+", ls.NOTICES[number][1])
+        passage = [*notice[: len(notice) // 2], *(f"x{k}" for k in range(inside)), *notice[len(notice) // 2 :]]
+        for before in range(len(notice)):
+            rows.append((len(rows), " ".join([*(f"a{k}" for k in range(before)), *passage, "End. All rights reserved."]), None))
+    rows += [(900, "All rights reserved", None), (901, "rights reserved all", None), (902, None, None), (903, "", None), (900, "All rights reserved", None)]
+    got = sorted(tuple(r) for r in ls.scan(odd.docs(spark, rows), short=True).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    assert got == sorted(con.execute(OP7_SQL).fetchall()) and len(got) > 100
 
 
 def test_equals_sliding_word_by_word(spark):

@@ -16,7 +16,7 @@ Sets that reach a similarity of t share a member among their rarest ones: of n m
    form a cluster; they are verified against a few hubs of it first. Whatever this connects needs no further
    comparison, for components are asked for; the rest is compared in tiles, each pair of tiles in one task.
 
-A verified link counts the common members of both classes, 54 or more bits of each hash. Every link is in a
+A verified link counts the common members of both classes, 52 or more bits of each hash (4 of 16 ranges and 48 packed). Every link is in a
 component; no pair is capped or sampled away.
 """
 

@@ -39,7 +39,7 @@ ROUNDS, LANES, STEPS, SEGMENT, RATE = 4, 512, 32, 1024, 0.3
 #: Steps of learning that a task makes in a round at least, if it has the texts; then fewer learn side by side.
 LEAST_STEPS = 32
 #: Texts that are scored side by side, steps at a time, tokens that are sorted by length at a time.
-SIDE_BY_SIDE, AT_ONCE, SORTED = 1024, 32, 1 << 24
+SIDE_BY_SIDE, AT_ONCE, SORTED = 512, 32, 1 << 24
 #: Smoothing of the counts; bytes of texts split at a time, and of words counted at a time.
 ADD, BYTES, HELD = 0.1, 1 << 22, 1 << 25
 

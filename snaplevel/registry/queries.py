@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from snaplevel import schema as S
 from snaplevel.functions import bins, labels, presence
@@ -88,8 +87,7 @@ def _write_dump(spark: SparkSession, folder: str, broken: bool = False) -> str:
     raw = tables.raw_occurrences(spark, folder)
     path = work_folder(spark, "dump")
     turned = tables.turned(raw.columns)
-    n_orders = tables.table(spark, folder, "orders").count()
-    parts = -(-n_orders // (tables.DUMP_FILES * tables.DUMP_ROWS)) or 1
+    parts = tables.parts_of(spark, folder, tables.DUMP_FILES * tables.DUMP_ROWS)
     number = F.col("catalogNumber").cast("bigint")
     file = F.pmod(number, F.lit(tables.DUMP_FILES))
     lines = raw.select(
@@ -169,20 +167,23 @@ def scan_projected(spark, folder):
     return scoring.scan_projected(raw, default_mapping())
 
 
-def _write_raw(spark: SparkSession, folder: str, files: int) -> tuple[str, T.StructType]:
-    """Raw rows of all snapshots as a folder of files for a stream to pick up."""
+def _incoming(spark: SparkSession, folder: str, shares: int, per_batch: int | None) -> DataFrame:
+    """Raw rows of all snapshots, in equal shares, as a stream that picks up ``per_batch`` shares at a time.
+
+    A share is as many files as keep each, which one task writes, to the snapshots of about SHARE_ORDERS orders.
+    """
     raw = tables.raw_series(spark, folder)
     target = work_folder(spark, "incoming")
-    raw.repartition(files).write.parquet(target)
-    return target, raw.schema
+    files = tables.parts_of(spark, folder, shares * tables.SHARE_ORDERS)
+    raw.repartition(shares * files).write.parquet(target)
+    return incremental.read_stream(spark, target, raw.schema, per_batch and per_batch * files)
 
 
 def _scored_by_stream(
-    spark: SparkSession, folder: str, files: int, per_batch: int | None
+    spark: SparkSession, folder: str, shares: int, per_batch: int | None
 ) -> DataFrame:
-    incoming, schema = _write_raw(spark, folder, files)
     target = work_folder(spark, "scored")
-    records = incremental.read_stream(spark, incoming, schema, per_batch)
+    records = _incoming(spark, folder, shares, per_batch)
     scored = incremental.score_stream(records, extra=[S.SNAPSHOT_YEAR])
     incremental.run_scoring(scored, target, work_folder(spark, "progress"))
     return spark.read.schema(scored.schema).parquet(target)
@@ -190,18 +191,17 @@ def _scored_by_stream(
 
 @query
 def score_batches(spark, folder):
-    return _scored_by_stream(spark, folder, files=4, per_batch=2)
+    return _scored_by_stream(spark, folder, shares=4, per_batch=2)
 
 
 @query
 def stream_score(spark, folder):
-    return _scored_by_stream(spark, folder, files=2, per_batch=None)
+    return _scored_by_stream(spark, folder, shares=2, per_batch=None)
 
 
 @query
 def stream_level_counts(spark, folder):
-    incoming, schema = _write_raw(spark, folder, 4)
-    records = incremental.read_stream(spark, incoming, schema, 2)
+    records = _incoming(spark, folder, 4, 2)
     scored = incremental.score_stream(records, extra=[S.SNAPSHOT_YEAR])
     target = work_folder(spark, "level-counts")
     incremental.run_level_counts(
@@ -1133,8 +1133,7 @@ def sketch_changes_of_snapshots(spark, folder):
 
 @query
 def stream_changes(spark, folder):
-    incoming, schema = _write_raw(spark, folder, 3)
-    records = incremental.read_stream(spark, incoming, schema, 1)
+    records = _incoming(spark, folder, 3, 1)
     scored = incremental.score_stream(records, extra=[S.SNAPSHOT_YEAR])
     target = work_folder(spark, "changes")
     changes.run_changes(scored, tables.YEARS, target, work_folder(spark, "progress"))

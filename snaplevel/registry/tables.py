@@ -165,6 +165,8 @@ CONTINENTS = ("AFRICA", "AMERICA", "ASIA", "EUROPE")
 
 # Kinds of text files of a dump, and rows of a file, about.
 DUMP_FILES, DUMP_ROWS = 6, 20_000
+# Orders whose snapshots are a file that a stream picks up, about.
+SHARE_ORDERS = 100_000
 
 
 def turned(columns: list[str]) -> list[str]:
@@ -176,6 +178,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def parts_of(spark: SparkSession, folder: str, orders: int) -> int:
+    """Parts of about so many orders each, one at least."""
+    return -(-table(spark, folder, "orders").count() // orders) or 1
+
+
 def _expressions(columns: dict[str, str]) -> list[str]:
     return [f"{sql} AS {name}" for name, sql in columns.items()]
 

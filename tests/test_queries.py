@@ -10,8 +10,11 @@ from conftest import TESTDATA
 from compare import differences, duck
 
 import __spark_entry__ as entry_module
+from snaplevel.registry import queries as registered
+from snaplevel.registry import tables
 from snaplevel.registry.oracles import ORACLES
 from snaplevel.registry.queries import QUERIES
+from snaplevel.streaming import changes
 
 FOLDER = os.path.join(TESTDATA, "sf" + os.environ.get("TEST_SF", "0.001"))
 
@@ -43,6 +46,17 @@ def test_query(spark, con, name):
     assert differences(QUERIES[name](spark, FOLDER), con, ORACLES[name]) == []
 
 
+def test_files_for_a_stream_grow_with_the_records_but_not_its_batches(spark, con, monkeypatch, tmp_path):
+    n = spark.read.parquet(f"{FOLDER}/orders.parquet").count()
+    monkeypatch.setattr(tables, "SHARE_ORDERS", -(-n // 15))
+    monkeypatch.setattr(registered, "work_folder", lambda _, name: str(tmp_path / name))
+    assert differences(QUERIES["stream_changes"](spark, FOLDER), con, ORACLES["stream_changes"]) == []
+    rows = spark.read.parquet(str(tmp_path / "incoming")).groupBy("_metadata.file_name").count().collect()
+    assert len(rows) == 15 and max(r["count"] for r in rows) < 2 * min(r["count"] for r in rows)
+    batches = changes.read_changes(spark, str(tmp_path / "changes")).select("batch").distinct()
+    assert batches.count() == 3
+
+
 def test_entry(spark):
     df = entry_module.entry(spark)
     assert df.columns[:4] == ["interval", "transition", "direction", "n_records"]

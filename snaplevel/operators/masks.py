@@ -12,6 +12,7 @@ share one test, and an element that another one implies needs none.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -48,10 +49,10 @@ def presence_masks(df: DataFrame, mappings: Sequence[MappingSet], extra: Sequenc
     rows = presence.media_flag_to_text(scoring.scan_projected(df, every, kept))
     have = set(rows.columns)
     tests = [presence.present_sql(*p) if p[0] in have else "false" for p in known]
-    numbers = [
-        F.expr(" | ".join(f"if({t}, {1 << i}L, 0L)" for i, t in enumerate(tests[start : start + BITS])))
-        for start in range(0, len(tests), BITS)
-    ]
+    bits = [f"if({t}, {1 << i % BITS}L, 0L)" for i, t in enumerate(tests)]
+    # Every bit is named twice on purpose, as in ``presence.score_level``: Spark then compiles each, as a shared subexpression, in
+    # a method of its own. All tests in one method, with what the columns are made of, would outgrow the size that the JVM compiles.
+    numbers = [F.expr(" | ".join(2 * bits[start : start + BITS])) for start in range(0, len(bits), BITS)]
     order = {"properties": [{"column": c, "missing": list(m)} for c, m in known]}
     numbers = numbers or [F.lit(0).cast("bigint")]
     masks = [n.alias(f"{MASKS}{k}", **({} if k else {"metadata": order})) for k, n in enumerate(numbers)]
@@ -166,6 +167,14 @@ class MaskedRules:
             out.append(" AND ".join(tests) or "true")
         return out
 
+    def asked_bits(self, bit: Mapping[str, int]) -> tuple[list[list[int]], list[list[int]]]:
+        """Where ``bit`` numbers the rules' texts: the bits that each level above the lowest asks for, and those of the
+        rules that occur once at least, twice at least, and so on."""
+        bits = {f: bit[r.sql()] for f, r in self.rules.items()}
+        levels = [[b for f, b in bits.items() if self._levels[f] <= level] for level in S.LEVELS[1:]]
+        times = Counter(bits.values())
+        return levels, [[b for b, n in times.items() if n > k] for k in range(max(times.values(), default=0))]
+
     def level(self) -> Column:
         steps = [f"if({c}, 1, 0)" for c in self.conditions()]
         return F.expr(f"cast({' + '.join(['-1', *steps])} AS tinyint)")
@@ -184,12 +193,37 @@ def score_masked(masked: DataFrame, mapping: MappingSet, extra: Sequence[str] =
 
 
 def levels_of_all(masked: DataFrame, mappings: Mapping[str, MappingSet], keep: Sequence[str]) -> DataFrame:
-    """One row per record and mapping set: ``keep`` columns, ``mapping``, the level, and how many flags are set. One scan."""
+    """One row per record and mapping set: ``keep`` columns, ``mapping``, the level, and how many flags are set. One scan.
+
+    Every different rule of the sets is tested once per record and becomes a bit; a set is then a few masks of those bits,
+    a constant row that each record is paired with. So the compiled methods stay small, however many sets there are.
+    """
     known = known_properties(masked)
-    entries = []
-    for name, mapping in mappings.items():
-        rules = MaskedRules(mapping, known)
-        n_true = F.expr(" + ".join(f"int({r.sql()})" for r in rules.rules.values()) or "0")
-        entries.append(F.struct(F.lit(name).alias("mapping"), rules.level().alias(S.LEVEL), n_true.alias("n_flags")))
-    each = masked.select(*[F.col(S.quoted(c)) for c in keep], F.explode(F.array(*entries)).alias("_e"))
-    return each.select(*[F.col(S.quoted(c)) for c in keep], "_e.mapping", f"_e.{S.LEVEL}", "_e.n_flags")
+    compiled = {name: MaskedRules(mapping, known) for name, mapping in mappings.items()}
+    tests = list(dict.fromkeys(r.sql() for c in compiled.values() for r in c.rules.values()))
+    bit = {sql: k for k, sql in enumerate(tests)}
+    numbers = range(-(-len(tests) // BITS))
+    held = [
+        F.expr(" | ".join(f"if({test}, {1 << i}L, 0L)" for i, test in enumerate(tests[k * BITS : (k + 1) * BITS]))).alias(f"_held_{k}")
+        for k in numbers
+    ]
+    # Elements of one set with equal rules count each: the bits of the rules that occur once at least, twice at least, ...
+    asked = {name: c.asked_bits(bit) for name, c in compiled.items()}
+    most = max((len(counted) for _, counted in asked.values()), default=0)
+    sets = []
+    for name, (levels, counted) in asked.items():
+        masks = {f"l{j}": bits for j, bits in enumerate(levels)}
+        masks |= {f"n{j}": counted[j] if j < len(counted) else [] for j in range(most)}
+        constants = [F.lit(_mask(bits, k)).cast("bigint").alias(f"{c}_{k}") for c, bits in masks.items() for k in numbers]
+        sets.append(F.struct(F.lit(name).alias("mapping"), *constants))
+    kept = [F.col(S.quoted(c)) for c in keep]
+    each = masked.select(*kept, *held).select(*kept, *[f"_held_{k}" for k in numbers], F.explode(F.array(*sets)).alias("_set"))
+    reached = [" AND ".join(f"(_held_{k} & _set.l{j}_{k}) = _set.l{j}_{k}" for k in numbers) or "true" for j in range(len(S.LEVELS) - 1)]
+    level = F.expr(f"cast({' + '.join(['-1', *[f'if({c}, 1, 0)' for c in reached]])} AS tinyint)")
+    n_flags = F.expr(" + ".join(f"bit_count(_held_{k} & _set.n{j}_{k})" for j in range(most) for k in numbers) or "0")
+    return each.select(*kept, "_set.mapping", level.alias(S.LEVEL), n_flags.alias("n_flags"))
+
+
+def _mask(bits: Iterable[int], number: int) -> int:
+    """Those of the bits that are in one of the numbers, as its mask."""
+    return sum(1 << b % BITS for b in set(bits) if b // BITS == number)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +140,24 @@ def test_media_flag_and_empty_table(spark):
     masked = masks.presence_masks(df, [mapping])
     assert sorted_rows(masks.score_masked(masked, mapping)) == sorted_rows(scoring.score_records(df, mapping))
     assert masks.score_masked(masked.limit(0), mapping).collect() == []
+
+
+def test_all_sets_at_once_are_compiled(spark, tmp_path):
+    mappings = tables.mapping_sets()
+    path = str(tmp_path / "masks")
+    masks.presence_masks(raw(spark, random.Random(3)), list(mappings.values())).write.parquet(path)
+    each = masks.levels_of_all(spark.read.parquet(path), mappings, ["gbifID"])
+    code = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(each._jdf.queryExecution(), "codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000  # the JVM compiles no larger method
+
+
+def test_equal_rules_of_one_set_count_each(spark):
+    same = [Element(k % 2, f"E{k}", (Alternative(("a",)),)) for k in (0, 2, 1)]
+    mappings = {"three": MappingSet(tuple(same), {}), "one": MappingSet(tuple(same[:1]), {}), "none": MappingSet((), {})}
+    df = spark.createDataFrame([("1", "x"), ("2", None)], "gbifID string, a string")
+    each = masks.levels_of_all(masks.presence_masks(df, list(mappings.values())), mappings, ["gbifID"])
+    assert {tuple(r) for r in each.collect()} == {
+        ("1", "three", 3, 3), ("1", "one", 3, 1), ("1", "none", 3, 0),
+        ("2", "three", -1, 0), ("2", "one", -1, 0), ("2", "none", 3, 0),
+    }

@@ -239,7 +239,7 @@ def sort_snapshots(spark, folder):
 @query
 def write_scored(spark, folder):
     target = work_folder(spark, "scored")
-    sinks.write_scored(_rows(spark, folder), target)
+    sinks.write_scored(tables.scored_series(spark, folder, dealt=True).rows, target)
     return A.row_counts(snapshots.read_partitioned_series(spark, target))
 
 
@@ -933,7 +933,7 @@ def media_join(spark, folder):
 
 
 def _history(spark: SparkSession, folder: str) -> history.History:
-    return history.build(_series(spark, folder), work_folder(spark, "history"))
+    return history.build(tables.scored_series(spark, folder, dealt=True), work_folder(spark, "history"))
 
 
 @query

@@ -167,6 +167,8 @@ CONTINENTS = ("AFRICA", "AMERICA", "ASIA", "EUROPE")
 DUMP_FILES, DUMP_ROWS = 6, 20_000
 # Orders whose snapshots are a file that a stream picks up, about.
 SHARE_ORDERS = 100_000
+# Orders whose snapshots one task sorts, about, where rows are written by snapshot.
+TASK_ORDERS = 100_000
 
 
 def turned(columns: list[str]) -> list[str]:
@@ -216,16 +218,21 @@ def raw_series(
     with_media: bool = True,
     withheld: str = WITHHELD,
     record_id: str = RECORD_ID_SQL,
+    dealt: bool = False,
 ) -> DataFrame:
     """Raw rows of every snapshot with ``snapshot_year``.
 
     Media are joined to the narrow rows, once per record; only then are the rows repeated for their
-    snapshots and widened.
+    snapshots and widened. ``dealt`` narrow rows are spread evenly over tasks whose number grows with them, which
+    costs a shuffle of these, so that what a task makes of them stays bounded.
     """
     records = _source_rows(spark, folder)
     if with_media:
         keyed = records.withColumn(S.RECORD_ID, F.expr(record_id))
         records = join_media(keyed, media(spark, folder)).drop(S.RECORD_ID)
+    parts = parts_of(spark, folder, TASK_ORDERS) if dealt else 1
+    if parts > 1:
+        records = records.repartition(max(parts, spark.sparkContext.defaultParallelism))
     all_years = F.array(*[F.lit(y) for y in sorted(years)])
     rows = records.withColumn(
         S.SNAPSHOT_YEAR, F.explode(F.filter(all_years, lambda y: y > F.year("o_orderdate")))
@@ -239,11 +246,11 @@ def raw_series(
 
 
 def scored_series(
-    spark: SparkSession, folder: str, years: Iterable[int] = YEARS
+    spark: SparkSession, folder: str, years: Iterable[int] = YEARS, dealt: bool = False
 ) -> SnapshotSeries:
-    """The scored series that the analyses read."""
+    """The scored series that the analyses read; ``dealt`` as in :func:`raw_series`."""
     years = tuple(years)
-    scored = score_records(raw_series(spark, folder, years), extra=[S.SNAPSHOT_YEAR])
+    scored = score_records(raw_series(spark, folder, years, dealt=dealt), extra=[S.SNAPSHOT_YEAR])
     return SnapshotSeries.of(scored, years)
 
 

@@ -7,6 +7,7 @@ import re
 
 import pytest
 from conftest import TESTDATA
+from pyspark.sql import functions as F
 from compare import differences, duck
 
 import __spark_entry__ as entry_module
@@ -57,6 +58,16 @@ def test_files_for_a_stream_grow_with_the_records_but_not_its_batches(spark, con
     assert batches.count() == 3
 
 
+def test_tasks_that_sort_by_snapshot_grow_in_number_with_the_records(spark, con, monkeypatch, tmp_path):
+    n = spark.read.parquet(f"{FOLDER}/orders.parquet").count()
+    monkeypatch.setattr(tables, "TASK_ORDERS", -(-n // 20))
+    monkeypatch.setattr(registered, "work_folder", lambda _, name: str(tmp_path / name))
+    assert differences(QUERIES["write_scored"](spark, FOLDER), con, ORACLES["write_scored"]) == []
+    tasks = spark.read.parquet(str(tmp_path / "scored")).groupBy(F.regexp_extract("_metadata.file_name", "part-([0-9]+)", 1)).count()
+    sizes = [r["count"] for r in tasks.collect()]
+    assert len(sizes) == 20 and max(sizes) < 2 * min(sizes)
+
+
 def test_entry(spark):
     df = entry_module.entry(spark)
     assert df.columns[:4] == ["interval", "transition", "direction", "n_records"]

@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from snaplevel import schema as S
 from snaplevel.functions import presence
 from snaplevel.operators.series import N, NEW, OLD, SnapshotSeries
+from snaplevel.sources import sinks
 
 FIRST, LAST, FLAGS, OPEN = "first_idx", "last_idx", "flags", "open"
+ROWS = "_rows/scored"
 STATE = (S.RECORD_ID, S.DATASET, S.LEVEL, FLAGS, N)
 #: Longest list of a record's runs by level that is intersected as it is; a longer one is counted out by snapshot.
 MOST_RUNS = 64
@@ -151,11 +153,18 @@ def _spread(sums: DataFrame, low: str, high: str, keys: list[str]) -> DataFrame:
     return each.groupBy(S.SNAPSHOT_IDX, *keys).agg(F.sum(N).alias(N))
 
 
-def snapshot_states(rows: DataFrame) -> DataFrame:
-    """``n`` rows per record id, data set, level and packed flags of one scored snapshot."""
+def packed_rows(rows: DataFrame, *others: str) -> DataFrame:
+    """What a state of a scored row is made of, its flags packed, and other columns."""
     flags = S.flag_columns(rows)
     packed = presence.pack_flags(flags).alias(FLAGS, metadata={"names": flags})
-    return rows.select(S.RECORD_ID, S.DATASET, S.LEVEL, packed).groupBy(*STATE[:-1]).agg(F.count(F.lit(1)).alias(N))
+    return rows.select(S.RECORD_ID, S.DATASET, S.LEVEL, packed, *others)
+
+
+def snapshot_states(rows: DataFrame) -> DataFrame:
+    """``n`` rows per record id, data set, level and packed flags of one scored snapshot, whose flags may be packed already."""
+    packed = FLAGS in rows.columns and "names" in rows.schema[FLAGS].metadata
+    states = (rows if packed else packed_rows(rows)).groupBy(*STATE[:-1])
+    return states.agg(F.count(F.lit(1)).alias(N))
 
 
 def merged(reaching: DataFrame, states: DataFrame, idx: int) -> DataFrame:
@@ -200,7 +209,7 @@ def add_snapshot(spark: SparkSession, path: str, rows: DataFrame, year: int, yea
     if years:
         reaching = _reaching(spark, path, years[-1])
         names = reaching.schema[FLAGS].metadata["names"]
-        if names != S.flag_columns(rows):
+        if names != states.schema[FLAGS].metadata["names"]:
             raise ValueError(f"the history has flags {', '.join(names)}, the snapshot others")
         runs = merged(reaching, states, len(years))
     else:
@@ -221,8 +230,15 @@ def read_history(spark: SparkSession, path: str, years: tuple[int, ...] | None =
 
 
 def build(series: SnapshotSeries, path: str) -> History:
-    """A new table of all snapshots of a series, added one after another."""
+    """A new table of all snapshots of a series, added one after another.
+
+    The packed rows are written first, by snapshot, in a folder that readers of the table pass over: what the series is derived
+    from is then computed once instead of twice for every snapshot.
+    """
     spark, years = series.rows.sparkSession, ()
+    rows = packed_rows(series.rows.where(F.col(S.SNAPSHOT_YEAR).isin(list(series.years))), S.SNAPSHOT_YEAR)
+    sinks.write_scored(rows, f"{path}/{ROWS}", mode="overwrite")
+    written = SnapshotSeries(spark.read.schema(rows.schema).parquet(f"{path}/{ROWS}"), series.years)
     for year in series.years:
-        years = add_snapshot(spark, path, series.select(year), year, years)
+        years = add_snapshot(spark, path, written.select(year), year, years)
     return read_history(spark, path, years)

@@ -153,3 +153,20 @@ def test_a_heavy_id_is_a_few_rows(spark, tmp_path):
     assert history.rows.where("gbifID IS NULL").count() < 100
     same(A.level_transitions(series), A.level_transitions(history))
     same(A.intake_cohort_levels(series), A.intake_cohort_levels(history))
+
+
+def test_a_series_is_computed_once(spark, tmp_path):
+    series = series_of(spark, random_rows(5))
+    seen = spark.sparkContext.accumulator(0)
+    schema, names = series.rows.schema, series.rows.columns
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    counting = SnapshotSeries(series.rows.select(*names).mapInArrow(counted, schema), YEARS)
+    history = H.build(counting, str(tmp_path / "runs"))
+    assert seen.value == series.rows.count()
+    assert H.history_years(spark, str(tmp_path / "runs")) == YEARS
+    same(A.level_transitions(series), A.level_transitions(history))
